@@ -7,11 +7,11 @@ needs a whole set, however long the document.
 
 Which pairs are counted:
 1. Documents with equal sets form a class; only classes are joined.
-2. Stars: classes that agree in half of their min-hashes with the least class of those buckets. The links found give
-   provisional components, so a large group of near copies costs one pair a member and not all pairs.
+2. Stars: classes that agree in half of their min-hashes with one of a few hubs of those buckets. The links found give
+   provisional components, so a large group of near copies costs a few pairs a member and not all pairs.
 3. Completion, which makes the result exact: two sets that reach the threshold share a shingle within their prefixes (the
-   rarest n - ceil(t n) + 1 shingles). Every such pair of *different* provisional components that passes the length and the
-   position filter is counted too. Pairs within a component can't change the components and are left out.
+   rarest n - ceil(t n) + 1 shingles). Every such pair of *different* provisional components that passes the length, the
+   position and the sketch filters is counted too. Pairs within a component can't change the components and are left out.
 
 Defined results: a null or empty text, or one without words, has no shingles and is its own component; fewer than `k` words
 make one shingle; a class or component of null ids only has a null id; repeated rows get equal rows; an empty table gives an
@@ -30,9 +30,16 @@ from ._scratch import BROADCAST_IDS, Scratch
 from ._text import as_signed, byte_tables, groups, mix64, text_buffer, windows, words
 
 K, NUM, DEN = 5, 80, 100
-#: Buckets of the frequency table, the bits of a shingle's id that hold its hash, fragments, min-hashes and how many must agree.
-BUCKET_BITS, HASH_BITS, FRAGMENTS, MINHASHES, AGREE = 19, 58, 8, 8, 4
+#: Buckets of the frequency table, the bits of a shingle's id that hold its hash, fragments, min-hashes, how many must agree, and hubs of a bucket.
+BUCKET_BITS, HASH_BITS, FRAGMENTS, MINHASHES, AGREE, HUBS = 19, 58, 8, 8, 4, 4
 SLICES = 512
+SKETCH_BITS = 512
+#: Pairs whose sketches are compared at once.
+BLOCK = 1 << 16
+#: Prefix shingles that a task of the completion takes, about.
+PART_IDS = 400_000
+#: Rows that a task of the completion deals at once.
+DEAL_ROWS = 2000
 
 
 def shingle_sets(column, k: int) -> Iterator[np.ndarray]:
@@ -118,8 +125,26 @@ def set_key(s: np.ndarray) -> int:
     return int(as_signed(mix64(np.array([np.sum(mix64(s ^ np.uint64(0x5851F42D4C957F2D)), dtype=np.uint64) + np.uint64(len(s))], np.uint64)))[0])
 
 
+def sketch(s: np.ndarray) -> np.ndarray:
+    """For each of four or more hash buckets a shingle (a power of two, SKETCH_BITS at least), whether it holds an odd number of the set: where two sketches differ, so do the sets, at least once a bit."""
+    bits = max(SKETCH_BITS, 1 << (4 * len(s) - 1).bit_length()) if len(s) else SKETCH_BITS
+    return (np.bincount((s >> np.uint64(65 - bits.bit_length())).astype(np.int64), minlength=bits) & 1).astype(np.uint8)
+
+
+def folded(bits: np.ndarray, size: int) -> np.ndarray:
+    """The sketch with fewer buckets."""
+    return np.bitwise_xor.reduce(bits.reshape(size, -1), axis=1)
+
+
+def sketches_apart(x: bytes, y: bytes) -> int:
+    """A lower bound of the size of the sets' symmetric difference."""
+    a, b = np.unpackbits(np.frombuffer(x, np.uint8)), np.unpackbits(np.frombuffer(y, np.uint8))
+    size = min(len(a), len(b))
+    return int(np.count_nonzero(folded(a, size) != folded(b, size)))
+
+
 def profiles(docs: DataFrame, classes, k: int, num: int, den: int) -> DataFrame:
-    """doc_id, n, cls, min-hashes m0... and the prefix (ids, 8 bytes each) of every document."""
+    """doc_id, n, cls, min-hashes m0..., the sketch, folded and whole, and the prefix (ids, 8 bytes each) of every document."""
     kind = docs.schema["doc_id"].dataType.simpleString()
 
     def run(batches):
@@ -127,33 +152,45 @@ def profiles(docs: DataFrame, classes, k: int, num: int, den: int) -> DataFrame:
 
         seeds = mix64(np.arange(1, MINHASHES + 1, dtype=np.uint64))
         for batch in batches:
-            sizes, keys, mins, prefixes = [], [], [], []
+            sizes, keys, mins, narrow, wide, prefixes = [], [], [], [], [], []
             for s in shingle_sets(batch.column(1), k):
                 n = len(s)
                 sizes.append(n)
                 keys.append(set_key(s))
                 mins.append([((s ^ seed) * np.uint64(0x9FB21C651E98DF25)).min() if n else 0 for seed in seeds])
+                bits = sketch(s)
+                narrow.append(np.packbits(folded(bits, SKETCH_BITS)).tobytes())
+                wide.append(np.packbits(bits).tobytes())
                 prefixes.append(ordered(s, classes.value)[: n - at_least(n, num, den) + 1].tobytes() if n else b"")
             table = np.array(mins, np.uint64).reshape(-1, MINHASHES)
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(sizes, pa.int64()), pa.array(keys, pa.int64()), *(pa.array(as_signed(np.ascontiguousarray(table[:, j]))) for j in range(MINHASHES)), pa.array(prefixes, pa.binary())],
-                ["doc_id", "n", "cls", *(f"m{j}" for j in range(MINHASHES)), "prefix"],
+                [batch.column(0), pa.array(sizes, pa.int64()), pa.array(keys, pa.int64()), *(pa.array(as_signed(np.ascontiguousarray(table[:, j]))) for j in range(MINHASHES)), pa.array(narrow, pa.binary()), pa.array(wide, pa.binary()), pa.array(prefixes, pa.binary())],
+                ["doc_id", "n", "cls", *(f"m{j}" for j in range(MINHASHES)), "sketch", "wide", "prefix"],
             )
 
-    return docs.mapInArrow(run, f"doc_id {kind}, n long, cls long, {', '.join(f'm{j} long' for j in range(MINHASHES))}, prefix binary")
+    return docs.mapInArrow(run, f"doc_id {kind}, n long, cls long, {', '.join(f'm{j} long' for j in range(MINHASHES))}, sketch binary, wide binary, prefix binary")
+
 
+def stars(kinds: DataFrame, scratch: Scratch) -> DataFrame:
+    """Pairs (a, b) of a class and the hubs of its min-hash buckets, if they meet in AGREE buckets.
 
-def stars(kinds: DataFrame) -> DataFrame:
-    """Pairs (a, b) of a class and the least class of its min-hash buckets, if they meet in AGREE of them."""
+    A bucket's hubs are, for each of HUBS residues, the class that shares its min-hashes with the most others: in a group of
+    near copies those nearest to what was copied, to which a copy is linked if it is linked to any.
+    """
     rows = kinds.select("cls", F.posexplode(F.array(*(f"m{j}" for j in range(MINHASHES)))).alias("j", "m"))
-    hubs = rows.groupBy("j", "m").agg(F.min("cls").alias("hub"), F.count("*").alias("c")).where("c > 1").drop("c")
-    return rows.join(hubs, ["j", "m"]).where("hub <> cls").groupBy(F.col("hub").alias("a"), F.col("cls").alias("b")).count().where(F.col("count") >= AGREE).select("a", "b")
+    shared = scratch.write(rows.join(rows.groupBy("j", "m").agg(F.count("*").alias("c")).where("c > 1"), ["j", "m"]))
+    score = shared.groupBy("cls").agg(F.sum("c").alias("score"))
+    best = shared.join(score, "cls").groupBy("j", "m", F.pmod("cls", F.lit(HUBS)).alias("r")).agg(F.max(F.struct("score", "cls")).alias("best"))
+    hubs = best.groupBy("j", "m").agg(F.collect_list("best.cls").alias("hubs"))
+    met = shared.join(hubs, ["j", "m"]).select("j", "cls", F.explode("hubs").alias("hub")).where("hub <> cls")
+    met = met.select(F.least("cls", "hub").alias("a"), F.greatest("cls", "hub").alias("b"), "j")
+    return met.groupBy("a", "b").agg(F.bit_or(F.call_function("shiftleft", F.lit(1), F.col("j"))).alias("met")).where(F.bit_count("met") >= AGREE).select("a", "b")
 
 
 def completion(prefixes: DataFrame, parts: int, num: int, den: int) -> DataFrame:
     """Pairs of classes of different provisional components that share a prefix shingle and pass the filters.
 
-    prefixes: cls, comp, n, prefix. The shingles are dealt by ranges of their hash; each task pairs those of its range. A
+    prefixes: cls, comp, n, sketch, prefix. The shingles are dealt by ranges of their hash; each task pairs those of its range. A
     pair is tested wherever it shares a shingle, and a pair that reaches the threshold passes at its first common shingle.
     """
 
@@ -161,9 +198,9 @@ def completion(prefixes: DataFrame, parts: int, num: int, den: int) -> DataFrame
         import pyarrow as pa
 
         width = np.uint64(HASH_BITS - 32)
-        for batch in batches:
-            ids = np.frombuffer(b"".join(x for x in batch.column(3).to_pylist()), np.uint64)
-            lengths = np.array([len(x) // 8 for x in batch.column(3).to_pylist()], np.int64)
+        for batch in (b.slice(i, DEAL_ROWS) for b in batches for i in range(0, b.num_rows, DEAL_ROWS)):
+            ids = np.frombuffer(b"".join(x for x in batch.column(4).to_pylist()), np.uint64)
+            lengths = np.array([len(x) // 8 for x in batch.column(4).to_pylist()], np.int64)
             if not len(ids):
                 continue
             row = np.repeat(np.arange(len(lengths)), lengths)
@@ -171,6 +208,7 @@ def completion(prefixes: DataFrame, parts: int, num: int, den: int) -> DataFrame
             place = (((ids >> width) & np.uint64(0xFFFFFFFF)) * np.uint64(parts) >> np.uint64(32)).astype(np.int64)
             order = np.argsort(place, kind="stable")
             cls, comp, n = (batch.column(i).to_numpy(zero_copy_only=False) for i in (0, 1, 2))
+            sketches = np.frombuffer(b"".join(batch.column(3).to_pylist()), np.uint64).reshape(batch.num_rows, -1)
             bounds = np.searchsorted(place[order], np.arange(parts + 1))
             out = []
             for p in range(parts):
@@ -180,28 +218,29 @@ def completion(prefixes: DataFrame, parts: int, num: int, den: int) -> DataFrame
                 used, local = np.unique(row[take], return_inverse=True)
                 apart = np.flatnonzero(cls[used] != comp[used])
                 local = local.astype(np.uint16 if len(used) < 1 << 16 else np.uint32)
-                out.append((p, ids[take].tobytes(), local.tobytes(), np.minimum(pos[take], 65535).astype(np.uint16).tobytes(), cls[used].tobytes(), n[used].tobytes() if n[used].max() >= 1 << 32 else n[used].astype(np.uint32).tobytes(), apart.astype(np.uint32).tobytes(), comp[used][apart].tobytes()))
-            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int32() if i == 0 else pa.binary()) for i, c in enumerate(zip(*out, strict=True))], ["p", "ids", "local", "pos", "cls", "n", "apart", "comp"])
+                out.append((p, ids[take].tobytes(), local.tobytes(), np.minimum(pos[take], 65535).astype(np.uint16).tobytes(), cls[used].tobytes(), n[used].tobytes() if n[used].max() >= 1 << 32 else n[used].astype(np.uint32).tobytes(), apart.astype(np.uint32).tobytes(), comp[used][apart].tobytes(), sketches[used].tobytes()))
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int32() if i == 0 else pa.binary()) for i, c in enumerate(zip(*out, strict=True))], ["p", "ids", "local", "pos", "cls", "n", "apart", "comp", "sketch"])
 
     def pair(batches):
         import pyarrow as pa
 
-        ids, doc, pos, cls, n, comp, seen = [], [], [], [], [], [], 0
+        ids, doc, pos, cls, n, comp, sketches, seen = [], [], [], [], [], [], [], 0
         for batch in batches:
-            for _, i, lo, po, c, size, apart, other in zip(*(x.to_pylist() for x in batch.columns), strict=True):
+            for _, i, lo, po, c, size, apart, other, bits in zip(*(x.to_pylist() for x in batch.columns), strict=True):
                 t, k = np.frombuffer(i, np.uint64), np.frombuffer(c, np.int64)
                 ids.append(t)
-                doc.append(np.frombuffer(lo, np.uint16 if len(lo) == 2 * len(t) else np.uint32).astype(np.int64) + seen)
-                pos.append(np.frombuffer(po, np.uint16).astype(np.int64))
+                doc.append(np.frombuffer(lo, np.uint16 if len(lo) == 2 * len(t) else np.uint32).astype(np.int32) + np.int32(seen))
+                pos.append(np.frombuffer(po, np.uint16))
                 cls.append(k)
                 n.append(np.frombuffer(size, np.uint32 if len(size) == 4 * len(k) else np.int64).astype(np.int64))
                 own = k.copy()
                 own[np.frombuffer(apart, np.uint32)] = np.frombuffer(other, np.int64)
                 comp.append(own)
+                sketches.append(np.frombuffer(bits, np.uint64).reshape(len(k), -1))
                 seen += len(k)
         if not ids:
             return
-        ids, doc, pos, cls, n, comp = (np.concatenate(x) for x in (ids, doc, pos, cls, n, comp))
+        ids, doc, pos, cls, n, comp, sketches = (np.concatenate(x) for x in (ids, doc, pos, cls, n, comp, sketches))
         order = np.lexsort((n[doc], ids))
         ids, doc, pos = ids[order], doc[order], pos[order]
         heads = np.flatnonzero(np.append(True, ids[1:] != ids[:-1]))
@@ -223,10 +262,12 @@ def completion(prefixes: DataFrame, parts: int, num: int, den: int) -> DataFrame
             d, e = doc[left], doc[left + step]
             short = n[d] * den >= n[e] * num
             left, stop, d, e = left[short], stop[short], d[short], e[short]
-            most = np.minimum(n[d] - pos[left], n[e] - pos[left + step])
-            good = (comp[d] != comp[e]) & (most >= at_least(n[d] + n[e], num, num + den))
-            if good.any():
-                x, y = cls[d[good]], cls[e[good]]
+            both, needed = np.minimum(n[d] - pos[left], n[e] - pos[left + step]), at_least(n[d] + n[e], num, num + den)
+            good = (comp[d] != comp[e]) & (both >= needed)
+            d, e, apart = d[good], e[good], (n[d] + n[e] - 2 * needed)[good]
+            near = np.concatenate([np.zeros(0, bool), *(np.bitwise_count(sketches[d[i : i + BLOCK]] ^ sketches[e[i : i + BLOCK]]).sum(axis=1) <= apart[i : i + BLOCK] for i in range(0, len(d), BLOCK))])
+            if near.any():
+                x, y = cls[d[near]], cls[e[near]]
                 found.append(np.unique(np.stack([np.minimum(x, y), np.maximum(x, y)], axis=1), axis=0))
                 held += len(found[-1])
                 if held > 1 << 20:
@@ -236,10 +277,28 @@ def completion(prefixes: DataFrame, parts: int, num: int, den: int) -> DataFrame
         if found:
             yield flush()
 
-    blobs = prefixes.select("cls", "comp", "n", "prefix").mapInArrow(deal, "p int, ids binary, local binary, pos binary, cls binary, n binary, apart binary, comp binary")
+    blobs = prefixes.select("cls", "comp", "n", "sketch", "prefix").mapInArrow(deal, "p int, ids binary, local binary, pos binary, cls binary, n binary, apart binary, comp binary, sketch binary")
     return blobs.repartitionById(parts, F.col("p")).mapInArrow(pair, "a long, b long").distinct()
 
 
+def promising(pairs: DataFrame, kinds: DataFrame, rows: DataFrame, num: int, den: int) -> DataFrame:
+    """The pairs whose sizes and whole sketches let them reach the threshold."""
+    used = pairs.select(F.explode(F.array("a", "b")).alias("cls")).distinct()
+    heads = kinds.join(used, "cls").select("cls", F.col("lo").alias("lo_id"))
+    wide = rows.select("doc_id", "cls", "n", "wide").join(heads.withColumnRenamed("cls", "c"), (F.col("cls") == F.col("c")) & F.col("doc_id").eqNullSafe(F.col("lo_id"))).select("cls", "n", "wide")
+
+    def test(batches):
+        import pyarrow as pa
+
+        for batch in batches:
+            a, b, m, n, x, y = (c.to_pylist() for c in batch.columns)
+            good = [i for i in range(batch.num_rows) if den * min(m[i], n[i]) >= num * max(m[i], n[i]) and sketches_apart(x[i], y[i]) <= m[i] + n[i] - 2 * at_least(m[i] + n[i], num, num + den)]
+            yield pa.RecordBatch.from_arrays([pa.array([c[i] for i in good], pa.int64()) for c in (a, b)], ["a", "b"])
+
+    both = pairs.join(wide.toDF("a", "m", "x").hint("merge"), "a").join(wide.toDF("b", "n", "y").hint("merge"), "b")
+    return both.select("a", "b", "m", "n", "x", "y").mapInArrow(test, "a long, b long").distinct()
+
+
 def links(docs: DataFrame, pairs: DataFrame, kinds: DataFrame, classes, cuts: np.ndarray, k: int, num: int, den: int) -> DataFrame:
     """The pairs that reach the threshold: partial overlaps by fragment, summed per pair."""
     used = pairs.select(F.explode(F.array("a", "b")).alias("cls")).distinct()
@@ -308,12 +367,14 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     rows = scratch.write(profiles(docs, classes, k, num, den))
     kinds = scratch.write(rows.where("n > 0").groupBy("cls").agg(F.min("doc_id").alias("lo"), F.min("n").alias("n"), *(F.min(f"m{j}").alias(f"m{j}") for j in range(MINHASHES))))
 
-    first = components(links(docs, scratch.write(stars(kinds)), kinds, classes, cuts, k, num, den), scratch)
+    starred = scratch.write(promising(scratch.write(stars(kinds, scratch)), kinds, rows, num, den))
+    first = components(scratch.write(links(docs, starred, kinds, classes, cuts, k, num, den)), scratch)
     heads = kinds.select("cls", "lo").join(first.withColumnRenamed("node", "cls"), "cls", "left").select("cls", "lo", F.coalesce("root", "cls").alias("comp"))
     same = (rows["cls"] == heads["cls"]) & rows["doc_id"].eqNullSafe(heads["lo"])
-    prefixes = rows.where("n > 0").join(heads, same).select(rows["cls"], "comp", "n", "prefix")
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    rest = links(docs, scratch.write(completion(prefixes, parts, num, den)), kinds, classes, cuts, k, num, den)
+    prefixes = rows.where("n > 0").join(heads, same).select(rows["cls"], "comp", "n", "sketch", "prefix")
+    parts = max(8, -(-int(counts.sum()) * (den - num) // den // PART_IDS))
+    found = scratch.write(promising(scratch.write(completion(prefixes, parts, num, den)), kinds, rows, num, den))
+    rest = scratch.write(links(docs, found, kinds, classes, cuts, k, num, den))
 
     last = components(first.toDF("a", "b").union(rest), scratch)
     lows = kinds.select(F.col("cls").alias("node"), "lo").join(last, "node", "left").select("node", "lo", F.coalesce("root", "node").alias("root"))
