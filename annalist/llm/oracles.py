@@ -36,4 +36,61 @@ SELECT d.doc_id, coalesce(n, 0) AS n_shingles, c.component_id
 FROM d LEFT JOIN n USING (doc_id) JOIN (SELECT u AS doc_id, min(v) AS component_id FROM r GROUP BY 1) c USING (doc_id)
 """
 
-ORACLES = {"op10_ngram_jaccard_join": OP10, "op8_benchmark_decontamination": OP8}
+WORDS = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
+
+OP2 = rf"""
+WITH RECURSIVE d AS (SELECT doc_id, source, CAST(len({WORDS}) AS BIGINT) AS size FROM documents),
+s AS (SELECT source, CAST(sum(size) AS BIGINT) AS ss, (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1 AS w FROM d GROUP BY source),
+tot AS (SELECT CAST(sum(ss) AS BIGINT) AS t FROM s),
+r AS (SELECT *, row_number() OVER (ORDER BY 3 * ss / w, w, source NULLS LAST) AS i FROM s),
+v AS (
+  SELECT a.source, a.ss, a.w, a.i,
+         (SELECT t FROM tot) - coalesce((SELECT CAST(sum(3 * ss) AS BIGINT) FROM r b WHERE b.i < a.i), 0) AS l,
+         (SELECT CAST(sum(w) AS BIGINT) FROM s) - coalesce((SELECT CAST(sum(w) AS BIGINT) FROM r b WHERE b.i < a.i), 0) AS sh
+  FROM r a),
+o AS (SELECT l, sh FROM v WHERE 3 * ss * sh > l * w ORDER BY i LIMIT 1),
+g AS (SELECT source, ss, CASE WHEN 3 * ss * sh <= l * w THEN CAST(3 * ss AS DOUBLE) ELSE CAST((SELECT l FROM o) * w AS DOUBLE) / (SELECT sh FROM o) END AS target FROM v),
+p AS (
+  SELECT d.doc_id, d.source, d.size, md5(CAST(d.doc_id AS VARCHAR)) AS k, g.ss, g.target,
+         CAST(sum(d.size) OVER (PARTITION BY d.source ORDER BY md5(CAST(d.doc_id AS VARCHAR)), d.doc_id, d.size ROWS UNBOUNDED PRECEDING) AS BIGINT) AS at
+  FROM d JOIN g ON d.source IS NOT DISTINCT FROM g.source),
+c AS (SELECT *, CAST(at + copy * ss AS DOUBLE) / target AS f FROM p, (SELECT unnest([0, 1, 2]) AS copy) WHERE target > 0 AND size > 0),
+q AS (SELECT *, sum(size) OVER (ORDER BY f, k, doc_id, source NULLS LAST, copy ROWS UNBOUNDED PRECEDING) AS run FROM c),
+n AS (SELECT doc_id, CAST(sum(size) AS BIGINT) AS taken FROM q WHERE run <= (SELECT t FROM tot) GROUP BY 1)
+SELECT doc_id, size, ss AS source_size, target, coalesce(taken, 0) AS taken FROM p LEFT JOIN n USING (doc_id)
+"""
+
+OP5 = r"""
+WITH u AS (
+  SELECT page_id, translate(regexp_extract(coalesce(url, ''), '^(?s:.*?)://([^/?#]*)([^?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+         regexp_extract(coalesce(url, ''), '^(?s:.*?)://([^/?#]*)([^?#]*)', 2) AS path FROM pages),
+r(h, p, v) AS (VALUES ('com', '/', 'allow'), ('example.com', '/en/', 'block'), ('www.example.com', '/en/', 'allow'), ('net', '/es/', 'block'), ('net', '/fr/', 'block')),
+m AS (
+  SELECT page_id, arg_max(h || p, length(h || p)) AS rule, arg_max(v, length(h || p)) AS verdict
+  FROM u JOIN r ON (host = h OR ends_with(host, '.' || h)) AND starts_with(path, p) GROUP BY 1)
+SELECT page_id, host, path, rule, coalesce(verdict, 'allow') AS verdict FROM u LEFT JOIN m USING (page_id)
+"""
+
+OP6 = rf"""
+WITH l AS (
+  SELECT doc_id, i - 1 AS pos, x[i] AS line, regexp_extract_all(x[i], '[^\x20\x09-\x0D]+') AS w
+  FROM (SELECT doc_id, x, unnest(range(1, len(x) + 1)) AS i FROM (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS x FROM documents))),
+e AS (SELECT doc_id, pos, w, array_to_string(w, ' ') AS s FROM l WHERE len(w) >= 5),
+k AS (SELECT s, any_value(w) AS w, min((doc_id, pos)) AS at FROM e GROUP BY s),
+v AS (SELECT s, at, len(w) AS m, i, array_to_string(w[1:i - 1] || w[i + 1:], ' ') AS d FROM (SELECT s, at, w, unnest(range(1, len(w) + 1)) AS i FROM k)),
+pr AS (
+  SELECT a.s AS x, b.s AS y FROM v a JOIN v b ON a.d = b.d AND a.i = b.i AND a.m = b.m AND a.at > b.at
+  UNION SELECT a.s, b.s FROM v a JOIN k b ON a.d = b.s AND a.at > b.at
+  UNION SELECT b.s, a.s FROM v a JOIN k b ON a.d = b.s AND b.at > a.at),
+g AS (SELECT DISTINCT x AS s FROM pr),
+z AS (SELECT e.doc_id, e.pos FROM e JOIN k USING (s) LEFT JOIN g USING (s) WHERE g.s IS NOT NULL OR (e.doc_id, e.pos) <> k.at)
+SELECT l.doc_id, count(*) AS n_lines, count(z.pos) AS n_dropped, string_agg(CASE WHEN z.pos IS NULL THEN line END, chr(10) ORDER BY l.pos) AS text
+FROM l LEFT JOIN z ON l.doc_id = z.doc_id AND l.pos = z.pos GROUP BY 1
+"""
+
+ORACLES = {
+    "op2_source_mixing": OP2,
+    "op5_url_filter": OP5,
+    "op8_benchmark_decontamination": OP8,
+    "op10_ngram_jaccard_join": OP10,
+}
