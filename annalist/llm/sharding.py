@@ -30,7 +30,7 @@ def cell_of(key: Column) -> Column:
 
 def preferences(spark, shards: int, vnodes: int) -> DataFrame:
     """cell, prefs: for each cell of the ring all shards in the order of their first virtual node clockwise."""
-    nodes = spark.range(shards * vnodes).select((F.col("id") % shards).cast("int").alias("shard"), F.pmod(F.xxhash64(F.lit("node"), F.col("id")), F.lit(CELLS)).cast("int").alias("cell"), "id")
+    nodes = spark.range(shards * vnodes).select(F.floor(F.col("id") / vnodes).cast("int").alias("shard"), F.pmod(F.xxhash64(F.lit("node"), F.col("id")), F.lit(CELLS)).cast("int").alias("cell"), "id")
     ring = nodes.agg(F.array_sort(F.collect_list(F.struct("cell", "id", "shard"))).alias("ring"))
     cells = spark.range(CELLS).select(F.col("id").cast("int").alias("cell"))
     ahead = F.filter("ring", lambda v: v["cell"] >= F.col("cell"))
