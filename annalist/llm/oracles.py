@@ -52,9 +52,9 @@ o AS (SELECT l, sh FROM v WHERE 3 * ss * sh > l * w ORDER BY i LIMIT 1),
 g AS (SELECT source, ss, CASE WHEN 3 * ss * sh <= l * w THEN CAST(3 * ss AS DOUBLE) ELSE CAST((SELECT l FROM o) * w AS DOUBLE) / (SELECT sh FROM o) END AS target FROM v),
 p AS (
   SELECT d.doc_id, d.source, d.size, md5(CAST(d.doc_id AS VARCHAR)) AS k, g.ss, g.target,
-         CAST(sum(d.size) OVER (PARTITION BY d.source ORDER BY md5(CAST(d.doc_id AS VARCHAR)), d.doc_id, d.size ROWS UNBOUNDED PRECEDING) AS BIGINT) AS at
+         CAST(sum(d.size) OVER (PARTITION BY d.source ORDER BY md5(CAST(d.doc_id AS VARCHAR)), d.doc_id, d.size ROWS UNBOUNDED PRECEDING) AS BIGINT) AS pl
   FROM d JOIN g ON d.source IS NOT DISTINCT FROM g.source),
-c AS (SELECT *, CAST(at + copy * ss AS DOUBLE) / target AS f FROM p, (SELECT unnest([0, 1, 2]) AS copy) WHERE target > 0 AND size > 0),
+c AS (SELECT *, CAST(pl + copy * ss AS DOUBLE) / target AS f FROM p, (SELECT unnest([0, 1, 2]) AS copy) WHERE target > 0 AND size > 0),
 q AS (SELECT *, sum(size) OVER (ORDER BY f, k, doc_id, source NULLS LAST, copy ROWS UNBOUNDED PRECEDING) AS run FROM c),
 n AS (SELECT doc_id, CAST(sum(size) AS BIGINT) AS taken FROM q WHERE run <= (SELECT t FROM tot) GROUP BY 1)
 SELECT doc_id, size, ss AS source_size, target, coalesce(taken, 0) AS taken FROM p LEFT JOIN n USING (doc_id)

@@ -1,12 +1,14 @@
 """Quality rules by weak supervision, in DataFrame functions only.
 
-Every rule looks at a document's measures and votes for quality (1), against it (-1) or abstains (0). What the corpus says
-about the rules is the table of vote patterns and how many documents show each: at most 3 ** rules rows, whatever the size.
-Expectation-maximisation over that table estimates how often each rule's votes are right, and the share of good documents;
-a document's posterior probability of quality follows from its pattern, and replaces "all rules must pass".
+A rule looks at a document's measures and votes or abstains: rules for defects vote against quality (-1) or abstain (0), rules
+for good signs vote for it (1) or abstain. What the corpus says about the rules is the table of vote patterns and how many
+documents show each, whose size doesn't follow the corpus's. Expectation-maximisation over that table estimates each rule's
+accuracy - how often its vote is right - and the share of good documents; a document's posterior probability of quality
+follows from its pattern, and replaces "all rules must pass": a lone defect among good signs is outvoted, two rarely are.
 
 The estimate is one expression over one row (the sorted pattern table), so reruns agree to the last bit. Accuracies are held
-within ACCURACY, above a coin's, so that the two classes can't change places, and the share of good documents within SHARE.
+within DEFECT and SIGN, above a coin's, so that the two classes can't change places, and signs, which bad documents show as
+well, can't outweigh defects that agree; the share of good documents is held within SHARE.
 
 Defined results: a null or empty text, or one without words, has zero measures and fails the base; repeated rows are judged
 alike; an empty table gives an empty result; other columns stay with `keep` and are ignored by `judge`.
@@ -22,12 +24,13 @@ from pyspark.sql import functions as F
 from ._scratch import Scratch
 
 ROUNDS, KEEP_AT = 25, 0.5
-ACCURACY, SHARE = (0.55, 0.99), (0.5, 0.98)
+#: Bounds of the accuracy of a rule for a defect and of one for a good sign, and of the share of good documents; and where each starts.
+DEFECT, SIGN, SHARE, START = (0.95, 0.999), (0.55, 0.75), (0.5, 0.9), (0.95, 0.65, 0.8)
 SPACES = " \t\n\x0b\x0c\r"
 SYMBOLS = "#*$%&|<>"
 #: Up to so many repeated windows of a text, each window is looked up among them; beyond, windows are sorted with their places.
 FEW = 48
-MEASURES = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_closed_lines", "n_letters")
+MEASURES = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_closed_lines", "n_letters", "n_letter_words", "n_distinct_words")
 
 
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
@@ -67,7 +70,8 @@ def measure(docs: DataFrame, text: str = "text") -> DataFrame:
     t = F.coalesce(F.col(text), F.lit(""))
 
     def of_words(words: Column) -> Column:
-        return F.struct(F.size(words).cast("long").alias("n"), repeated_words(words).alias("r"))
+        lettered = F.filter(words, lambda w: w.rlike(r"\p{L}"))
+        return F.struct(F.size(words).cast("long").alias("n"), repeated_words(words).alias("r"), F.size(lettered).cast("long").alias("l"), F.size(F.array_distinct(words)).cast("long").alias("d"))
 
     def of_lines(lines: Column) -> Column:
         closed = F.filter(lines, lambda x: x.rlike(r"[.!?:;…»”\"')\]]\s*$"))
@@ -85,31 +89,49 @@ def measure(docs: DataFrame, text: str = "text") -> DataFrame:
             "n_repeat_words": F.col("__w.r"),
             "n_lines": F.col("__l.n"),
             "n_closed_lines": F.col("__l.c"),
+            "n_letter_words": F.col("__w.l"),
+            "n_distinct_words": F.col("__w.d"),
             "n_letters": count_of(t, F.regexp_replace(t, r"\p{L}+", "")),
         }
     ).drop("__w", "__l")
 
 
-def vote(against: Column, in_favour: Column) -> Column:
-    return F.when(against, -1).when(in_favour, 1).otherwise(0)
+def defects() -> list[Column]:
+    """What each rule for a defect looks for, over MEASURES in whole numbers."""
+    words, c = F.col("n_words"), F.col
+    return [
+        words < 50,
+        10 * c("n_symbols") > words,
+        100 * c("n_letter_words") < 80 * words,
+        100 * c("n_letters") < 75 * c("word_chars"),
+        (c("n_lines") > 1) & (100 * c("n_dup_lines") > 30 * c("n_lines")),
+        100 * c("n_repeat_words") > 30 * words,
+        10 * c("n_distinct_words") < words,
+        (c("word_chars") < 3 * words) | (c("word_chars") > 12 * words),
+        100 * c("n_closed_lines") < 10 * c("n_lines"),
+    ]
 
 
-def votes() -> list[Column]:
-    """The rules, over MEASURES in whole numbers."""
+def signs() -> list[Column]:
+    """What each rule for a good sign looks for."""
     words, c = F.col("n_words"), F.col
     return [
-        vote(words < 50, words >= 120),
-        vote(10 * c("n_symbols") > words, 100 * c("n_symbols") <= 2 * words),
-        vote(100 * c("n_dup_lines") > 30 * c("n_lines"), c("n_dup_lines") == 0),
-        vote(100 * c("n_repeat_words") > 50 * words, 100 * c("n_repeat_words") <= 20 * words),
-        vote((c("word_chars") < 2 * words) | (c("word_chars") > 14 * words), (c("word_chars") >= 3 * words) & (c("word_chars") <= 10 * words)),
-        vote(100 * c("n_closed_lines") < 10 * c("n_lines"), 100 * c("n_closed_lines") >= 60 * c("n_lines")),
-        vote(100 * c("n_letters") < 60 * c("word_chars"), 100 * c("n_letters") >= 80 * c("word_chars")),
+        (c("n_lines") > 0) & (100 * c("n_closed_lines") >= 80 * c("n_lines")),
+        (words > 0) & (100 * c("n_letters") >= 90 * c("word_chars")),
+        (words >= 100) & (5 * c("n_distinct_words") >= words),
     ]
 
 
-def within(x: Column, bounds: tuple[float, float]) -> Column:
-    return F.greatest(F.least(x, F.lit(bounds[1])), F.lit(bounds[0]))
+def votes() -> list[Column]:
+    return [F.when(d, -1).otherwise(0) for d in defects()] + [F.when(s, 1).otherwise(0) for s in signs()]
+
+
+def bounds() -> list[tuple[float, float]]:
+    return [DEFECT] * len(defects()) + [SIGN] * len(signs())
+
+
+def within(x: Column, ends: tuple[float, float]) -> Column:
+    return F.greatest(F.least(x, F.lit(ends[1])), F.lit(ends[0]))
 
 
 def log_odds(p: Column) -> Column:
@@ -117,15 +139,16 @@ def log_odds(p: Column) -> Column:
 
 
 def posterior(pattern: Column, model: Column) -> Column:
-    """The probability of quality, given the votes."""
+    """The probability of quality, given the votes; abstentions say nothing."""
     odds = F.aggregate(F.zip_with(pattern, model["acc"], lambda v, a: v * log_odds(a)), log_odds(model["share"]), lambda s, x: s + x)
     return 1 / (1 + F.exp(-odds))
 
 
-def estimate(patterns: DataFrame, n_rules: int) -> DataFrame:
+def estimate(patterns: DataFrame) -> DataFrame:
     """One row: `model`, the share of good documents and each rule's accuracy, from (votes, n) rows."""
     rows = patterns.agg(F.array_sort(F.collect_list(F.struct("votes", "n"))).alias("rows"))
     model = "struct<share: double, acc: array<double>>"
+    first = [START[0]] * len(defects()) + [START[1]] * len(signs())
 
     def total(ps: Column, f: Callable[[Column, Column], Column]) -> Column:
         return F.aggregate(F.zip_with("rows", ps, f), F.lit(0.0), lambda s, x: s + x)
@@ -133,14 +156,14 @@ def estimate(patterns: DataFrame, n_rules: int) -> DataFrame:
     def improved(ps: Column) -> Column:
         share = within(F.try_divide(total(ps, lambda r, p: r["n"] * p), total(ps, lambda r, p: r["n"].cast("double"))), SHARE)
 
-        def accuracy(j: Column) -> Column:
-            right = total(ps, lambda r, p: F.when(F.get(r["votes"], j) == 1, r["n"] * p).when(F.get(r["votes"], j) == -1, r["n"] * (1 - p)).otherwise(0.0))
-            cast = total(ps, lambda r, p: F.when(F.get(r["votes"], j) != 0, r["n"].cast("double")).otherwise(0.0))
-            return within(F.coalesce(F.try_divide(right, cast), F.lit(0.7)), ACCURACY)
+        def accuracy(j: int) -> Column:
+            right = total(ps, lambda r, p: F.when(F.get(r["votes"], F.lit(j)) == 1, r["n"] * p).when(F.get(r["votes"], F.lit(j)) == -1, r["n"] * (1 - p)).otherwise(0.0))
+            cast = total(ps, lambda r, p: F.when(F.get(r["votes"], F.lit(j)) != 0, r["n"].cast("double")).otherwise(0.0))
+            return within(F.coalesce(F.try_divide(right, cast), F.lit(first[j])), bounds()[j])
 
-        return F.struct(F.coalesce(share, F.lit(0.8)).alias("share"), F.transform(F.sequence(F.lit(0), F.lit(n_rules - 1)), accuracy).alias("acc")).cast(model)
+        return F.struct(F.coalesce(share, F.lit(START[2])).alias("share"), F.array(*map(accuracy, range(len(first)))).alias("acc")).cast(model)
 
-    start = F.struct(F.lit(0.8).alias("share"), F.array_repeat(F.lit(0.7), n_rules).alias("acc")).cast(model)
+    start = F.struct(F.lit(START[2]).alias("share"), F.array(*map(F.lit, first)).alias("acc")).cast(model)
     step = lambda m, _: let(F.transform("rows", lambda r: posterior(r["votes"], m)), improved)
     return rows.select(F.aggregate(F.sequence(F.lit(1), F.lit(ROUNDS)), start, step).alias("model"))
 
@@ -158,5 +181,5 @@ def judge(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFr
     rows = measure(docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")))
     rows = scratch.write(rows.select("doc_id", *MEASURES))
     patterns = rows.groupBy(F.array(*votes()).alias("votes")).agg(F.count("*").alias("n"))
-    out = judged(rows, scratch.write(estimate(patterns, len(votes()))))
+    out = judged(rows, scratch.write(estimate(patterns)))
     return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "probability")

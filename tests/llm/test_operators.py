@@ -81,18 +81,20 @@ def test_quality_many_repeats(spark):
 
 def em(patterns, rounds):
     """The estimate in plain Python."""
-    share, acc = 0.8, [0.7] * len(next(iter(patterns)))
+    ends = quality_rules.bounds()
+    defect, sign, share = quality_rules.START
+    acc = [defect if e == quality_rules.DEFECT else sign for e in ends]
     odds = lambda p: np.log(p / (1 - p))
     post = lambda v: 1 / (1 + np.exp(-(odds(share) + sum(x * odds(a) for x, a in zip(v, acc, strict=True)))))
     for _ in range(rounds):
         ps = {v: post(v) for v in patterns}
-        new = sum(n * ps[v] for v, n in patterns.items()) / sum(patterns.values())
-        accs = []
-        for j in range(len(acc)):
+        new = []
+        for j, (low, high) in enumerate(ends):
             right = sum(n * (ps[v] if v[j] == 1 else 1 - ps[v]) for v, n in patterns.items() if v[j])
             cast = sum(n for v, n in patterns.items() if v[j])
-            accs.append(min(max(right / cast if cast else 0.7, quality_rules.ACCURACY[0]), quality_rules.ACCURACY[1]))
-        share, acc = min(max(new, quality_rules.SHARE[0]), quality_rules.SHARE[1]), accs
+            new.append(min(max(right / cast, low), high) if cast else (defect if (low, high) == quality_rules.DEFECT else sign))
+        share = min(max(sum(n * ps[v] for v, n in patterns.items()) / sum(patterns.values()), quality_rules.SHARE[0]), quality_rules.SHARE[1])
+        acc = new
     return {v: post(v) for v in patterns}
 
 
