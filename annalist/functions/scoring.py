@@ -9,7 +9,7 @@ from .text import ascii_tokens, confidence_label
 def unit_score(x: Column) -> Column:
     """A number in [0, 1]; above 1 it is a percentage; what is no number is null."""
     v = x.try_cast("double")
-    return F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.when(v > 1, v / 100).otherwise(v)))
+    return F.when(v.isNotNull(), F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.when(v > 1, v / 100).otherwise(v))))
 
 
 def given(x: Column) -> Column:

@@ -53,7 +53,7 @@ def predicates_none_left(spark, sf):
 
 
 @query("flt_clean_and_problems", f"""
-SELECT fact_id, array_to_string(list_filter([CASE WHEN trim(object) = '' THEN 'object' END, CASE WHEN confidence_score IS NULL THEN 'score' END, CASE WHEN lower(trim(object)) IN {GENERIC} THEN 'generic' END], x -> x IS NOT NULL), ',') AS problems
+SELECT fact_id, array_to_string(list_filter([CASE WHEN trim(object) = '' THEN 'object' END, CASE WHEN confidence_score IS NULL THEN 'score' END, CASE WHEN lower(trim(object)) IN {GENERIC} THEN 'generic' END], lambda x: x IS NOT NULL), ',') AS problems
 FROM v_facts""")
 def clean_and_problems(spark, sf):
     """FLT-17, FLT-25, FLT-28"""
@@ -180,7 +180,7 @@ EVIDENCE = f"""0.72 * coalesce(confidence_score, CASE {LEVEL} WHEN 'supported' T
  + CASE WHEN trim(support_text) <> '' THEN 0.04 ELSE 0 END + CASE WHEN length(trim(support_text)) >= 80 THEN 0.03 ELSE 0 END + CASE WHEN trim(relevance) <> '' THEN 0.04 ELSE 0 END"""
 
 
-@query("txt_evidence_strength", f"SELECT fact_id, round(greatest(0, least(1, CASE WHEN {LEVEL} = 'rejected' THEN least({EVIDENCE}, 0.2) ELSE {EVIDENCE} END)), 3) AS strength FROM v_facts")
+@query("txt_evidence_strength", f"SELECT fact_id, round(round(greatest(0, least(1, CASE WHEN {LEVEL} = 'rejected' THEN least({EVIDENCE}, 0.2) ELSE {EVIDENCE} END)), 4), 3) AS strength FROM v_facts")
 def evidence(spark, sf):
     """TXT-6, TXT-10, GRF-3"""
     rows, none = with_provenance(view(spark, sf, "facts")), F.lit("")

@@ -320,7 +320,7 @@ def okapi(spark, sf):
 
 
 DENSE = """
-v AS (SELECT vec_id, label, list_transform(embedding, x -> CAST(x AS DOUBLE)) AS v FROM embeddings), q AS (SELECT vec_id AS query_id, v FROM v WHERE vec_id % 50 = 0),
+v AS (SELECT vec_id, label, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS v FROM embeddings), q AS (SELECT vec_id AS query_id, v FROM v WHERE vec_id % 50 = 0),
 s AS (SELECT query_id, vec_id AS doc_id, round(list_dot_product(q.v, v.v), 5) AS similarity FROM q, v),
 t AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY similarity DESC, doc_id) AS rank FROM s)"""
 
@@ -336,7 +336,7 @@ def dense(spark, sf):
     return retrieval.nearest(*vectors(spark, sf), 10).select("query_id", "rank", F.round("similarity", 5).alias("similarity"))
 
 
-@query("vec_cosine_norms", "SELECT vec_id, round(sqrt(list_dot_product(v, v)), 6) AS norm, round(list_dot_product(v, v) / (sqrt(list_dot_product(v, v)) * sqrt(list_dot_product(v, v))), 6) AS self FROM (SELECT vec_id, list_transform(embedding, x -> CAST(x AS DOUBLE)) AS v FROM embeddings)")
+@query("vec_cosine_norms", "SELECT vec_id, round(sqrt(list_dot_product(v, v)), 6) AS norm, round(list_dot_product(v, v) / (sqrt(list_dot_product(v, v)) * sqrt(list_dot_product(v, v))), 6) AS self FROM (SELECT vec_id, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS v FROM embeddings)")
 def norms(spark, sf):
     """VEC-1, VEC-2"""
     return table(spark, sf, "embeddings").select("vec_id", F.round(vector.norm(F.col("embedding")), 6).alias("norm"), F.round(vector.cosine(F.col("embedding"), vector.unit(F.col("embedding"))), 6).alias("self"))
@@ -402,8 +402,8 @@ def mmr(spark, sf):
 
 
 @query("win_token_windows", """
-WITH d AS (SELECT doc_id, regexp_extract_all(lower(text), '[a-z0-9]+') AS t FROM documents), e AS (SELECT doc_id, t, unnest(range(0, greatest(0, len(t) - 1 - 64) + 1, 384)) AS at FROM d WHERE len(t) > 0)
-SELECT doc_id, CAST(at // 384 AS INT) AS window, CAST(len(t[at + 1:at + 448]) AS INT) AS n, t[at + 1] AS head FROM e""")
+WITH d AS (SELECT doc_id, regexp_extract_all(lower(text), '[a-z0-9]+') AS t FROM documents), e AS (SELECT doc_id, t, unnest(range(0, greatest(0, len(t) - 1 - 64) + 1, 384)) AS st FROM d WHERE len(t) > 0)
+SELECT doc_id, CAST(st // 384 AS INT) AS "window", CAST(len(t[st + 1:st + 448]) AS INT) AS n, t[st + 1] AS head FROM e""")
 def token_windows(spark, sf):
     """WIN-14"""
     rows = retrieval.token_windows(table(spark, sf, "documents"), text.ascii_tokens(F.col("text")), 448, 64)
@@ -411,8 +411,8 @@ def token_windows(spark, sf):
 
 
 @query("win_best_window", """
-WITH d AS (SELECT doc_id, regexp_extract_all(lower(text), '[a-z0-9]+') AS t FROM documents), e AS (SELECT doc_id, at // 384 AS window, len(list_distinct(t[at + 1:at + 448])) AS score FROM (SELECT doc_id, t, unnest(range(0, greatest(0, len(t) - 1 - 64) + 1, 384)) AS at FROM d WHERE len(t) > 0))
-SELECT doc_id, CAST(window AS INT) AS window, CAST(score AS INT) AS score FROM e QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY score DESC, window) = 1""")
+WITH d AS (SELECT doc_id, regexp_extract_all(lower(text), '[a-z0-9]+') AS t FROM documents), e AS (SELECT doc_id, st // 384 AS win, len(list_distinct(t[st + 1:st + 448])) AS score FROM (SELECT doc_id, t, unnest(range(0, greatest(0, len(t) - 1 - 64) + 1, 384)) AS st FROM d WHERE len(t) > 0))
+SELECT doc_id, CAST(win AS INT) AS "window", CAST(score AS INT) AS score FROM e QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY score DESC, win) = 1""")
 def best_window(spark, sf):
     """WIN-15, WIN-16"""
     rows = retrieval.token_windows(table(spark, sf, "documents"), text.ascii_tokens(F.col("text")), 448, 64)
@@ -441,8 +441,8 @@ def transcripts(spark, sf):
 @query("txt_answer_scores", r"""
 WITH t AS (SELECT conv_id, lower(regexp_replace(a, '[!-/:-@\[-`{-~]', '', 'g')) AS p, lower(regexp_replace(b, '[!-/:-@\[-`{-~]', '', 'g')) AS g FROM (SELECT x.conv_id, x.text AS a, y.text AS b FROM v_turns x JOIN v_turns y ON x.conv_id = y.conv_id AND x.turn = 0 AND y.turn = 2)),
 n AS (SELECT conv_id, trim(regexp_replace(regexp_replace(p, '\b(a|an|the)\b', ' ', 'g'), '\s+', ' ', 'g')) AS p, trim(regexp_replace(regexp_replace(g, '\b(a|an|the)\b', ' ', 'g'), '\s+', ' ', 'g')) AS g FROM t),
-k AS (SELECT conv_id, p = g AS em, list_filter(string_split(p, ' '), x -> x <> '') AS p, list_filter(string_split(g, ' '), x -> x <> '') AS g FROM n)
-SELECT conv_id, CAST(em AS DOUBLE) AS em, CASE WHEN len(p) = 0 OR len(g) = 0 THEN CAST(len(p) = len(g) AS DOUBLE) ELSE round(2.0 * coalesce(list_sum(list_transform(list_distinct(p), x -> least(len(list_filter(p, y -> y = x)), len(list_filter(g, y -> y = x))))), 0) / (len(p) + len(g)), 6) END AS f1 FROM k""")
+k AS (SELECT conv_id, p = g AS em, list_filter(string_split(p, ' '), lambda x: x <> '') AS p, list_filter(string_split(g, ' '), lambda x: x <> '') AS g FROM n)
+SELECT conv_id, CAST(em AS DOUBLE) AS em, CASE WHEN len(p) = 0 OR len(g) = 0 THEN CAST(len(p) = len(g) AS DOUBLE) ELSE round(2.0 * coalesce(list_sum(list_transform(list_distinct(p), lambda x: least(len(list_filter(p, lambda y: y = x)), len(list_filter(g, lambda y: y = x))))), 0) / (len(p) + len(g)), 6) END AS f1 FROM k""")
 def answer_scores(spark, sf):
     """TXT-11, TXT-12, AGG-28"""
     turns = view(spark, sf, "turns")

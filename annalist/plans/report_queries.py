@@ -150,7 +150,7 @@ def choice(spark, sf):
     return rows.select("conv_id", "turn", text.answer_state(F.col("text")).alias("state"), text.choice_letter(F.col("text")).alias("letter"))
 
 
-@query("txt_seeds", r"""SELECT conv_id, turn, array_to_string(list_filter(list_distinct(regexp_extract_all(text, '"[^"]+"')), x -> len(x) > 4), '|') AS quoted FROM conversations WHERE NOT contains(text, '"')""")
+@query("txt_seeds", r"""SELECT conv_id, turn, array_to_string(list_filter(list_distinct(regexp_extract_all(text, '"[^"]+"')), lambda x: len(x) > 4), '|') AS quoted FROM conversations WHERE NOT contains(text, '"')""")
 def seeds(spark, sf):
     """TXT-14, TXT-25: the order of phrases is unit-tested; here only quoted ones"""
     rows = table(spark, sf, "conversations").where(~F.contains("text", F.lit('"')))

@@ -13,7 +13,7 @@ from ..sources.readers import scratch_path
 def stream_of(spark: SparkSession, path: str) -> DataFrame:
     schema = spark.read.parquet(path).schema
     folder, _, name = path.rpartition("/")
-    return spark.readStream.schema(schema).option("pathGlobFilter", name).option("recursiveFileLookup", "true").parquet(folder)
+    return spark.readStream.schema(schema).option("pathGlobFilter", name).option("recursiveFileLookup", "true").parquet(folder).withColumn("ts", F.col("ts").cast("timestamp"))
 
 
 def drain(stream: DataFrame, mode: str) -> DataFrame:
