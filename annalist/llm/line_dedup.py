@@ -125,6 +125,6 @@ def dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFr
 
 
 def digest(docs: DataFrame) -> DataFrame:
-    """doc_id, n_lines, n_dropped and the crc32 of what is left of every text (a null text: of no bytes)."""
+    """doc_id, n_lines, n_dropped and the sha256 of what is left of every text (a null text: of no bytes)."""
     out = dedup(docs.select("doc_id", "text"))
-    return out.select("doc_id", "n_lines", "n_dropped", F.crc32(F.encode(F.coalesce("text", F.lit("")), "UTF-8")).alias("text_crc32"))
+    return out.select("doc_id", "n_lines", "n_dropped", F.sha2(F.coalesce("text", F.lit("")), 256).alias("text_sha256"))

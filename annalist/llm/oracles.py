@@ -76,21 +76,59 @@ WITH l AS (
   SELECT doc_id, i - 1 AS pos, x[i] AS line, regexp_extract_all(x[i], '[^\x20\x09-\x0D]+') AS w
   FROM (SELECT doc_id, x, unnest(range(1, len(x) + 1)) AS i FROM (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS x FROM documents))),
 e AS (SELECT doc_id, pos, w, array_to_string(w, ' ') AS s FROM l WHERE len(w) >= 5),
-k AS (SELECT s, any_value(w) AS w, min((doc_id, pos)) AS at FROM e GROUP BY s),
-v AS (SELECT s, at, len(w) AS m, i, array_to_string(w[1:i - 1] || w[i + 1:], ' ') AS d FROM (SELECT s, at, w, unnest(range(1, len(w) + 1)) AS i FROM k)),
+k AS (SELECT s, any_value(w) AS w, min((doc_id, pos)) AS spot FROM e GROUP BY s),
+v AS (SELECT s, spot, len(w) AS m, i, array_to_string(w[1:i - 1] || w[i + 1:], ' ') AS d FROM (SELECT s, spot, w, unnest(range(1, len(w) + 1)) AS i FROM k)),
 pr AS (
-  SELECT a.s AS x, b.s AS y FROM v a JOIN v b ON a.d = b.d AND a.i = b.i AND a.m = b.m AND a.at > b.at
-  UNION SELECT a.s, b.s FROM v a JOIN k b ON a.d = b.s AND a.at > b.at
-  UNION SELECT b.s, a.s FROM v a JOIN k b ON a.d = b.s AND b.at > a.at),
+  SELECT a.s AS x, b.s AS y FROM v a JOIN v b ON a.d = b.d AND a.i = b.i AND a.m = b.m AND a.spot > b.spot
+  UNION SELECT a.s, b.s FROM v a JOIN k b ON a.d = b.s AND a.spot > b.spot
+  UNION SELECT b.s, a.s FROM v a JOIN k b ON a.d = b.s AND b.spot > a.spot),
 g AS (SELECT DISTINCT x AS s FROM pr),
-z AS (SELECT e.doc_id, e.pos FROM e JOIN k USING (s) LEFT JOIN g USING (s) WHERE g.s IS NOT NULL OR (e.doc_id, e.pos) <> k.at)
-SELECT l.doc_id, count(*) AS n_lines, count(z.pos) AS n_dropped, string_agg(CASE WHEN z.pos IS NULL THEN line END, chr(10) ORDER BY l.pos) AS text
+z AS (SELECT e.doc_id, e.pos FROM e JOIN k USING (s) LEFT JOIN g USING (s) WHERE g.s IS NOT NULL OR (e.doc_id, e.pos) <> k.spot)
+SELECT l.doc_id, count(*) AS n_lines, count(z.pos) AS n_dropped, sha256(coalesce(string_agg(CASE WHEN z.pos IS NULL THEN line END, chr(10) ORDER BY l.pos), '')) AS text_sha256
 FROM l LEFT JOIN z ON l.doc_id = z.doc_id AND l.pos = z.pos GROUP BY 1
 """
 
+DEFECT_RULES = [
+    "nw < 50", "10 * sy > nw", "100 * lw < 80 * nw", "100 * le < 75 * wc", "nl > 1 AND 100 * dl > 30 * nl", "100 * rw > 30 * nw", "10 * dw < nw", "wc < 3 * nw OR wc > 12 * nw", "100 * cl < 10 * nl",
+]
+SIGN_RULES = ["nl > 0 AND 100 * cl >= 80 * nl", "nw > 0 AND 100 * le >= 90 * wc", "nw >= 100 AND 5 * dw >= nw"]
+VOTES = ", ".join([f"CASE WHEN {r} THEN -1 ELSE 0 END" for r in DEFECT_RULES] + [f"CASE WHEN {r} THEN 1 ELSE 0 END" for r in SIGN_RULES])
+
+
+def _accuracy(j: int) -> str:
+    start, low, high = ("0.95e0", "0.95e0", "0.999e0") if j <= len(DEFECT_RULES) else ("0.65e0", "0.55e0", "0.75e0")
+    right = f"sum(CASE WHEN v[{j}] = 1 THEN n * p WHEN v[{j}] = -1 THEN n * (1 - p) ELSE 0e0 END)"
+    return f"greatest(least(CASE WHEN sum(abs(v[{j}])) = 0 THEN {start} ELSE {right} / sum(CASE WHEN v[{j}] <> 0 THEN n ELSE 0 END) END, {high}), {low})"
+
+
+RULES = range(1, len(DEFECT_RULES) + len(SIGN_RULES) + 1)
+ODDS = " + ".join(f"v[{j}] * ln(acc[{j}] / (1 - acc[{j}]))" for j in RULES)
+OP1 = rf"""
+WITH RECURSIVE t AS (SELECT row_number() OVER () AS id, doc_id, coalesce(text, '') AS t, {WORDS} AS w FROM documents),
+l AS (SELECT *, list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS ls FROM t),
+g AS (SELECT id, i, w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] AS g FROM (SELECT id, w, unnest(range(1, len(w) - 1)) AS i FROM t)),
+r AS (SELECT id, count(DISTINCT p) AS rw FROM (SELECT id, unnest([i, i + 1, i + 2]) AS p FROM (SELECT id, i, count(*) OVER (PARTITION BY id, g) AS c FROM g) WHERE c > 1) GROUP BY 1),
+m AS (
+  SELECT l.id, doc_id, CAST(len(w) AS BIGINT) AS nw, CAST(length(array_to_string(w, '')) AS BIGINT) AS wc, CAST(length(t) - length(translate(t, '#*$%&|<>', '')) AS BIGINT) AS sy, CAST(len(ls) AS BIGINT) AS nl, CAST(len(ls) - len(list_distinct(ls)) AS BIGINT) AS dl, coalesce(rw, 0) AS rw,
+         len(list_filter(ls, lambda x: regexp_matches(x, '[.!?:;…»”"'')\]]\s*\z'))) AS cl, length(t) - length(regexp_replace(t, '\p{{L}}+', '', 'g')) AS le, len(list_filter(w, lambda x: regexp_matches(x, '\p{{L}}'))) AS lw, len(list_distinct(w)) AS dw
+  FROM l LEFT JOIN r ON r.id = l.id),
+vt AS (SELECT id, [{VOTES}] AS v FROM m),
+pat AS (SELECT v, count(*) AS n FROM vt GROUP BY v),
+em AS (
+  SELECT 0 AS it, 0.8e0 AS share, [{', '.join('0.95e0' if j <= len(DEFECT_RULES) else '0.65e0' for j in RULES)}] AS acc
+  UNION ALL
+  SELECT it + 1, greatest(least(sum(n * p) / sum(n), 0.9e0), 0.5e0), [{', '.join(map(_accuracy, RULES))}]
+  FROM (SELECT it, v, n, 1 / (1 + exp(-(ln(share / (1 - share)) + {ODDS}))) AS p FROM em, pat WHERE it < 25) GROUP BY it),
+f AS (SELECT v, 1 / (1 + exp(-(ln(share / (1 - share)) + {ODDS}))) AS p FROM em, pat WHERE it = 25)
+SELECT doc_id, nw AS n_words, wc AS word_chars, sy AS n_symbols, dl AS n_dup_lines, rw AS n_repeat_words, nw < 50 OR 100 * rw > 50 * nw AS base_failed, NOT (nw < 50 OR 100 * rw > 50 * nw) AND p >= 0.5 AS kept, round(p, 6) AS probability
+FROM m JOIN vt ON vt.id = m.id JOIN f ON f.v = vt.v
+"""
+
 ORACLES = {
+    "op1_quality_rules": OP1,
     "op2_source_mixing": OP2,
     "op5_url_filter": OP5,
+    "op6_line_dedup": OP6,
     "op8_benchmark_decontamination": OP8,
     "op10_ngram_jaccard_join": OP10,
 }

@@ -74,7 +74,7 @@ def measure(docs: DataFrame, text: str = "text") -> DataFrame:
         return F.struct(F.size(words).cast("long").alias("n"), repeated_words(words).alias("r"), F.size(lettered).cast("long").alias("l"), F.size(F.array_distinct(words)).cast("long").alias("d"))
 
     def of_lines(lines: Column) -> Column:
-        closed = F.filter(lines, lambda x: x.rlike(r"[.!?:;…»”\"')\]]\s*$"))
+        closed = F.filter(lines, lambda x: x.rlike(r"[.!?:;…»”\"')\]]\s*\z"))
         return F.struct(F.size(lines).cast("long").alias("n"), (F.size(lines) - F.size(F.array_distinct(lines))).cast("long").alias("d"), F.size(closed).cast("long").alias("c"))
 
     words = let(F.regexp_extract_all(t, F.lit(r"[^\x20\x09-\x0D]+"), F.lit(0)), of_words)
@@ -182,4 +182,4 @@ def judge(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFr
     rows = scratch.write(rows.select("doc_id", *MEASURES))
     patterns = rows.groupBy(F.array(*votes()).alias("votes")).agg(F.count("*").alias("n"))
     out = judged(rows, scratch.write(estimate(patterns)))
-    return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "probability")
+    return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", F.round("probability", 6).alias("probability"))
