@@ -110,8 +110,9 @@ def judge(pages: DataFrame, allow: list[str], block: list[str], page_id: str = "
     rows = pages.select(F.col(page_id).alias("page_id"), host_of(F.col(url)).alias("host"), path_of(F.col(url)).alias("path"))
     rows = rows.withColumn("keys", keys_of(F.col("host"), F.col("path"), rules) if rules else F.array().cast("array<string>"))
     universe = scratch.write(rows.select(F.explode("keys").alias("key")).distinct())
-    blocked = cascade(spark.createDataFrame([(r,) for r in block], "key string"), universe, scratch)
-    allowed = cascade(spark.createDataFrame([(r,) for r in allow if r not in block], "key string"), universe, scratch)
+    listed = lambda keys: spark.range(1).select(F.explode(F.array(*map(F.lit, keys)).cast("array<string>")).alias("key"))
+    blocked = cascade(listed(block), universe, scratch)
+    allowed = cascade(listed([r for r in allow if r not in block]), universe, scratch)
     fits = F.transform(F.filter("keys", lambda k: blocked(k) | allowed(k)), lambda k: F.struct(F.length(k).alias("n"), F.length(F.substring_index(k, "/", 1)).alias("host"), k.alias("key")))
     rule = F.array_max(fits)["key"]
     out = rows.select("page_id", "host", "path", rule.alias("rule"))
