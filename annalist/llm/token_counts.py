@@ -20,11 +20,11 @@ from ._text import worker_cache
 
 LIMIT = 2048
 #: Distinct merged pre-tokens a worker keeps before it starts its table anew; not a cap on results.
-KEPT = 400_000
+KEPT = 1_000_000
 #: Characters for which lower-casing, composition and the word classes below are the library's: ASCII but controls, and letters and signs up to U+024F without U+0130 and the superscript digits and fractions, which are numbers but not digits.
 PLAIN = re.compile(r"[^\t\n\r\x20-\x7e\xa1-\xb1\xb4-\xb8\xba\xbb\xbf-įı-ɏ]|<\|")
-#: The pre-tokeniser's pattern, for those characters.
-PRE = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[^\W\d_]+|\d|(?:[^\s\w]|_)+")
+#: The pre-tokeniser's pattern, for those characters; words, which no contraction can begin like, come first.
+PRE = re.compile(r"[^\W\d_]+|'s|'t|'re|'ve|'m|'ll|'d|\d|(?:[^\s\w]|_)+")
 
 
 def load(path: str):

@@ -23,6 +23,7 @@ from __future__ import annotations
 
 import re
 import zlib
+from array import array
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
@@ -34,11 +35,11 @@ from ._text import mix64, worker_cache
 END_ID = 2
 BLOCK_DOCS, BLOCK_IDS = 4096, 2 << 20
 #: Distinct pre-tokens whose ids a worker keeps before it starts its table anew; not a cap on results.
-KEPT = 400_000
+KEPT = 1_000_000
 #: Characters for which the pattern below splits as the tokenizer's; texts with others are encoded whole by the library.
 PLAIN = re.compile(r"[^\t\n\r\x20-\x7e\xa1-\xb1\xb4-\xb8\xba\xbb\xbf-ɏ]|<\|")
-#: The byte-level pre-tokeniser's pattern, for those characters.
-PRE = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?[^\W\d_]+| ?\d+| ?(?:[^\s\w]|_)+|\s+(?!\S)|\s+")
+#: The byte-level pre-tokeniser's pattern, for those characters; words, which no contraction can begin like, come first.
+PRE = re.compile(r" ?[^\W\d_]+|'s|'t|'re|'ve|'m|'ll|'d| ?\d+| ?(?:[^\s\w]|_)+|\s+(?!\S)|\s+")
 BLOCK = "shard int, block int, low long, high long, before long, n_docs long, n_ids long, width int, payload binary, ends binary, keys binary, n_null int, seeds binary, prints binary, slots binary"
 
 
@@ -53,10 +54,10 @@ def encoder(path: str):
     if ("ids", path) not in cache:
         cache["ids", path] = Tokenizer.from_file(path), {}
     tokenizer, known = cache["ids", path]
-    kind = np.uint16 if tokenizer.get_vocab_size() <= 1 << 16 else np.uint32
+    code = "H" if tokenizer.get_vocab_size() <= 1 << 16 else "I"
 
     def raw(texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, kind).tobytes() for e in tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+        return [array(code, e.ids).tobytes() for e in tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
     def encode(texts: list[str]) -> list[bytes]:
         odd = [i for i, t in enumerate(texts) if PLAIN.search(t)]
@@ -75,7 +76,7 @@ def encoder(path: str):
             out[i] = b
         return out
 
-    return np.dtype(kind).itemsize, encode
+    return array(code).itemsize, encode
 
 
 def slot_of(keys: np.ndarray, seed: np.ndarray, n: int) -> np.ndarray:
@@ -130,6 +131,16 @@ def find(key: int, seeds: np.ndarray, prints: np.ndarray, slots: np.ndarray) ->
     return int(slots[slot]) if prints[slot] == fingerprints(keys)[0] else -1
 
 
+def find_all(keys: np.ndarray, seeds: np.ndarray, prints: np.ndarray, slots: np.ndarray) -> np.ndarray:
+    """`find` for many keys at once."""
+    if not len(keys) or not len(slots):
+        return np.full(len(keys), -1, np.int64)
+    own = keys.astype(np.int64).view(np.uint64)
+    seed = seeds[buckets_of(own, len(seeds))]
+    slot = np.where(seed < 0, -1 - seed, slot_of(own, np.maximum(seed, 0), len(slots)))
+    return np.where(prints[slot] == fingerprints(own), slots[slot].astype(np.int64), -1)
+
+
 def block_row(shard: int, block: int, before: int, ids: list, texts: list[bytes], width: int) -> tuple:
     ends = np.cumsum([len(t) // width for t in texts]).astype(np.uint64)
     n_null = sum(i is None for i in ids)
@@ -220,17 +231,15 @@ def digest(store: DataFrame) -> DataFrame:
                 index = np.frombuffer(b["seeds"], np.int64), np.frombuffer(b["prints"], np.uint16), np.frombuffer(b["slots"], np.uint32)
                 wide = np.frombuffer(b["payload"], f"<u{b['width']}").astype("<u4").tobytes()
                 ends, own = np.frombuffer(b["ends"], np.uint64).astype(np.int64), np.frombuffer(b["keys"], np.int64)
-                out, again = [], 0
-                for i, key in enumerate(own.tolist()):
-                    if i < b["n_null"]:
-                        d, key = i, None
-                    else:
-                        again = again + 1 if i > b["n_null"] and own[i - 1] == key else 0
-                        d = find(key, *index) + again
-                        if d != i:
-                            raise ValueError(f"the index leads key {key} to document {d}, not {i}")
-                    a, z = (int(ends[d - 1]) if d else 0), int(ends[d])
-                    out.append((key, b["at"] + a, z - a, zlib.crc32(wide[4 * a : 4 * z])))
+                n = b["n_null"]
+                first = np.append(np.arange(n), find_all(own[n:], *index))
+                # repeats of a key follow its first document
+                run = np.arange(len(own)) - np.maximum.accumulate(np.where(np.append(True, own[1:] != own[:-1]) | (np.arange(len(own)) <= n), np.arange(len(own)), 0))
+                place = np.where(np.arange(len(own)) < n, first, first + run)
+                if (place != np.arange(len(own))).any():
+                    raise ValueError("the index leads a key to another document")
+                begin = np.append(0, ends[:-1])[place]
+                out = [(None if i < n else int(own[i]), b["at"] + a, z - a, zlib.crc32(wide[4 * a : 4 * z])) for i, (a, z) in enumerate(zip(begin.tolist(), ends[place].tolist(), strict=True))]
                 yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out, strict=True)], ["doc_id", "start", "n_tokens", "ids_crc32"])
 
     rows = store.join(F.broadcast(starts), "shard").withColumn("at", F.col("shard_start") + F.col("before")).select("payload", "ends", "keys", "n_null", "seeds", "prints", "slots", "width", "at")
