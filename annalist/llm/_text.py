@@ -6,8 +6,8 @@ from collections.abc import Iterator
 
 import numpy as np
 
-GROUP_BYTES = 4 << 20
-PIECE_BYTES = 1 << 20
+GROUP_BYTES = 1 << 20
+PIECE_BYTES = 1 << 18
 
 
 def worker_cache() -> dict:
@@ -17,6 +17,31 @@ def worker_cache() -> dict:
     return sys.__dict__.setdefault("_annalist_worker_cache", {})
 
 
+def tidy() -> None:
+    """Give back to the system what a task's batches have left; idle workers keep the rest of their memory."""
+    import ctypes
+    import gc
+
+    import pyarrow as pa
+
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except OSError:  # another C library
+        pass
+
+
+def tidied(run):
+    """A function of batches that tidies up when it ends."""
+
+    def each(batches):
+        yield from run(batches)
+        tidy()
+
+    return each
+
+
 def mix64(x: np.ndarray) -> np.ndarray:
     """A bijective scrambling of 64-bit values (splitmix64's finaliser)."""
     x = x ^ (x >> np.uint64(30))

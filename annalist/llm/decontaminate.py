@@ -18,7 +18,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._text import byte_tables, groups, text_buffer, windows, words
+from ._text import byte_tables, groups, text_buffer, tidied, windows, words
 
 WINDOW = 13
 #: Bytes of benchmark text whose windows are broadcast at once; a larger benchmark is scanned block by block.
@@ -143,7 +143,7 @@ def hits(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", text: st
                 )
 
         kind = docs.schema[doc_id].dataType.simpleString()
-        parts.append(docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")).mapInArrow(run, f"doc_id {kind}, n_words long, spans array<struct<a: long, b: long>>, items array<string>"))
+        parts.append(docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")).mapInArrow(tidied(run), f"doc_id {kind}, n_words long, spans array<struct<a: long, b: long>>, items array<string>"))
     if len(parts) == 1:
         return parts[0]
     out = parts[0]
@@ -166,7 +166,7 @@ def scan(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", text: st
             kinds = (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.bool_())
             yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, k) for c, k in zip(cols, kinds, strict=True))], ["doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated"])
 
-    return found.mapInArrow(run, f"doc_id {found.schema['doc_id'].dataType.simpleString()}, {SCAN}")
+    return found.mapInArrow(tidied(run), f"doc_id {found.schema['doc_id'].dataType.simpleString()}, {SCAN}")
 
 
 def clean(docs: DataFrame, benchmark: DataFrame, remove: str = "documents", text: str = "text", window: int = WINDOW, block_bytes: int = BLOCK_BYTES) -> DataFrame:
@@ -208,4 +208,4 @@ def clean(docs: DataFrame, benchmark: DataFrame, remove: str = "documents", text
                     texts[i] = b"".join([*kept, raw[at:]]).decode()
             yield pa.RecordBatch.from_arrays([pa.array(texts, batch.schema.field(place).type) if c == place else batch.column(c) for c in range(len(names))], schema=batch.schema)
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(tidied(run), docs.schema)

@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ._scratch import BROADCAST_IDS, Scratch
-from ._text import as_signed, byte_tables, groups, mix64, text_buffer, windows, words
+from ._text import as_signed, byte_tables, groups, mix64, text_buffer, tidied, windows, words
 
 K, NUM, DEN = 5, 80, 100
 #: Buckets of the frequency table, the bits of a shingle's id that hold its hash, fragments, min-hashes, how many must agree, and hubs of a bucket.
@@ -85,7 +85,7 @@ def frequencies(texts: DataFrame, k: int) -> np.ndarray:
 
     out = np.zeros((SLICES, (1 << BUCKET_BITS) // SLICES), np.int64)
     kind = "slice int, counts binary"
-    for row in texts.mapInArrow(count, kind).repartition(32, "slice").mapInArrow(add, kind).collect():
+    for row in texts.mapInArrow(tidied(count), kind).repartition(32, "slice").mapInArrow(tidied(add), kind).collect():
         out[row["slice"]] = np.frombuffer(row["counts"], np.int64)
     return out.reshape(-1)
 
@@ -168,7 +168,7 @@ def profiles(docs: DataFrame, classes, k: int, num: int, den: int) -> DataFrame:
                 ["doc_id", "n", "cls", *(f"m{j}" for j in range(MINHASHES)), "sketch", "wide", "prefix"],
             )
 
-    return docs.mapInArrow(run, f"doc_id {kind}, n long, cls long, {', '.join(f'm{j} long' for j in range(MINHASHES))}, sketch binary, wide binary, prefix binary")
+    return docs.mapInArrow(tidied(run), f"doc_id {kind}, n long, cls long, {', '.join(f'm{j} long' for j in range(MINHASHES))}, sketch binary, wide binary, prefix binary")
 
 
 def stars(kinds: DataFrame, scratch: Scratch) -> DataFrame:
@@ -277,8 +277,8 @@ def completion(prefixes: DataFrame, parts: int, num: int, den: int) -> DataFrame
         if found:
             yield flush()
 
-    blobs = prefixes.select("cls", "comp", "n", "sketch", "prefix").mapInArrow(deal, "p int, ids binary, local binary, pos binary, cls binary, n binary, apart binary, comp binary, sketch binary")
-    return blobs.repartitionById(parts, F.col("p")).mapInArrow(pair, "a long, b long").distinct()
+    blobs = prefixes.select("cls", "comp", "n", "sketch", "prefix").mapInArrow(tidied(deal), "p int, ids binary, local binary, pos binary, cls binary, n binary, apart binary, comp binary, sketch binary")
+    return blobs.repartitionById(parts, F.col("p")).mapInArrow(tidied(pair), "a long, b long").distinct()
 
 
 def promising(pairs: DataFrame, kinds: DataFrame, rows: DataFrame, num: int, den: int) -> DataFrame:
@@ -296,7 +296,7 @@ def promising(pairs: DataFrame, kinds: DataFrame, rows: DataFrame, num: int, den
             yield pa.RecordBatch.from_arrays([pa.array([c[i] for i in good], pa.int64()) for c in (a, b)], ["a", "b"])
 
     both = pairs.join(wide.toDF("a", "m", "x").hint("merge"), "a").join(wide.toDF("b", "n", "y").hint("merge"), "b")
-    return both.select("a", "b", "m", "n", "x", "y").mapInArrow(test, "a long, b long").distinct()
+    return both.select("a", "b", "m", "n", "x", "y").mapInArrow(tidied(test), "a long, b long").distinct()
 
 
 def links(docs: DataFrame, pairs: DataFrame, kinds: DataFrame, classes, cuts: np.ndarray, k: int, num: int, den: int) -> DataFrame:
@@ -325,10 +325,10 @@ def links(docs: DataFrame, pairs: DataFrame, kinds: DataFrame, classes, cuts: np
             both = [len(np.intersect1d(np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64), assume_unique=True)) for x, y in zip(batch.column(3).to_pylist(), batch.column(4).to_pylist(), strict=True)]
             yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(3)), pa.array(both, pa.int64())], ["a", "b", "f", "both"])
 
-    fragments = texts.select("text").mapInArrow(cut, "cls long, f int, ids binary")
+    fragments = texts.select("text").mapInArrow(tidied(cut), "cls long, f int, ids binary")
     left = fragments.select(F.col("cls").alias("a"), "f", F.col("ids").alias("x"))
     right = fragments.select(F.col("cls").alias("b"), "f", F.col("ids").alias("y"))
-    counted = pairs.join(left.hint("merge"), "a").join(right.hint("merge"), ["b", "f"]).select("a", "b", "f", "x", "y").mapInArrow(overlap, "a long, b long, f int, both long")
+    counted = pairs.join(left.hint("merge"), "a").join(right.hint("merge"), ["b", "f"]).select("a", "b", "f", "x", "y").mapInArrow(tidied(overlap), "a long, b long, f int, both long")
     size = kinds.select(F.col("cls").alias("s"), "n")
     return (
         counted.groupBy("a", "b", "f").agg(F.max("both").alias("both"))  # repeated rows of a doc_id give a fragment more than once

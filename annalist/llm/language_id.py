@@ -19,7 +19,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ._text import groups, mix64, text_buffer
+from ._text import groups, mix64, text_buffer, tidied
 
 #: Labelled documents a language that are learned from, about; a documented bound of the model, not of what is judged.
 SAMPLE = 4000
@@ -88,7 +88,7 @@ def learn(docs: DataFrame, sample: int = SAMPLE) -> tuple[list[str], np.ndarray]
     kind = "lang string, slice int, counts binary"
     names = sorted(sizes)
     table = np.zeros((len(names), SLICES, (1 << FEATURE_BITS) // SLICES))
-    for r in picked.select("text", "lang").mapInArrow(count, kind).repartition(16, "lang", "slice").mapInArrow(add, kind).collect():
+    for r in picked.select("text", "lang").mapInArrow(tidied(count), kind).repartition(16, "lang", "slice").mapInArrow(tidied(add), kind).collect():
         table[names.index(r["lang"]), r["slice"]] = np.frombuffer(r["counts"], np.int64)
     counts = table.reshape(len(names), -1)
     seen = counts.sum(axis=1) > 0
@@ -183,7 +183,7 @@ def proportions(docs: DataFrame, names: list[str], model: np.ndarray, doc_id: st
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(pred), pa.array(score), pa.array(shares.tolist(), pa.list_(pa.float64())), pa.array(n_langs)], ["doc_id", "lang_pred", "score", "shares", "n_langs"])
 
     rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"), F.coalesce(F.col(text).rlike(r"\p{L}"), F.lit(False)).alias("known"))
-    return rows.mapInArrow(run, f"doc_id {kind}, lang_pred string, score double, shares array<double>, n_langs int")
+    return rows.mapInArrow(tidied(run), f"doc_id {kind}, lang_pred string, score double, shares array<double>, n_langs int")
 
 
 def predict(docs: DataFrame, sample: int = SAMPLE) -> DataFrame:
