@@ -23,28 +23,139 @@ from __future__ import annotations
 
 import re
 import zlib
-from array import array
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ._scratch import Scratch
-from ._text import mix64, worker_cache
+from ._text import long_word_hash, mix64, PIECE_BYTES, powers, text_buffer, tidied, worker_cache
 
 END_ID = 2
 BLOCK_DOCS, BLOCK_IDS = 4096, 2 << 20
 #: Distinct pre-tokens whose ids a worker keeps before it starts its table anew; not a cap on results.
 KEPT = 1_000_000
-#: Characters for which the pattern below splits as the tokenizer's; texts with others are encoded whole by the library.
-PLAIN = re.compile(r"[^\t\n\r\x20-\x7e\xa1-\xb1\xb4-\xb8\xba\xbb\xbf-ɏ]|<\|")
-#: The byte-level pre-tokeniser's pattern, for those characters; words, which no contraction can begin like, come first.
-PRE = re.compile(r" ?[^\W\d_]+|'s|'t|'re|'ve|'m|'ll|'d| ?\d+| ?(?:[^\s\w]|_)+|\s+(?!\S)|\s+")
+#: Texts with other characters than these, with a special token's opener or with a contraction are encoded whole by the library; the others split by the classes below.
+OTHER = re.compile(r"[^\t\n\r\x20-\x7e\xa1-\xb1\xb4-\xb8\xba\xbb\xbf-ɏ]")
+CONTRACTION = re.compile(r"(?:(?<![^\w\s])(?<! )|^)'(?:[stmd]|re|ve|ll)")
+LETTER, DIGIT, SPACE, SIGN = 0, 1, 2, 3
 BLOCK = "shard int, block int, low long, high long, before long, n_docs long, n_ids long, width int, payload binary, ends binary, keys binary, n_null int, seeds binary, prints binary, slots binary"
 
 
+def is_plain(text: str) -> bool:
+    return "<|" not in text and not OTHER.search(text) and not ("'" in text and CONTRACTION.search(text))
+
+
+def byte_classes(data: np.ndarray) -> np.ndarray:
+    """The class of each byte of plain UTF-8 text; both bytes of a character have its class."""
+    cache = worker_cache()
+    if "classes" not in cache:
+        table = np.full(256, SIGN, np.uint8)
+        table[[9, 10, 13, 32]] = SPACE
+        table[48:58] = DIGIT
+        table[65:91] = table[97:123] = table[0xC3:0xCA] = LETTER
+        cache["classes"] = table
+    out = cache["classes"][data]
+    two = np.flatnonzero((data >= 0xC2) & (data <= 0xC9))
+    lead, after = data[two], data[two + 1]
+    signs = (lead == 0xC3) & ((after == 0x97) | (after == 0xB7))  # the multiplication and division signs
+    letters = (lead == 0xC2) & ((after == 0xAA) | (after == 0xB5) | (after == 0xBA))
+    out[two] = np.where(letters, LETTER, np.where(signs, SIGN, out[two]))
+    out[two + 1] = out[two]
+    return out
+
+
+def pre_token_starts(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    """Where pre-tokens begin in plain texts that stand one after another: runs of one class, each with a space before it, if any; of the other white space, what stands before the last of a run, and that last."""
+    kinds = byte_classes(data)
+    start = np.empty(len(data), bool)
+    start[0], start[1:] = True, kinds[1:] != kinds[:-1]
+    edges = offsets[offsets < len(data)]
+    start[edges] = True
+    runs = np.flatnonzero(start)
+    ends = np.append(runs[1:], len(data))
+    white = kinds[runs] == SPACE
+    # a run of white space that something follows within the text gives up its last character
+    last = ends[white] - 1
+    closing = np.zeros(len(data) + 1, bool)
+    closing[edges] = closing[len(data)] = True
+    followed = ~closing[ends[white]]
+    start[last[followed]] = True
+    spaces = followed & (data[last] == 32)
+    start[ends[white][spaces]] = False  # a space goes with what follows
+    return np.flatnonzero(start)
+
+
+def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """A 64-bit hash of each span of bytes."""
+    value, up, down = powers()
+    out = np.empty(len(starts), np.uint64)
+    a = 0
+    while a < len(starts):
+        b = max(a + 1, int(np.searchsorted(ends, starts[a] + PIECE_BYTES, "right")))
+        low, high = int(starts[a]), int(ends[b - 1])
+        if high - low > PIECE_BYTES:
+            out[a] = long_word_hash(data[low:high], np.arange(256, dtype=np.uint8))
+            a = b
+            continue
+        total = np.zeros(high - low + 1, np.uint64)
+        np.cumsum(value[data[low:high]] * up[: high - low], out=total[1:])
+        out[a:b] = (total[ends[a:b] - low] - total[starts[a:b] - low]) * down[starts[a:b] - low]
+        a = b
+    return mix64(out + (ends - starts).astype(np.uint64) * np.uint64(0xA0761D6478BD642F))
+
+
+class Known:
+    """Ids of pre-tokens by the hash of their bytes: open addressing in arrays, so that many are looked up at once."""
+
+    def __init__(self, code: str):
+        self.code = code
+        self.clear()
+
+    def clear(self) -> None:
+        self.bits = 22
+        self.keys, self.place = np.zeros(1 << self.bits, np.uint64), np.zeros(1 << self.bits, np.int32)
+        self.n, self.ids, self.used = 0, np.zeros(1 << 20, self.code), 0
+        self.first, self.size = np.zeros(KEPT + (1 << 20), np.int32), np.zeros(KEPT + (1 << 20), np.int32)
+
+    def find(self, keys: np.ndarray) -> np.ndarray:
+        """The entry of each key, or -1."""
+        out = np.full(len(keys), -1, np.int32)
+        left, mask = np.arange(len(keys)), np.uint64((1 << self.bits) - 1)
+        at = (keys & mask).astype(np.int64)
+        while len(left):
+            held = self.keys[at]
+            hit = held == keys[left]
+            out[left[hit]] = self.place[at[hit]]
+            on = ~hit & (held != 0)
+            left, at = left[on], (at[on] + 1) & int(mask)
+        return out
+
+    def add(self, keys: np.ndarray, encoded: list) -> None:
+        """New, distinct keys and their ids."""
+        sizes = np.fromiter(map(len, encoded), np.int32, len(encoded))
+        flat = np.fromiter((i for e in encoded for i in e), self.code, int(sizes.sum()))
+        while self.used + len(flat) > len(self.ids):
+            self.ids = np.concatenate([self.ids, np.zeros_like(self.ids)])
+        self.ids[self.used : self.used + len(flat)] = flat
+        where = np.arange(self.n, self.n + len(keys), dtype=np.int32)
+        self.first[where], self.size[where] = self.used + np.cumsum(sizes) - sizes, sizes
+        self.n, self.used = self.n + len(keys), self.used + len(flat)
+        left, mask = np.arange(len(keys)), (1 << self.bits) - 1
+        at = (keys & np.uint64(mask)).astype(np.int64)
+        while len(left):
+            free = self.keys[at] == 0
+            self.keys[at[free]] = keys[left[free]]  # of several that want a place the last written has it
+            self.place[at[free]] = where[left[free]]
+            lost = self.keys[at] != keys[left]
+            left, at = left[lost], (at[lost] + 1) & mask
+
+
 def encoder(path: str):
-    """(bytes per id, a function from texts to their ids as bytes)."""
+    """(bytes per id, a function from an Arrow column of texts to each one's ids as bytes).
+
+    Each distinct pre-token is encoded once by the library and then found by the hash of its bytes.
+    """
     import os
 
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -52,31 +163,51 @@ def encoder(path: str):
 
     cache = worker_cache()
     if ("ids", path) not in cache:
-        cache["ids", path] = Tokenizer.from_file(path), {}
+        tokenizer = Tokenizer.from_file(path)
+        cache["ids", path] = tokenizer, Known("uint16" if tokenizer.get_vocab_size() <= 1 << 16 else "uint32")
     tokenizer, known = cache["ids", path]
-    code = "H" if tokenizer.get_vocab_size() <= 1 << 16 else "I"
+    width = known.ids.itemsize
 
-    def raw(texts: list[str]) -> list[bytes]:
-        return [array(code, e.ids).tobytes() for e in tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+    def raw(texts: list[str]) -> list[list[int]]:
+        return [e.ids for e in tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def encode(column) -> list[bytes]:
+        import pyarrow as pa
 
-    def encode(texts: list[str]) -> list[bytes]:
-        odd = [i for i, t in enumerate(texts) if PLAIN.search(t)]
+        texts = [t or "" for t in column.to_pylist()]
+        odd = [i for i, t in enumerate(texts) if not is_plain(t)]
+        out = [b""] * len(texts)
+        for i, ids in zip(odd, raw([texts[i] for i in odd]), strict=True):
+            out[i] = np.array(ids, known.ids.dtype).tobytes()
         strange = set(odd)
-        split = [None if i in strange else PRE.findall(t) for i, t in enumerate(texts)]
-        new = {p for s in split if s for p in s if p not in known}
-        if len(known) + len(new) > KEPT:
-            known.clear()
-            new = {p for s in split if s for p in s}
-        new = list(new)
-        for at in range(0, len(new), 20_000):
-            part = new[at : at + 20_000]
-            known.update(zip(part, raw(part), strict=True))
-        out = [b"" if s is None else b"".join(map(known.__getitem__, s)) for s in split]
-        for i, b in zip(odd, raw([texts[i] for i in odd]), strict=True):
-            out[i] = b
+        plain = [i for i, t in enumerate(texts) if t and i not in strange]
+        if not plain:
+            return out
+        data, offsets = text_buffer(pa.array([texts[i] for i in plain], pa.large_string()))
+        data, offsets = data[offsets[0] : offsets[-1]], offsets - offsets[0]
+        starts = pre_token_starts(data, offsets)
+        ends = np.append(starts[1:], len(data))
+        keys = span_hashes(data, starts, ends) | np.uint64(1 << 63)  # never 0, which marks a free place
+        entry = known.find(keys)
+        if (entry < 0).any():
+            new, first = np.unique(keys[entry < 0], return_index=True)
+            at = np.flatnonzero(entry < 0)[first]
+            if known.n + len(new) > KEPT:
+                known.clear()
+                new, at = np.unique(keys, return_index=True)
+            for i in range(0, len(new), 20_000):
+                pieces = [data[a:b].tobytes().decode() for a, b in zip(starts[at[i : i + 20_000]].tolist(), ends[at[i : i + 20_000]].tolist(), strict=True)]
+                known.add(new[i : i + 20_000], raw(pieces))
+            entry = known.find(keys)
+        sizes = known.size[entry]
+        upto = np.cumsum(sizes)
+        ids = known.ids[np.repeat(known.first[entry] - (upto - sizes), sizes) + np.arange(int(upto[-1]))].tobytes()
+        bounds = np.append(0, upto)[np.searchsorted(starts, offsets)] * width
+        for k, i in enumerate(plain):
+            out[i] = ids[bounds[k] : bounds[k + 1]]
         return out
 
-    return array(code).itemsize, encode
+    return width, encode
 
 
 def slot_of(keys: np.ndarray, seed: np.ndarray, n: int) -> np.ndarray:
@@ -171,7 +302,7 @@ def write_store(docs: DataFrame, path: str, tokenizer_path: str, doc_id: str = "
         for batch in batches:
             for at in range(0, batch.num_rows, 512):
                 part = batch.slice(at, 512)
-                for i, t in zip(part.column(0).to_pylist(), encode([t or "" for t in part.column(1).to_pylist()]), strict=True):
+                for i, t in zip(part.column(0).to_pylist(), encode(part.column(1)), strict=True):
                     if ids and (len(ids) >= BLOCK_DOCS or held + len(t) > BLOCK_IDS * width) and i != ids[-1]:
                         yield row()
                         block, before, ids, texts, held = block + 1, before + held // width, [], [], 0
@@ -183,7 +314,7 @@ def write_store(docs: DataFrame, path: str, tokenizer_path: str, doc_id: str = "
 
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    rows.repartitionByRange(parts, F.col("doc_id").asc_nulls_first()).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "text").mapInArrow(run, BLOCK).write.parquet(path)
+    rows.repartitionByRange(parts, F.col("doc_id").asc_nulls_first()).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "text").mapInArrow(tidied(run), BLOCK).write.parquet(path)
 
 
 def read_store(spark: SparkSession, path: str) -> DataFrame:
@@ -212,7 +343,7 @@ def lookup(store: DataFrame, keys: list[int]) -> DataFrame:
 
     if not wanted:
         return store.sparkSession.createDataFrame([], "doc_id long, ids array<long>")
-    return store.where((F.col("high") >= wanted[0]) & (F.col("low") <= wanted[-1])).mapInArrow(run, "doc_id long, ids array<long>")
+    return store.where((F.col("high") >= wanted[0]) & (F.col("low") <= wanted[-1])).mapInArrow(tidied(run), "doc_id long, ids array<long>")
 
 
 def digest(store: DataFrame) -> DataFrame:
@@ -243,7 +374,7 @@ def digest(store: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out, strict=True)], ["doc_id", "start", "n_tokens", "ids_crc32"])
 
     rows = store.join(F.broadcast(starts), "shard").withColumn("at", F.col("shard_start") + F.col("before")).select("payload", "ends", "keys", "n_null", "seeds", "prints", "slots", "width", "at")
-    return rows.mapInArrow(run, "doc_id long, start long, n_tokens long, ids_crc32 long")
+    return rows.mapInArrow(tidied(run), "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 
 def encode_and_read_back(docs: DataFrame, tokenizer_path: str) -> DataFrame:
