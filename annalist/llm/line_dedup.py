@@ -19,9 +19,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ._scratch import Scratch
+from ._scratch import BROADCAST_IDS, Scratch
 
 MIN_WORDS = 5
+#: Lines that a document may have, and a number below all ids.
+LINES, NO_ID = 1 << 31, -9223372036854775809
 WORD = r"[^\x20\x09-\x0D]+"
 
 
@@ -33,6 +35,25 @@ def hash_of(x: Column, seed: int) -> Column:
     return F.xxhash64(x, F.lit(seed))
 
 
+def spot(doc_id: Column, pos: Column) -> Column:
+    """doc_id and line number as one number in their order; a null doc_id before all others."""
+    return (F.coalesce(doc_id.cast("decimal(20,0)"), F.lit(str(NO_ID)).cast("decimal(20,0)")) * F.lit(LINES).cast("decimal(10,0)") + pos).cast("decimal(38,0)")
+
+
+def doc_of(at: Column) -> Column:
+    doc = ((at - line_of(at)) / F.lit(LINES).cast("decimal(10,0)")).cast("decimal(20,0)")
+    return F.when(doc != F.lit(str(NO_ID)).cast("decimal(20,0)"), doc.cast("long"))
+
+
+def line_of(at: Column) -> Column:
+    return F.pmod(at, F.lit(LINES).cast("decimal(10,0)")).cast("int")
+
+
+def small(df: DataFrame, rows: int) -> DataFrame:
+    """Marked for broadcast if its rows were counted to be within BROADCAST_IDS, else left to a shuffle."""
+    return F.broadcast(df) if rows <= BROADCAST_IDS else df.hint("merge")
+
+
 def lines_of(docs: DataFrame) -> DataFrame:
     """doc_id, pos, m (words), the line's two hashes, and the keys of its halves."""
     lines = docs.select("doc_id", F.posexplode(F.split(F.coalesce("text", F.lit("")), "\n")).alias("pos", "line"))
@@ -44,8 +65,8 @@ def lines_of(docs: DataFrame) -> DataFrame:
 
     half = F.floor(F.col("m") / 2).cast("int")
     less = F.floor((F.col("m") - 1) / 2).cast("int")
-    keys = F.array_distinct(F.array(*halves(half), *halves(less)))
-    return rows.select("doc_id", "pos", "m", hash_of(F.col("w"), 1).alias("h1"), hash_of(F.col("w"), 2).alias("h2"), keys.alias("halves"))
+    keys = [k.alias(f"c{i}") for i, k in enumerate([*halves(half), *halves(less)])]
+    return rows.select("doc_id", "pos", "m", hash_of(F.col("w"), 1).alias("h1"), hash_of(F.col("w"), 2).alias("h2"), *keys)
 
 
 def variants(words: DataFrame) -> DataFrame:
@@ -82,20 +103,23 @@ def doomed(docs: DataFrame) -> DataFrame:
     """doc_id, pos of every line that goes; docs: doc_id, text."""
     scratch = Scratch(docs.sparkSession)
     lines = scratch.write(lines_of(docs))
-    at = F.struct(F.col("doc_id"), F.col("pos"))
-    kinds = scratch.write(lines.groupBy("h1", "h2").agg(F.min(at).alias("at"), F.min("m").alias("m"), F.min("halves").alias("halves")))
+    at = spot(F.col("doc_id"), F.col("pos"))
+    kinds = scratch.write(lines.groupBy("h1", "h2").agg(F.min(at).alias("at"), F.min("m").alias("m"), *(F.min(f"c{i}").alias(f"c{i}") for i in range(4))))
 
-    keyed = kinds.select("h1", "h2", "at", F.explode("halves").alias("half"))
+    keyed = kinds.select("h1", "h2", "at", F.explode(F.array_distinct(F.array("c0", "c1", "c2", "c3"))).alias("half"))
     shared = keyed.groupBy("half").agg(F.count("*").alias("c")).where("c > 1")
-    open_ = keyed.join(shared, "half").select("h1", "h2", "at").distinct()
+    open_ = scratch.write(keyed.join(shared, "half").groupBy("h1", "h2").agg(F.min("at").alias("at")))
     # the earliest line of each open kind gives its words, read again from its document
-    spots = open_.groupBy(F.col("at.doc_id").alias("d")).agg(F.collect_list(F.struct(F.col("at.pos").alias("pos"), "h1", "h2")).alias("spots"))
-    cut = docs.join(spots, F.col("doc_id").eqNullSafe(F.col("d"))).select("doc_id", F.split(F.coalesce("text", F.lit("")), "\n").alias("lines"), F.explode("spots").alias("s"))
-    cut = cut.select(F.struct("doc_id", F.col("s.pos").alias("pos")).alias("at"), F.col("s.h1").alias("h1"), F.col("s.h2").alias("h2"), F.explode(F.array(words_of(F.get("lines", F.col("s.pos"))))).alias("w"))
+    spots = open_.groupBy(doc_of(F.col("at")).alias("d")).agg(F.collect_list(F.struct(line_of(F.col("at")).alias("pos"), "at", "h1", "h2")).alias("spots"))
+    cut = docs.join(small(spots, open_.count()), F.col("doc_id").eqNullSafe(F.col("d"))).select(F.split(F.coalesce("text", F.lit("")), "\n").alias("lines"), F.explode("spots").alias("s"))
+    cut = cut.select(F.col("s.at").alias("at"), F.col("s.h1").alias("h1"), F.col("s.h2").alias("h2"), F.explode(F.array(words_of(F.get("lines", F.col("s.pos"))))).alias("w"))
     cut = cut.where((hash_of(F.col("w"), 1) == F.col("h1")) & (hash_of(F.col("w"), 2) == F.col("h2"))).dropDuplicates(["h1", "h2"])
     cut = scratch.write(cut.select(F.struct("h1", "h2").alias("line"), "at", F.size("w").alias("m"), "w"))
 
-    each = scratch.write(variants(cut.select("line", "at", "m", F.posexplode("w").alias("k", "w"))))
+    # variants that no other line shares go first
+    every = scratch.write(variants(cut.select("line", "at", "m", F.posexplode("w").alias("k", "w"))).withColumn("n", F.when(F.col("i") < 0, F.col("m")).otherwise(F.col("m") - 1)))
+    met = every.groupBy("n", "k1", "k2").agg(F.count("*").alias("c")).where("c > 1").drop("c")
+    each = scratch.write(every.join(met, ["n", "k1", "k2"]).select("line", "at", "m", "i", "k1", "k2"))
     first = F.min(F.struct("at", "line")).alias("first")
     replaced = each.where("i >= 0").groupBy("m", "i", "k1", "k2").agg(first, F.count("*").alias("c")).where("c > 1").drop("c")
     pairs = each.join(replaced, ["m", "i", "k1", "k2"]).select("line", "at", "first")
@@ -116,8 +140,9 @@ def doomed(docs: DataFrame) -> DataFrame:
 def dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """The documents with all their columns, the text without its doomed lines, and n_lines and n_dropped."""
     rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
-    gone = doomed(rows).groupBy(F.col("doc_id").alias("__d")).agg(F.collect_set("pos").alias("__gone"))
-    out = docs.join(gone, F.col(doc_id).eqNullSafe(F.col("__d")), "left")
+    lost = Scratch(docs.sparkSession).write(doomed(rows))
+    gone = lost.groupBy(F.col("doc_id").alias("__d")).agg(F.collect_set("pos").alias("__gone"))
+    out = docs.join(small(gone, lost.count()), F.col(doc_id).eqNullSafe(F.col("__d")), "left")
     lines = F.split(F.coalesce(F.col(text), F.lit("")), "\n")
     kept = F.filter(F.transform(lines, lambda x, i: F.when(~F.array_contains("__gone", i), x)), lambda x: x.isNotNull())
     cleaned = F.when(F.col("__gone").isNull(), F.col(text)).otherwise(F.array_join(kept, "\n"))
