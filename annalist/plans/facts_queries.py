@@ -176,16 +176,16 @@ def provenance_quality(spark, sf):
 
 
 LEVEL = "CASE WHEN contains(confidence, 'reject') THEN 'rejected' WHEN contains(confidence, 'support') THEN 'supported' ELSE 'uncertain' END"
-EVIDENCE = f"""0.72 * coalesce(confidence_score, CASE {LEVEL} WHEN 'supported' THEN 0.78 WHEN 'rejected' THEN 0.06 ELSE 0.42 END) + 0.2 * {QUALITY}
- + CASE WHEN trim(support_text) <> '' THEN 0.04 ELSE 0 END + CASE WHEN length(trim(support_text)) >= 80 THEN 0.03 ELSE 0 END + CASE WHEN trim(relevance) <> '' THEN 0.04 ELSE 0 END"""
+EVIDENCE = f"""0.72e0 * coalesce(confidence_score, CASE {LEVEL} WHEN 'supported' THEN 0.78e0 WHEN 'rejected' THEN 0.06e0 ELSE 0.42e0 END) + 0.2e0 * CAST({QUALITY} AS DOUBLE)
+ + CASE WHEN trim(support_text) <> '' THEN 0.04e0 ELSE 0e0 END + CASE WHEN length(trim(support_text)) >= 80 THEN 0.03e0 ELSE 0e0 END + CASE WHEN trim(relevance) <> '' THEN 0.04e0 ELSE 0e0 END"""
 
 
-@query("txt_evidence_strength", f"SELECT fact_id, round(round(greatest(0, least(1, CASE WHEN {LEVEL} = 'rejected' THEN least({EVIDENCE}, 0.2) ELSE {EVIDENCE} END)), 4), 3) AS strength FROM v_facts")
+@query("txt_evidence_strength", f"SELECT fact_id, round(greatest(0, least(1, CASE WHEN {LEVEL} = 'rejected' THEN least({EVIDENCE}, 0.2e0) ELSE {EVIDENCE} END)), 4) AS strength FROM v_facts")
 def evidence(spark, sf):
     """TXT-6, TXT-10, GRF-3"""
     rows, none = with_provenance(view(spark, sf, "facts")), F.lit("")
     own = scoring.evidence_strength(F.col("confidence_score"), none, F.col("confidence"), F.col("quality"), F.col("support_text"), none, F.col("relevance"), F.lit(False), none)
-    return rows.select("fact_id", F.round(own, 3).alias("strength"))
+    return rows.select("fact_id", own.alias("strength"))
 
 
 @query("txt_sparse_relevance", """

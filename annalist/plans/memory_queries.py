@@ -168,8 +168,8 @@ v AS (SELECT conv_id, turn, ('0x' || substr(h, 1, 8))::BIGINT % 64 AS i, sum(CAS
 SELECT conv_id, turn, round(sqrt(sum(x * x)), 6) AS length, CAST(arg_min(i, (-abs(x), i)) AS INT) AS strongest FROM v GROUP BY 1, 2""")
 def hash_embedding(spark, sf):
     """VEC-3, UDF-3"""
-    rows = table(spark, sf, "conversations").select("conv_id", "turn", vector.hash_embedding(text.ascii_tokens(F.col("text"))).alias("v")).where(F.exists("v", lambda x: x != 0) | F.col("v").isNotNull())
-    rows = rows.where(F.aggregate("v", F.lit(0.0), lambda s, x: s + F.abs(x)) > -1)
+    rows = table(spark, sf, "conversations").select("conv_id", "turn", text.ascii_tokens(F.col("text")).alias("t")).where(F.size("t") > 0)
+    rows = rows.select("conv_id", "turn", vector.hash_embedding(F.col("t")).alias("v"))
     top = F.array_min(F.transform("v", lambda x, i: F.struct((-F.abs(x)).alias("a"), i.alias("i"))))["i"]
     return rows.select("conv_id", "turn", F.round(vector.norm(F.col("v")), 6).alias("length"), top.alias("strongest"))
 
