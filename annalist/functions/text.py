@@ -4,7 +4,9 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 #: Fixed values.
-STOP_WORDS = "a an the of in on at to for and or is are was were be been being by with from as that this it its which who whom what when where how".split()
+STOP_WORDS = ["a", "an", "and", "are", "as", "at", "be", "by", "for", "from", "in", "is", "it", "of", "on", "or", "that", "the", "this", "to", "was", "were", "which", "with", "what", "who", "when", "where", "why", "how", "does", "do", "did", "can", "could", "would"]
+#: Fixed values.
+REFUSALS = ["i don't know", "i do not know", "cannot answer", "can't answer", "unknown"]
 
 
 def canonical_predicate(p: Column, default: str | None = "RELATED_TO") -> Column:
@@ -21,9 +23,9 @@ def confidence_label(v: Column) -> Column:
 
 
 def confidence_label_support_first(v: Column) -> Column:
-    """The variant that looks for support first."""
+    """The variant that looks for support first, if nothing negates it."""
     t = F.lower(F.trim(F.coalesce(v.cast("string"), F.lit(""))))
-    return F.when(t.contains("support"), "supported").when(t.contains("reject") | t.contains("not"), "rejected").otherwise("uncertain")
+    return F.when(t.contains("support") & ~t.contains("not"), "supported").when(t.contains("reject") | t.contains("false") | t.contains("not"), "rejected").otherwise("uncertain")
 
 
 def ascii_tokens(t: Column) -> Column:
@@ -61,8 +63,8 @@ def answer_spaced(t: Column) -> Column:
 
 
 def answer_plain(t: Column) -> Column:
-    """All but letters, digits, underscores and spaces deleted; articles stay."""
-    return squeeze(F.regexp_replace(F.lower(F.coalesce(t, F.lit(""))), r"[^\p{L}\p{N}_\s]", ""))
+    """Spaces squeezed, then all but letters, digits, underscores and spaces deleted; articles stay."""
+    return F.regexp_replace(squeeze(F.lower(F.coalesce(t, F.lit("")))), r"[^\p{L}\p{N}_\s]", "")
 
 
 def common_tokens(a: Column, b: Column) -> Column:
@@ -84,45 +86,75 @@ def exact_match(pred: Column, gold: Column, normalise=answer_squad) -> Column:
     return (normalise(pred) == normalise(gold)).cast("double")
 
 
+def without_thoughts(t: Column) -> Column:
+    """The text without its <think> blocks; the text itself if nothing else is there."""
+    cut = F.trim(F.regexp_replace(t, r"(?is)<think>.*?</think>", ""))
+    return F.when(cut == "", t).otherwise(cut)
+
+
 def choice_letter(t: Column) -> Column:
-    """The multiple-choice letter: an explicit `answer is X`, a leading letter, a bracketed one, or the last lone letter."""
-    up = F.upper(F.coalesce(t, F.lit("")))
-    first = lambda p: F.nullif(F.regexp_extract(up, p, 1), F.lit(""))
-    lone = F.regexp_extract_all(up, F.lit(r"\b([A-D])\b"), F.lit(1))
-    return F.coalesce(first(r"ANSWER\s*(?:IS|:)?\s*\(?([A-D])\b"), first(r"^\s*\(?([A-D])\b"), first(r"\(([A-D])\)"), F.try_element_at(lone, F.lit(-1)))
+    """The multiple-choice letter: after `answer`, else the last that stands alone, else the last at all, else empty."""
+    whole = F.coalesce(t, F.lit(""))
+    rest = without_thoughts(whole)
+    some = lambda c: F.nullif(c, F.lit(""))
+    named = F.upper(F.regexp_extract(whole, r"(?i)(?:final\s+answer|answer)\s*[:\-]?\s*\(?([ABCD])\)?", 1))
+    alone = F.regexp_extract_all(rest, F.lit(r"(?:^|[^\p{L}\p{N}_])([ABCD])(?:[^\p{L}\p{N}_]|$)"), F.lit(1))
+    last = F.regexp_extract(F.upper(rest), r"(?s)([ABCD])[^ABCD]*$", 1)
+    return F.coalesce(some(named), F.try_element_at(alone, F.lit(-1)), some(last), F.lit(""))
 
 
 def seed_phrases(t: Column, most: int = 10) -> Column:
-    """Capitalised phrases and quoted strings of more than two characters, in order, distinct."""
-    found = F.regexp_extract_all(F.coalesce(t, F.lit("")), F.lit(r"\p{Lu}[\p{L}\p{N}]*(?: \p{Lu}[\p{L}\p{N}]*)*|\"[^\"]+\""), F.lit(0))
-    clean = F.transform(found, lambda x: F.regexp_replace(x, '"', ""))
-    return F.slice(F.array_distinct(F.filter(clean, lambda x: F.length(x) > 2)), 1, most)
+    """Capitalised phrases, then quoted strings, of more than two characters, distinct."""
+    q, name = F.coalesce(t, F.lit("")), r"[A-Z][a-z]+(?:[A-Z][A-Za-z0-9]*)*"
+    names = F.regexp_extract_all(q, F.lit(rf"\b{name}(?:\s+{name})*\b"), F.lit(0))
+    quoted = F.regexp_extract_all(q, F.lit(r'"([^"]+)"'), F.lit(1))
+    found = F.transform(F.concat(names, quoted), lambda x: F.regexp_replace(x, r"^\s+|\s+$", ""))
+    return F.slice(F.array_distinct(F.filter(found, lambda x: F.length(x) > 2)), 1, most)
 
 
 def sentences(t: Column, most: int = 1200) -> Column:
-    """Sentences: cut after . ! ? and a space; longer ones are cut every `most` characters."""
-    parts = F.filter(F.transform(F.split(F.coalesce(t, F.lit("")), r"(?<=[.!?])\s+"), F.trim), lambda x: x != "")
-    return F.flatten(F.transform(parts, lambda x: F.transform(F.sequence(F.lit(0), F.floor((F.length(x) - 1) / most).cast("int")), lambda i: F.substring(x, i * most + 1, F.lit(most)))))
+    """Sentences of the squeezed text: cut after . ! ? before a capital, digit, quote or bracket; longer ones are cut every `most` characters."""
+    parts = F.filter(F.split(squeeze(F.coalesce(t, F.lit(""))), r"(?<=[.!?])\s+(?=[A-Z0-9\"'(\[{])"), lambda x: x != "")
+    return F.flatten(F.transform(parts, lambda x: F.transform(F.sequence(F.lit(0), F.floor((F.length(x) - 1) / most).cast("int")), lambda i: F.trim(F.substring(x, i * most + 1, F.lit(most))))))
+
+
+def rejection_code(reason: Column, stage: Column | None = None) -> Column:
+    """The code of a rejection, from its wording; verification has codes of its own."""
+    r = F.lower(F.trim(F.coalesce(reason, F.lit(""))))
+    has = lambda *parts: F.greatest(*(r.contains(p) for p in parts), F.lit(False))
+    by_model = F.lower(F.trim(F.coalesce(stage, F.lit("")))) == "llm_verification" if stage is not None else F.lit(False)
+    return (
+        F.when(by_model & has("uncertain", "partial", "maybe"), "llm_verification_uncertain").when(by_model, "llm_verification_rejected")
+        .when(has("redundancy", "already exists"), "redundant_fact").when(has("self-referential"), "self_referential_fact").when(has("too generic"), "generic_object")
+        .when(has("subject, predicate, or object is empty"), "empty_field").when(has("circular containment"), "circular_containment").when(has("both alive and dead"), "alive_dead_conflict")
+        .when(has("contradiction", "conflicting"), "functional_conflict").otherwise("validator_reject")
+    )
 
 
-def rejection_code(reason: Column) -> Column:
-    r = F.lower(F.coalesce(reason, F.lit("")))
-    rules = [("redundan", "duplicate_fact"), ("duplicate", "duplicate_fact"), ("circular", "circular_containment"), ("alive", "alive_dead_conflict"), ("contradict", "functional_conflict"), ("self-ref", "self_referential_fact"), ("generic", "generic_object"), ("empty", "empty_required_field")]
-    out = F.lit("other")
-    for part, code in reversed(rules):
-        out = F.when(r.contains(part), code).otherwise(out)
-    return out
+def answer_state(t: Column, gold: Column) -> Column:
+    """answered, refusal or invalid: empty or over 12 words is invalid, unless it is the gold answer."""
+    x = F.regexp_replace(F.coalesce(t, F.lit("")), r"^\s+|\s+$", "")
+    bare = lambda c: F.trim(F.regexp_replace(F.lower(F.coalesce(c, F.lit(""))), "[^a-z0-9]+", " "))
+    refused = F.greatest(*(F.contains(F.lower(x), F.lit(m)) for m in REFUSALS))
+    return F.when(x == "", "invalid").when(bare(x) == bare(gold), "answered").when(refused, "refusal").when(F.size(F.split(x, r"\s+")) > 12, "invalid").otherwise("answered")
 
 
-def answer_state(t: Column) -> Column:
-    x = F.lower(F.trim(F.coalesce(t, F.lit(""))))
-    return F.when(x == "", "invalid").when(x.rlike(r"\b(unknown|cannot|can't|refuse|not sure)\b"), "refusal").otherwise("answered")
+PREFIX = r"(?i)^\s*(final answer|answer)\s*[:\-]\s*"
+
+
+def lines_with_text(t: Column) -> Column:
+    return F.filter(F.transform(F.split(F.coalesce(t, F.lit("")), r"\R"), lambda x: F.regexp_replace(x, r"^\s+|\s+$", "")), lambda x: x != "")
 
 
 def short_answer(t: Column) -> Column:
-    """The text after a leading `answer:` on its first line that isn't empty."""
-    line = F.regexp_extract(F.coalesce(t, F.lit("")), r"^\s*([^\n]*)", 1)
-    return F.trim(F.regexp_replace(line, r"(?i)^\s*(final answer|answer)\s*[:\-]\s*", ""))
+    """The first line with text, without a leading `answer:`."""
+    return F.trim(F.regexp_replace(F.coalesce(F.get(lines_with_text(t), F.lit(0)), F.lit("")), PREFIX, ""))
+
+
+def answer_span(t: Column) -> Column:
+    """The last line with text, without thoughts, a leading `answer:` and quotes."""
+    line = F.try_element_at(lines_with_text(without_thoughts(F.coalesce(t, F.lit("")))), F.lit(-1))
+    return F.regexp_replace(F.regexp_replace(F.coalesce(line, F.lit("")), PREFIX, ""), r'^[\s"]+|[\s"]+$', "")
 
 
 def directory_name(t: Column) -> Column:

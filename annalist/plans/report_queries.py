@@ -142,24 +142,28 @@ def provenance(spark, sf):
 
 
 @query("txt_choice_and_state", r"""
-SELECT conv_id, turn, CASE WHEN trim(text) = '' THEN 'invalid' WHEN regexp_matches(lower(text), '\b(unknown|cannot|can''t|refuse|not sure)\b') THEN 'refusal' ELSE 'answered' END AS state,
- coalesce(nullif(regexp_extract(upper(text), 'ANSWER\s*(?:IS|:)?\s*\(?([A-D])\b', 1), ''), nullif(regexp_extract(upper(text), '^\s*\(?([A-D])\b', 1), ''), nullif(regexp_extract(upper(text), '\(([A-D])\)', 1), '')) AS letter FROM conversations WHERE text NOT SIMILAR TO '(?s).*\b[a-dA-D]\b.*'""")
+SELECT conv_id, turn, CASE WHEN trim(text) = '' THEN 'invalid' WHEN regexp_matches(lower(text), 'i don''t know|i do not know|cannot answer|can''t answer|unknown') THEN 'refusal' WHEN len(list_filter(regexp_split_to_array(trim(text, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)), '\s+'), lambda x: true)) > 12 THEN 'invalid' ELSE 'answered' END AS state,
+ coalesce(nullif(upper(regexp_extract(text, '(?i)(?:final\s+answer|answer)\s*[:\-]?\s*\(?([ABCD])\)?', 1)), ''), regexp_extract_all(text, '(?:^|[^\p{L}\p{N}_])([ABCD])(?:[^\p{L}\p{N}_]|$)', 1)[-1], nullif(regexp_extract(upper(text), '(?s)([ABCD])[^ABCD]*$', 1), ''), '') AS letter FROM conversations""")
 def choice(spark, sf):
-    """TXT-13, TXT-20; texts without lone letters, whose word boundaries the two engines see alike"""
-    rows = table(spark, sf, "conversations").where(~F.col("text").rlike(r"(?s)^.*\b[a-dA-D]\b.*$"))
-    return rows.select("conv_id", "turn", text.answer_state(F.col("text")).alias("state"), text.choice_letter(F.col("text")).alias("letter"))
+    """TXT-13, TXT-20"""
+    rows = table(spark, sf, "conversations")
+    return rows.select("conv_id", "turn", text.answer_state(F.col("text"), F.lit("(no gold answer)")).alias("state"), text.choice_letter(F.col("text")).alias("letter"))
 
 
-@query("txt_seeds", r"""SELECT conv_id, turn, array_to_string(list_filter(list_distinct(regexp_extract_all(text, '"[^"]+"')), lambda x: len(x) > 4), '|') AS quoted FROM conversations WHERE NOT contains(text, '"')""")
+@query("txt_seeds", r"""
+WITH a AS (SELECT conv_id, turn, regexp_extract_all(text, '\b[A-Z][a-z]+(?:[A-Z][A-Za-z0-9]*)*(?:\s+[A-Z][a-z]+(?:[A-Z][A-Za-z0-9]*)*)*\b') AS n, regexp_extract_all(text, '"([^"]+)"', 1) AS q FROM conversations WHERE regexp_matches(text, '^[\x00-\x7F]*$')),
+u AS (SELECT conv_id, turn, x[i] AS s, i FROM (SELECT conv_id, turn, n || q AS x, unnest(range(1, len(n || q) + 1)) AS i FROM a)), f AS (SELECT conv_id, turn, s, min(i) AS i FROM u WHERE length(s) > 2 GROUP BY 1, 2, 3),
+k AS (SELECT conv_id, turn, string_agg(s, '|' ORDER BY i) AS seeds FROM (SELECT *, row_number() OVER (PARTITION BY conv_id, turn ORDER BY i) AS r FROM f) WHERE r <= 10 GROUP BY 1, 2)
+SELECT conv_id, turn, coalesce(seeds, '') AS seeds FROM a LEFT JOIN k USING (conv_id, turn)""")
 def seeds(spark, sf):
-    """TXT-14, TXT-25: the order of phrases is unit-tested; here only quoted ones"""
-    rows = table(spark, sf, "conversations").where(~F.contains("text", F.lit('"')))
-    return rows.select("conv_id", "turn", F.array_join(F.filter(text.seed_phrases(F.col("text")), lambda x: F.startswith(x, F.lit('"'))), "|").alias("quoted"))
+    """TXT-14, TXT-25; ASCII texts, whose word boundaries the two engines see alike"""
+    rows = table(spark, sf, "conversations").where(F.col("text").rlike(r"^[\x00-\x7F]*$"))
+    return rows.select("conv_id", "turn", F.array_join(text.seed_phrases(F.col("text")), "|").alias("seeds"))
 
 
 @query("txt_normalised_answers", r"""
 WITH t AS (SELECT conv_id, turn, lower(text) AS x FROM conversations)
-SELECT conv_id, turn, sha256(trim(regexp_replace(regexp_replace(regexp_replace(x, '[!-/:-@\[-`{-~]', ' ', 'g'), '\b(a|an|the)\b', ' ', 'g'), '\s+', ' ', 'g'))) AS spaced, sha256(trim(regexp_replace(regexp_replace(x, '[^\p{L}\p{N}_\s]', '', 'g'), '\s+', ' ', 'g'))) AS plain FROM t WHERE regexp_matches(x, '^[\x00-\x7F]*$')""")
+SELECT conv_id, turn, sha256(trim(regexp_replace(regexp_replace(regexp_replace(x, '[!-/:-@\[-`{-~]', ' ', 'g'), '\b(a|an|the)\b', ' ', 'g'), '\s+', ' ', 'g'))) AS spaced, sha256(regexp_replace(trim(regexp_replace(x, '\s+', ' ', 'g')), '[^\p{L}\p{N}_\s]', '', 'g')) AS plain FROM t WHERE regexp_matches(x, '^[\x00-\x7F]*$')""")
 def normalised(spark, sf):
     """TXT-11: the two variants beside the one in txt_answer_scores; ASCII texts, whose word boundaries the two engines see alike"""
     rows = table(spark, sf, "conversations").where(F.lower("text").rlike(r"^[\x00-\x7F]*$"))

@@ -32,13 +32,15 @@ def test_text(spark):
         spark,
         p=text.canonical_predicate(F.lit("  located--in! ")), empty=text.canonical_predicate(F.lit("??")), none=text.canonical_predicate(F.lit("?"), None), un=text.confidence_label(F.lit("unsupported")), no=text.confidence_label(F.lit("not sure")),
         a=text.answer_squad(F.lit("The U.S., an  Answer")), b=text.answer_spaced(F.lit("The U.S.")), c=text.answer_plain(F.lit("The U.S.!")), f1=text.token_f1(F.lit("a red red ball"), F.lit("red ball red car")), empty_f1=text.token_f1(F.lit("the"), F.lit("")),
-        letter=text.choice_letter(F.lit("I think the answer is (C).")), lead=text.choice_letter(F.lit("b) because")), last=text.choice_letter(F.lit("maybe it is D")), none_l=text.choice_letter(F.lit("no idea")),
+        letter=text.choice_letter(F.lit("I think the answer is (C).")), lead=text.choice_letter(F.lit("b) because")), last=text.choice_letter(F.lit("maybe it is D")), none_l=text.choice_letter(F.lit("hmm")), thought=text.choice_letter(F.lit("<think>A or C</think> so (B)")),
+        states=F.array(*(text.answer_state(F.lit(x), F.lit("Red, car")) for x in ("red car", " ", "I don't know it", "a " * 13, "blue"))), span=text.answer_span(F.lit('<think>x</think>\nso\n Answer: "Paris" ')), short=text.short_answer(F.lit("\n answer - Rome\nmore")), un2=text.confidence_label_support_first(F.lit("not supported")),
         seeds=text.seed_phrases(F.lit('Who met New York Mayor and "the cat"? New York Mayor')), sents=text.sentences(F.lit("One two. Three! Four")), long=text.sentences(F.lit("x" * 2500)), js=text.json_object(F.lit('```json {"a": {"b": 1}} ```')), code=text.rejection_code(F.lit("Contradiction: x")),
     )
     assert (r["p"], r["empty"], r["none"], r["un"], r["no"]) == ("LOCATED_IN", "RELATED_TO", "", "supported", "rejected")
     assert (r["a"], r["b"], r["c"]) == ("us answer", "u s", "the us")
     assert r["f1"] == pytest.approx(2 * 3 / (3 + 4)) and r["empty_f1"] == 1.0
-    assert (r["letter"], r["lead"], r["last"], r["none_l"]) == ("C", "B", "D", None)
+    assert (r["letter"], r["lead"], r["last"], r["none_l"], r["thought"]) == ("C", "A", "D", "", "B")
+    assert r["states"] == ["answered", "invalid", "refusal", "invalid", "answered"] and (r["span"], r["short"], r["un2"]) == ("Paris", "Rome", "rejected")
     assert r["seeds"] == ["Who", "New York Mayor", "the cat"] and r["sents"] == ["One two.", "Three!", "Four"]
     assert [len(x) for x in r["long"]] == [1200, 1200, 100] and r["js"] == '{"a": {"b": 1}}' and r["code"] == "functional_conflict"
 
