@@ -1,17 +1,18 @@
 """Line dedup by a deletion-neighbourhood join, in DataFrame functions only.
 
-Lines are compared as sequences of words. Two lines are near if one word inserted, deleted or replaced makes them equal: then
-they share a variant, the line itself or the line without one word. Every variant is emitted as a hashed key, equal variants
-are joined, the edit distance of each line to the earliest one found is verified on the words, and only the earliest stays:
-a line goes if an equal or near line of at least MIN_WORDS words stands before it, in the order of doc_id and line number.
+Lines are compared as sequences of words. Every line with a word goes if an equal line stands before it, in the order of
+doc_id and line number. Lines of at least MIN_WORDS words go also if a near one stands before them. Two lines are near if one
+word inserted, deleted or replaced makes them equal: then they share a variant, the line itself or the line without one word.
+Every variant is emitted as a hashed key, equal variants are joined, the edit distance of each line to the earliest one found
+is verified on the words, and only the earliest stays. In a line of fewer words, each character of a script written without
+spaces is a word of its own, if that gives MIN_WORDS words or more.
 
 Only the earliest line of each distinct sequence emits variants, and only if its first or its last half is also that of
 another line: a line that is near to another shares one of the two halves with it. Equal variants are never paired with each
 other; each group yields its earliest line, so a template with any number of fillings costs one row a line.
 
-Defined results: a null text has one empty line; blank lines and lines of fewer than MIN_WORDS words always stay; repeated
-rows of one doc_id and text are one document's lines, so one doesn't remove the other's; null doc_ids come first; an empty
-table gives an empty result; `dedup` keeps all other columns.
+Defined results: a null text has one empty line; blank lines always stay; repeated rows of one doc_id and text are one
+document's lines, so one doesn't remove the other's; null doc_ids come first; an empty table gives an empty result; `dedup` keeps all other columns.
 """
 
 from __future__ import annotations
@@ -21,14 +22,22 @@ from pyspark.sql import functions as F
 
 from ._scratch import BROADCAST_IDS, Scratch
 
+#: Words from which on lines that differ by one edit are near; shorter lines go only as equal copies.
 MIN_WORDS = 5
 #: Lines that a document may have, and a number below all ids.
 LINES, NO_ID = 1 << 31, -9223372036854775809
 WORD = r"[^\x20\x09-\x0D]+"
+#: Scripts written without spaces between words.
+UNSPACED = "".join(rf"\p{{Is{s}}}" for s in ("Han", "Hiragana", "Katakana", "Thai", "Lao", "Khmer", "Myanmar"))
+CHARACTER = rf"[{UNSPACED}]|[^\x20\x09-\x0D{UNSPACED}]+"
 
 
 def words_of(line: Column) -> Column:
-    return F.regexp_extract_all(line, F.lit(WORD), F.lit(0))
+    def split(w: Column) -> Column:
+        single = F.regexp_extract_all(line, F.lit(CHARACTER), F.lit(0))
+        return F.when((F.size(w) >= MIN_WORDS) | ~line.rlike(f"[{UNSPACED}]"), w).when(F.size(single) >= MIN_WORDS, single).otherwise(w)
+
+    return F.get(F.transform(F.array(F.regexp_extract_all(line, F.lit(WORD), F.lit(0))), split), F.lit(0))
 
 
 def hash_of(x: Column, seed: int) -> Column:
@@ -57,7 +66,7 @@ def small(df: DataFrame, rows: int) -> DataFrame:
 def lines_of(docs: DataFrame) -> DataFrame:
     """doc_id, pos, m (words), the line's two hashes, and the keys of its halves."""
     lines = docs.select("doc_id", F.posexplode(F.split(F.coalesce("text", F.lit("")), "\n")).alias("pos", "line"))
-    rows = lines.select("doc_id", "pos", F.explode(F.array(words_of(F.col("line")))).alias("w")).withColumn("m", F.size("w")).where(F.col("m") >= MIN_WORDS)
+    rows = lines.select("doc_id", "pos", F.explode(F.array(words_of(F.col("line")))).alias("w")).withColumn("m", F.size("w")).where("m > 0")
 
     def halves(n: Column) -> list[Column]:
         head, tail = F.slice("w", F.lit(1), n), F.slice("w", F.col("m") - n + 1, n)
@@ -106,7 +115,7 @@ def doomed(docs: DataFrame) -> DataFrame:
     at = spot(F.col("doc_id"), F.col("pos"))
     kinds = scratch.write(lines.groupBy("h1", "h2").agg(F.min(at).alias("at"), F.min("m").alias("m"), *(F.min(f"c{i}").alias(f"c{i}") for i in range(4))))
 
-    keyed = kinds.select("h1", "h2", "at", F.explode(F.array_distinct(F.array("c0", "c1", "c2", "c3"))).alias("half"))
+    keyed = kinds.where(F.col("m") >= MIN_WORDS).select("h1", "h2", "at", F.explode(F.array_distinct(F.array("c0", "c1", "c2", "c3"))).alias("half"))
     shared = keyed.groupBy("half").agg(F.count("*").alias("c")).where("c > 1")
     open_ = scratch.write(keyed.join(shared, "half").groupBy("h1", "h2").agg(F.min("at").alias("at")))
     # the earliest line of each open kind gives its words, read again from its document

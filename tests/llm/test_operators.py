@@ -260,6 +260,16 @@ def test_line_dedup(docs, empty):
     assert line_dedup.digest(empty).count() == 0
 
 
+def test_line_dedup_short_and_unspaced(spark):
+    rows = [
+        (1, "Les.\nhttps://a.example\n三个人今天去公园\none two three four"), (2, "Les.\n三个人明天去公园\none two three four"), (3, "Les\n你好\nOne two three four"), (4, "三 个人今天去公园\n  \n\n  Les.\n你好\nx 你好\none two three"),
+        (5, "สวัสดีครับ"), (6, "สวัสดีครับ\nสวัสดีคร้บ\nย"),
+    ]
+    got = {r["doc_id"]: r["text"] for r in line_dedup.dedup(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    # 明 for 今 is one edit of the eight characters; 你好, of two, goes only as a copy; case and a missing full stop make another short line
+    assert got == {1: rows[0][1], 2: "", 3: rows[2][1], 4: "  \n\nx 你好\none two three", 5: rows[4][1], 6: "ย"}
+
+
 def test_token_counts(docs):
     path = public_tokenizers.path("word_bpe_49k.json")
     t = tokenizers.Tokenizer.from_file(path)
