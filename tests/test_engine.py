@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 import __spark_entry__ as entry
 from annalist.functions import identity, scoring, temporal, text, vector
 from annalist.operators import graph, metrics, replay, retrieval, rules, scope, stats, windows
+from annalist.plans import views
 from annalist.sources import readers, writers
 
 FACT = "fact_id string, session_id string, example_id string, subject string, predicate string, object string, pos long, valid_from string, valid_to string, confidence_score double"
@@ -280,3 +281,24 @@ def test_entry(spark):
     if os.path.isdir(entry.DATA):
         assert entry.entry(spark).count() > 0
     assert set(entry.oracle_sql()) <= set(entry.queries())
+
+
+def test_whole_log_is_joined(spark, tmp_path):
+    import datetime
+    import hashlib
+
+    kinds = ["signup", "click", "view", "purchase", "error"]
+    rows = [(i, i % 3, kinds[i * 7 % 5], datetime.datetime(2024, 1, 1 + i % 20), f'{{"k": {i * 5 % 4}}}') for i in [*range(2980, 3060), *range(9000, 9040)]]
+    spark.createDataFrame(rows, "event_id long, user_id long, event_type string, ts timestamp, props string").write.parquet(f"{tmp_path}/events.parquet")
+    log = views.view(spark, str(tmp_path), "log").collect()
+    want = set()
+    for a in log:
+        for b in log:
+            same = all(a[c] == b[c] for c in ("history_id", "subject", "predicate", "domain", "scope")) and a["object"] != b["object"] and a["pos"] < b["pos"]
+            if same and "retract" not in (a["operation"], b["operation"]) and a["valid_from"] <= (b["valid_to"] or "9999") and b["valid_from"] <= (a["valid_to"] or "9999"):
+                status = "resolved_authority" if b["authority"] == "direct_user" != a["authority"] else "resolved_supersession" if b["supersedes"] == a["fact_id"] else "unresolved"
+                want.add((hashlib.sha256(":".join(sorted((a["event_id"], b["event_id"]))).encode()).hexdigest(), status))
+    got = entry.queries()["join_contradiction_pairs"](spark, str(tmp_path)).collect()
+    assert len(got) == len(want) and {tuple(r) for r in got} == want
+    seen = {(f"k{a['event_id']}", sum(b["history_id"] == a["history_id"] and b["pos"] <= a["pos"] for b in log), a["pos"]) for a in log}
+    assert {tuple(r) for r in entry.queries()["join_prefix_until"](spark, str(tmp_path)).collect()} == seen
