@@ -43,10 +43,18 @@ def episodes(turns: DataFrame, n: int) -> DataFrame:
 
 
 def views_at(stream: DataFrame, checkpoints: DataFrame, caps: list[int]) -> DataFrame:
-    """For each checkpoint (episode, at) and window, how many turns the window holds: those whose tokens, from there to the checkpoint, fit (ST-15, WIN-11)."""
-    k = checkpoints.select(F.col("episode").alias("e"), F.col("at").alias("k"), F.col("total").alias("upto"), F.explode(F.array(*map(F.lit, caps))).alias("cap"))
-    met = k.join(stream, (F.col("e") == F.col("episode")) & (F.col("at") <= F.col("k")) & (F.col("upto") - F.col("total") + F.col("tokens") <= F.col("cap")), "left")
-    return met.groupBy(F.col("e").alias("episode"), F.col("k").alias("checkpoint"), "cap").agg(F.count("at").alias("turns"))
+    """For each checkpoint (episode, at) and window, how many turns the window holds: those whose tokens, from there to the checkpoint, fit (ST-15, WIN-11).
+
+    The tokens before a turn never fall along an episode, so the turns that don't fit are those that begin before the window does: a running count over both, and no join of turns with turns.
+    """
+    order = Window.partitionBy("episode").orderBy("at").rowsBetween(Window.unboundedPreceding, 0)
+    k = stream.withColumn("seen", F.count("tokens").over(order)).join(checkpoints.select("episode", "at"), ["episode", "at"])
+    k = k.select("episode", "at", F.col("total").alias("upto"), "seen", F.explode(F.array(*map(F.lit, caps))).alias("cap"))
+    marks = k.select("episode", (F.col("upto") - F.col("cap")).alias("x"), F.lit(0).alias("turn"), "at", "cap", "seen")
+    starts = stream.where("tokens is not null").select("episode", (F.col("total") - F.col("tokens")).alias("x"), F.lit(1).alias("turn"), *(F.lit(None).cast(marks.schema[c].dataType).alias(c) for c in ("at", "cap", "seen")))
+    before = F.coalesce(F.sum("turn").over(Window.partitionBy("episode").orderBy("x").rangeBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    rows = marks.union(starts).withColumn("before", before).where("turn = 0")
+    return rows.select("episode", F.col("at").alias("checkpoint"), "cap", F.coalesce(F.greatest(F.col("seen") - F.col("before"), F.lit(0)), F.lit(0)).alias("turns"))
 
 
 def distances(triggers: DataFrame, stream: DataFrame, steps: list[int]) -> DataFrame:

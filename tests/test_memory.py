@@ -1,10 +1,14 @@
 """Working memory, schedules and the search contract on small tables."""
 
+import math
+
 import pytest
 from pyspark.sql import functions as F
 
+import __spark_entry__ as entry
 from annalist.functions import text, vector
 from annalist.operators import memory, search
+from annalist.plans import views
 
 
 def test_interleave(spark):
@@ -65,3 +69,48 @@ def test_spans_and_embedding(spark):
     assert {r["item"]: (r["first"], r["last"]) for r in memory.spans_of(items, tokens, 4).collect()} == {0: (0, 1), 1: (1, 2)}
     v = spark.range(1).select(vector.hash_embedding(text.ascii_tokens(F.lit("a a b"))).alias("v")).first()["v"]
     assert len(v) == 64 and sum(abs(x) for x in v) == 3
+
+
+def test_states_and_checkpoints_of_the_whole_log(spark, tmp_path):
+    import datetime
+
+    kinds = ["signup", "click", "view", "purchase", "error"]
+    rows = [(i, i % 3, kinds[i * 7 % 5], datetime.datetime(2024, 1, 1 + i % 20), f'{{"k": {i * 5 % 4}}}') for i in range(100, 20000, 150)]
+    spark.createDataFrame(rows, "event_id long, user_id long, event_type string, ts timestamp, props string").write.parquet(f"{tmp_path}/events.parquet")
+    turns = [(c, t, "user", "w " * (c * t % 90), "x") for c in range(9) for t in range(12)]
+    spark.createDataFrame(turns, "conv_id long, turn long, role string, text string, rest string").write.parquet(f"{tmp_path}/conversations.parquet")
+    run = lambda name: entry.queries()[name](spark, str(tmp_path)).collect()
+    log = sorted(views.view(spark, str(tmp_path), "log").collect(), key=lambda r: r["pos"])
+    end = log[-1]["pos"]
+
+    def distance(a, b):
+        top = math.sqrt(sum((a.get(x, 0) - b.get(x, 0)) ** 2 for x in a.keys() | b.keys()))
+        return round(top / max(1, math.sqrt(sum(v * v for v in a.values()))), 6)
+
+    def state(p):
+        out = {}
+        for r in log:
+            if r["pos"] <= p:
+                out[r["fact_id"]] = max(out.get(r["fact_id"], 0), r["confidence"])
+        return out
+
+    assert run("vec_state_distance")[0][0] == pytest.approx(distance(state(end // 2), state(end)), abs=2e-6)
+    old, new = ({r["event_id"]: r["confidence"] for r in log if (r["pos"] > 3 * end // 4) == late} for late in (False, True))
+    strong = lambda s: {k: v for k, v in s.items() if v >= 0.5}
+    assert run("grf_order_gap")[0][0] == pytest.approx(distance(strong(old | new), strong(old) | new), abs=2e-6) and len(new) > 30
+
+    want = set()
+    for c in log:
+        seen = [r for r in log if r["history_id"] == c["history_id"] and r["pos"] <= c["pos"]]
+        gone = {r["retracts"]: r["pos"] for r in seen if r["operation"] == "retract"}
+        live = {}
+        for r in seen:
+            if r["operation"] != "retract" and r["pos"] > gone.get(r["fact_id"], -1):
+                live.setdefault(r["fact_id"], []).append(r)
+        for f, rs in live.items():
+            want.add((c["event_id"], f, ([r["object"] for r in rs if r["operation"] != "duplicate_delivery"] or [rs[0]["object"]])[-1]))
+    assert {tuple(r) for r in run("st_condition_snapshots")} == want
+
+    stream = memory.episodes(views.view(spark, str(tmp_path), "turns"), 4).collect()
+    fits = {(k["episode"], k["at"], cap, sum(i["episode"] == k["episode"] and i["at"] <= k["at"] and k["total"] - i["total"] + i["tokens"] <= cap for i in stream)) for k in stream for cap in (100, 400, 1600)}
+    assert {tuple(r) for r in run("st_checkpoint_views")} == fits and len(fits) == 3 * len(turns)
