@@ -156,8 +156,8 @@ u AS (SELECT conv_id, turn, x[i] AS s, i FROM (SELECT conv_id, turn, n || q AS x
 k AS (SELECT conv_id, turn, string_agg(s, '|' ORDER BY i) AS seeds FROM (SELECT *, row_number() OVER (PARTITION BY conv_id, turn ORDER BY i) AS r FROM f) WHERE r <= 10 GROUP BY 1, 2)
 SELECT conv_id, turn, coalesce(seeds, '') AS seeds FROM a LEFT JOIN k USING (conv_id, turn)""")
 def seeds(spark, sf):
-    """TXT-14, TXT-25; ASCII texts, whose word boundaries the two engines see alike"""
-    rows = table(spark, sf, "conversations").where(F.col("text").rlike(r"^[\x00-\x7F]*$"))
+    """TXT-14, TXT-25; every turn, of which the SQL takes those in ASCII"""
+    rows = table(spark, sf, "conversations")
     return rows.select("conv_id", "turn", F.array_join(text.seed_phrases(F.col("text")), "|").alias("seeds"))
 
 
@@ -165,8 +165,8 @@ def seeds(spark, sf):
 WITH t AS (SELECT conv_id, turn, lower(text) AS x FROM conversations)
 SELECT conv_id, turn, sha256(trim(regexp_replace(regexp_replace(regexp_replace(x, '[!-/:-@\[-`{-~]', ' ', 'g'), '\b(a|an|the)\b', ' ', 'g'), '\s+', ' ', 'g'))) AS spaced, sha256(regexp_replace(trim(regexp_replace(x, '\s+', ' ', 'g')), '[^\p{L}\p{N}_\s]', '', 'g')) AS plain FROM t WHERE regexp_matches(x, '^[\x00-\x7F]*$')""")
 def normalised(spark, sf):
-    """TXT-11: the two variants beside the one in txt_answer_scores; ASCII texts, whose word boundaries the two engines see alike"""
-    rows = table(spark, sf, "conversations").where(F.lower("text").rlike(r"^[\x00-\x7F]*$"))
+    """TXT-11: the two variants beside the one in txt_answer_scores; every turn, of which the SQL takes those in ASCII"""
+    rows = table(spark, sf, "conversations")
     return rows.select("conv_id", "turn", F.sha2(text.answer_spaced(F.col("text")), 256).alias("spaced"), F.sha2(text.answer_plain(F.col("text")), 256).alias("plain"))
 
 

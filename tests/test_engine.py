@@ -302,3 +302,22 @@ def test_whole_log_is_joined(spark, tmp_path):
     assert len(got) == len(want) and {tuple(r) for r in got} == want
     seen = {(f"k{a['event_id']}", sum(b["history_id"] == a["history_id"] and b["pos"] <= a["pos"] for b in log), a["pos"]) for a in log}
     assert {tuple(r) for r in entry.queries()["join_prefix_until"](spark, str(tmp_path)).collect()} == seen
+
+
+def test_turns_beyond_ascii(spark, tmp_path):
+    import hashlib
+    import re
+
+    texts = ["Paris and the Café of Émile Zola", "a l'Élysée: \"thé à la menthe\" an é", "aé éa Anñ Élan Vital Été", "The 東京 Tower Xa東", "plain ASCII, a Test of New York", "naïve the_ a² ²a", None, "", "Straße An Den Linden"]
+    spark.createDataFrame(list(enumerate(texts)), "conv_id long, text string").selectExpr("conv_id", "1L as turn", "text").write.parquet(f"{tmp_path}/conversations.parquet")
+    run = lambda name: {r["conv_id"]: r for r in entry.queries()[name](spark, str(tmp_path)).collect()}
+    seeds, plain = run("txt_seeds"), run("txt_normalised_answers")
+    name = r"[A-Z][a-z]+(?:[A-Z][A-Za-z0-9]*)*"
+    sha = lambda t: hashlib.sha256(t.encode()).hexdigest()
+    assert len(seeds) == len(plain) == len(texts)
+    for i, t in enumerate(t or "" for t in texts):
+        found = [x for x in re.findall(rf"\b{name}(?:\s+{name})*\b", t) + re.findall(r'"([^"]+)"', t) if len(x) > 2]
+        assert seeds[i]["seeds"] == "|".join(dict.fromkeys(found)), t
+        spaced = re.sub(r"\b(a|an|the)\b", " ", re.sub(r"[!-/:-@\[-`{-~]", " ", t.lower()))
+        assert plain[i]["spaced"] == sha(" ".join(spaced.split())) and plain[i]["plain"] == sha(re.sub(r"[^\w\s]", "", " ".join(t.lower().split()))), t
+    assert seeds[0]["seeds"] == "Paris|Zola"
