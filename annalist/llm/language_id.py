@@ -25,7 +25,7 @@ from ._text import groups, mix64, text_buffer, tidied
 SAMPLE = 4000
 FEATURE_BITS, SLICES = 15, 32
 SMOOTHING, PENALTY = 0.5, 4.0
-ROUNDS, SET_ROUNDS, MOST_LANGUAGES = 8, 4, 3
+ROUNDS, SET_ROUNDS = 8, 4
 CHUNK = 1 << 20
 
 
@@ -133,7 +133,7 @@ def infer(logs: np.ndarray, first: np.ndarray, sizes: np.ndarray) -> tuple[np.nd
     found, count = np.zeros_like(share), np.ones(len(sizes), np.int64)
     found[np.arange(len(sizes)), best] = 1
     score = totals.max(axis=1)
-    for k in range(2, min(langs, MOST_LANGUAGES) + 1):
+    for k in range(2, langs + 1):
         allowed = np.zeros_like(share)
         np.put_along_axis(allowed, rank[:, :k], 1, axis=1)
         # where the k-th language holds next to nothing, the larger set can't win

@@ -373,3 +373,15 @@ def test_empty_tables(empty):
         assert f(empty).count() == 0
     assert token_counts.token_counts(empty, public_tokenizers.path("word_bpe_49k.json")).count() == 0
     assert token_store.encode_and_read_back(empty, public_tokenizers.path("byte_bpe_50k.json")).count() == 0
+
+
+def test_language_id_many_languages(spark):
+    rng = np.random.default_rng(3)
+    stems = {f"l{i}": [f"{a}{b}" for b in "aeiou"] for i, a in enumerate(("kr", "bl", "zw", "mn", "tch", "spr"))}
+    text = lambda lang, n: " ".join("".join(rng.choice(stems[lang], 3)) for _ in range(n))
+    rows = [(i, text(f"l{i % 6}", 40), f"l{i % 6}") for i in range(300)]
+    for k in (4, 5, 6):
+        rows.append((1000 + k, " ".join(text(f"l{i}", 60 + (i == 0) * 20) for i in range(k)), None))
+    got = {r["doc_id"]: r for r in language_id.predict(spark.createDataFrame(rows, "doc_id long, text string, lang string")).where("doc_id > 1000").collect()}
+    for k in (4, 5, 6):
+        assert got[1000 + k]["n_langs"] == k and got[1000 + k]["lang_pred"] == "l0" and abs(got[1000 + k]["score"] - 80 / (60 * k + 20)) < 0.03
