@@ -119,38 +119,33 @@ def scanner(spark, benchmark: DataFrame, window: int):
 
 
 def hits(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", text: str = "text", window: int = WINDOW, block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """One row per document: doc_id, n_words, spans (merged hit ranges of words), items. Blocks of the benchmark are scanned in turn and summed up per document."""
+    """One row per row of docs: doc_id, n_words, spans (merged hit ranges of words), items. All blocks of the benchmark are scanned in one pass over the rows."""
     spark = docs.sparkSession
-    parts = []
-    for block in blocks(benchmark, "item_id", "text", block_bytes):
-        known = scanner(spark, block, window)
-
-        def run(batches, known=known):
-            import pyarrow as pa
-
-            table = known.value
-            keys = lookups(table)
-            for batch in batches:
-                found = list(scan_texts(batch.column(1), table, keys))
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        batch.column(0),
-                        pa.array([f[0] for f in found], pa.int64()),
-                        pa.array([[{"a": a, "b": b} for a, b in merged(f[1])] for f in found], pa.list_(pa.struct([("a", pa.int64()), ("b", pa.int64())]))),
-                        pa.array([sorted(f[2]) for f in found], pa.list_(pa.string())),
-                    ],
-                    ["doc_id", "n_words", "spans", "items"],
-                )
-
-        kind = docs.schema[doc_id].dataType.simpleString()
-        parts.append(docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")).mapInArrow(tidied(run), f"doc_id {kind}, n_words long, spans array<struct<a: long, b: long>>, items array<string>"))
-    if len(parts) == 1:
-        return parts[0]
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    # rows of one doc_id in each block agree in n_words; repeated rows of a doc_id fold into one here
-    return out.groupBy("doc_id", "n_words").agg(F.flatten(F.collect_list("spans")).alias("spans"), F.array_distinct(F.flatten(F.collect_list("items"))).alias("items"))
+    parts = [scanner(spark, b, window) for b in blocks(benchmark, "item_id", "text", block_bytes)]
+
+    def run(batches):
+        import pyarrow as pa
+
+        tables = [(p.value, lookups(p.value)) for p in parts]
+        for batch in batches:
+            sizes, spans, items = [0] * batch.num_rows, [[] for _ in range(batch.num_rows)], [set() for _ in range(batch.num_rows)]
+            for table, keys in tables:
+                for i, (n, ranges, ids, _, _) in enumerate(scan_texts(batch.column(1), table, keys)):
+                    sizes[i] = n
+                    spans[i] += ranges
+                    items[i] |= ids
+            yield pa.RecordBatch.from_arrays(
+                [
+                    batch.column(0),
+                    pa.array(sizes, pa.int64()),
+                    pa.array([[{"a": a, "b": b} for a, b in merged(x)] for x in spans], pa.list_(pa.struct([("a", pa.int64()), ("b", pa.int64())]))),
+                    pa.array([sorted(x) for x in items], pa.list_(pa.string())),
+                ],
+                ["doc_id", "n_words", "spans", "items"],
+            )
+
+    kind = docs.schema[doc_id].dataType.simpleString()
+    return docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")).mapInArrow(tidied(run), f"doc_id {kind}, n_words long, spans array<struct<a: long, b: long>>, items array<string>")
 
 
 def scan(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", text: str = "text", window: int = WINDOW, block_bytes: int = BLOCK_BYTES) -> DataFrame:

@@ -385,3 +385,13 @@ def test_language_id_many_languages(spark):
     got = {r["doc_id"]: r for r in language_id.predict(spark.createDataFrame(rows, "doc_id long, text string, lang string")).where("doc_id > 1000").collect()}
     for k in (4, 5, 6):
         assert got[1000 + k]["n_langs"] == k and got[1000 + k]["lang_pred"] == "l0" and abs(got[1000 + k]["score"] - 80 / (60 * k + 20)) < 0.03
+
+
+def test_decontamination_blocks_keep_rows(spark):
+    words = prose(1, 60).split()
+    bench = spark.createDataFrame([(1, " ".join(words[:20])), (2, " ".join(words[20:40])), (3, " ".join(words[40:]))], "item_id long, text string")
+    rows = [(None, " ".join(words[:20])), (None, prose(8, 20)), (7, " ".join(words[20:60])), (7, " ".join(words[20:60])), (7, prose(9, 40)), (None, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    names = ("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated")
+    whole, parts = (rows_of(decontaminate.scan(docs, bench, block_bytes=size), *names) for size in (32 << 20, 100))
+    assert parts == whole and len(parts) == 6 and sum(r[5] for r in parts) == 3
