@@ -321,3 +321,25 @@ def test_turns_beyond_ascii(spark, tmp_path):
         spaced = re.sub(r"\b(a|an|the)\b", " ", re.sub(r"[!-/:-@\[-`{-~]", " ", t.lower()))
         assert plain[i]["spaced"] == sha(" ".join(spaced.split())) and plain[i]["plain"] == sha(re.sub(r"[^\w\s]", "", " ".join(t.lower().split()))), t
     assert seeds[0]["seeds"] == "Paris|Zola"
+
+
+def test_pagerank_of_all_facts(spark):
+    from annalist.plans.facts_queries import PPR_ROUNDS
+
+    sf = "/root/testdata/sf0.001"
+    if not os.path.isdir(sf):
+        pytest.skip("no test tables")
+    near = {}
+    for f in views.view(spark, sf, "facts").collect():
+        for e in {f["subject"], f["object"]}:
+            near.setdefault(f"f:{f['fact_id']}", set()).add(f"e:{e}")
+            near.setdefault(f"e:{e}", set()).add(f"f:{f['fact_id']}")
+    restart = {"f:n0": 0.75, "f:n1": 0.25}
+    rank = {n: restart.get(n, 0.0) for n in near}
+    for _ in range(PPR_ROUNDS):
+        rank = {n: 0.5 * restart.get(n, 0.0) + 0.5 * sum(rank[m] / len(near[m]) for m in near[n]) for n in near}
+    rows = entry.queries()["grf_pagerank"](spark, sf).collect()
+    got = {r["node"]: r["rank"] for r in rows}
+    assert len(rows) == len(got) and got.keys() == rank.keys()
+    assert all(abs(got[n] - rank[n]) < 2e-6 for n in rank)
+    assert any(n.startswith("f:c") and rank[n] > 1e-5 for n in rank)
