@@ -343,3 +343,11 @@ def test_pagerank_of_all_facts(spark):
     assert len(rows) == len(got) and got.keys() == rank.keys()
     assert all(abs(got[n] - rank[n]) < 2e-6 for n in rank)
     assert any(n.startswith("f:c") and rank[n] > 1e-5 for n in rank)
+
+
+def test_provenance_of_whole_texts(spark, tmp_path):
+    start = "The same opening of more than forty characters "
+    spark.createDataFrame([(1, f" {start}ends  here. "), (2, f"{start}\nends there."), (3, "  "), (4, "short")], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    docs = [(i, f"x {start}ends\nhere. y") for i in range(4)] + [(9, f"{start}ends there."), (10, f"{start}ends nowhere."), (11, "a short one"), (12, None)]
+    spark.createDataFrame(docs, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    assert sorted(tuple(r) for r in entry.queries()["join_sentence_provenance"](spark, str(tmp_path)).collect()) == [(1, 0), (1, 1), (1, 2), (2, 9), (4, 11)]
