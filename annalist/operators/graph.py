@@ -5,15 +5,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..sources.folders import shared_folder
 
-def cut_lineage(df: DataFrame) -> DataFrame:
-    """A reliable checkpoint in the cluster's folder (a temporary one where none is set, as in tests)."""
-    import tempfile
 
+def cut_lineage(df: DataFrame) -> DataFrame:
+    """A reliable checkpoint in the folder that driver and executors share."""
     sc = df.sparkSession.sparkContext
     if sc._jsc.sc().getCheckpointDir().isEmpty():
-        folder = sc.getConf().get("spark.checkpoint.dir") or df.sparkSession.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="annalist-")
-        sc.setCheckpointDir(folder)
+        sc.setCheckpointDir(shared_folder(df.sparkSession))
     return df.checkpoint()
 
 
@@ -62,10 +61,11 @@ def retracted_lineage(events: DataFrame, recursive: bool = True) -> DataFrame:
     edges = lineage_edges(events)
     gone = events.where("operation = 'retract'").select("history_id", F.col("retracts").alias("fact_id")).distinct()
     if recursive:
-        comp = components(edges.select("a", "b"))
+        # a memory is a fact of one history: the same id in another history is another memory
+        comp = components(edges.select(F.struct("history_id", F.col("a").alias("fact_id")).alias("a"), F.struct("history_id", F.col("b").alias("fact_id")).alias("b")))
         full = comp.union(comp.select("root", "root")).distinct()
-        hit = full.join(gone.withColumnRenamed("fact_id", "node"), "node").select("root", "history_id").distinct()
-        more = full.join(hit, "root").select("history_id", F.col("node").alias("fact_id"))
+        hit = full.join(gone.select(F.struct("history_id", "fact_id").alias("node")), "node").select("root").distinct()
+        more = full.join(hit, "root").select("node.history_id", "node.fact_id")
     else:
         both = edges.union(edges.select("history_id", "b", "a"))
         more = both.join(gone.withColumnRenamed("fact_id", "a"), ["history_id", "a"]).select("history_id", F.col("b").alias("fact_id"))
@@ -73,7 +73,7 @@ def retracted_lineage(events: DataFrame, recursive: bool = True) -> DataFrame:
     return gone.union(more).distinct().join(known, ["history_id", "fact_id"], "left_semi")
 
 
-def pagerank(facts: DataFrame, seeds: DataFrame, damping: float = 0.5, tolerance: float = 1e-8, rounds: int = 100, checkpoint_every: int = 8) -> tuple[DataFrame, int, float]:
+def pagerank(facts: DataFrame, seeds: DataFrame, damping: float = 0.5, tolerance: float = 1e-8, rounds: int = 100, checkpoint_every: int = 8, strict: bool = True) -> tuple[DataFrame, int, float]:
     """(node, rank; rounds taken; last change) over the bipartite graph of facts and their ends, restarting at the seeds (node, weight; weights sum to 1) (GRF-5, 6).
 
     A fact has at most two neighbours; a fact whose ends are equal has one. Every node of the graph has a neighbour, so only facts outside it would dangle.
@@ -93,7 +93,9 @@ def pagerank(facts: DataFrame, seeds: DataFrame, damping: float = 0.5, tolerance
             change = state.agg(F.sum(F.abs(F.col("next") - F.col("rank")))).first()[0]
         state = state.select("node", "restart", F.col("next").alias("rank"))
         if change <= tolerance:
-            break
+            return state.select("node", "rank"), taken, change
+    if strict:
+        raise ValueError(f"PageRank still changes by {change} after {taken} rounds")
     return state.select("node", "rank"), taken, change
 
 

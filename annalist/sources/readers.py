@@ -2,18 +2,18 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .folders import shared_folder
+
 
 def scratch_path(spark: SparkSession) -> str:
-    """A new folder beside the cluster's checkpoints, deleted when the driver ends; a temporary one where none is set."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir") or "file://" + tempfile.mkdtemp(prefix="annalist-")
-    path = f"{base.rstrip('/')}/tables/{uuid.uuid4().hex}"
+    """A new folder beside the cluster's checkpoints, deleted when the driver ends."""
+    path = f"{shared_folder(spark)}/tables/{uuid.uuid4().hex}"
     target = spark._jvm.org.apache.hadoop.fs.Path(path)
     target.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).deleteOnExit(target)
     return path
