@@ -2,29 +2,38 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Rows of ids (8 bytes each) that may be broadcast; a larger side is joined by a shuffle.
-BROADCAST_IDS = 2_000_000
+from ..sources.folders import shared_folder as shared_dir
 
+#: Bytes that may be broadcast, and rows of ids (8 bytes each) within them; a larger side is joined by a shuffle.
+BROADCAST_BYTES = 32 << 20
+BROADCAST_IDS = BROADCAST_BYTES // 16
 
-def shared_dir(spark: SparkSession) -> str:
-    """The cluster's checkpoint folder; a temporary one only where none is set, as in tests."""
-    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not folder:
-        folder = "file://" + tempfile.mkdtemp(prefix="annalist-")
-        spark.conf.set("spark.checkpoint.dir", folder)
-    return folder.rstrip("/")
+
+def file_system(path: str):
+    """(pyarrow file system, the folder in it) of a path or URI, for workers that write files which Spark has no writer for."""
+    from pyarrow import fs
+
+    return fs.FileSystem.from_uri(path if ":/" in path else f"file://{path}")
+
+
+def delete(spark: SparkSession, paths: list[str]) -> None:
+    conf = spark._jsparkSession.sessionState().newHadoopConf()
+    for path in paths:
+        target = spark._jvm.org.apache.hadoop.fs.Path(path)
+        target.getFileSystem(conf).delete(target, True)
 
 
 class Scratch:
-    """Tables written to the shared folder, deleted by `release()` or when the driver's JVM ends."""
+    """Tables written to the shared folder, deleted when the driver's JVM ends, or by whoever had them `listed`."""
 
-    open_tables: list[tuple[SparkSession, str]] = []
+    lists: list[list[str]] = []
 
     def __init__(self, spark: SparkSession):
         self.spark = spark
@@ -34,7 +43,8 @@ class Scratch:
         jvm = self.spark._jvm
         target = jvm.org.apache.hadoop.fs.Path(path)
         target.getFileSystem(self.spark._jsparkSession.sessionState().newHadoopConf()).deleteOnExit(target)
-        Scratch.open_tables.append((self.spark, path))
+        for paths in Scratch.lists:
+            paths.append(path)
         return path
 
     def write(self, df: DataFrame) -> DataFrame:
@@ -42,12 +52,15 @@ class Scratch:
         df.write.parquet(path)
         return self.spark.read.schema(df.schema).parquet(path)
 
-    def release(self) -> None:
-        """Delete every scratch table of this session; call it only when no DataFrame that reads one is still needed."""
-        for spark, path in [x for x in Scratch.open_tables if x[0] is self.spark]:
-            target = spark._jvm.org.apache.hadoop.fs.Path(path)
-            target.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(target, True)
-            Scratch.open_tables.remove((spark, path))
+
+@contextmanager
+def listed(paths: list[str]) -> Iterator[None]:
+    """Append to `paths` the tables that are written within this block."""
+    Scratch.lists.append(paths)
+    try:
+        yield
+    finally:
+        Scratch.lists = [x for x in Scratch.lists if x is not paths]
 
 
 def by_ids(df: DataFrame, ids: DataFrame, on: list[str], how: str) -> DataFrame:
