@@ -71,17 +71,22 @@ m AS (
 SELECT page_id, host, path, rule, coalesce(verdict, 'allow') AS verdict FROM u LEFT JOIN m USING (page_id)
 """
 
+#: Scripts written without spaces between words.
+UNSPACED = "".join(rf"\p{{{x}}}" for x in ("Han", "Hiragana", "Katakana", "Thai", "Lao", "Khmer", "Myanmar"))
 OP6 = rf"""
 WITH l AS (
-  SELECT doc_id, i - 1 AS pos, x[i] AS line, regexp_extract_all(x[i], '[^\x20\x09-\x0D]+') AS w
-  FROM (SELECT doc_id, x, unnest(range(1, len(x) + 1)) AS i FROM (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS x FROM documents))),
-e AS (SELECT doc_id, pos, w, array_to_string(w, ' ') AS s FROM l WHERE len(w) >= 5),
+  SELECT doc_id, pos, line, CASE WHEN len(w) >= 5 OR len(c) < 5 OR NOT regexp_matches(line, '[{UNSPACED}]') THEN w ELSE c END AS w
+  FROM (
+    SELECT doc_id, i - 1 AS pos, x[i] AS line, regexp_extract_all(x[i], '[^\x20\x09-\x0D]+') AS w, regexp_extract_all(x[i], '[{UNSPACED}]|[^\x20\x09-\x0D{UNSPACED}]+') AS c
+    FROM (SELECT doc_id, x, unnest(range(1, len(x) + 1)) AS i FROM (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS x FROM documents)))),
+e AS (SELECT doc_id, pos, w, array_to_string(w, ' ') AS s FROM l WHERE len(w) > 0),
 k AS (SELECT s, any_value(w) AS w, min((doc_id, pos)) AS spot FROM e GROUP BY s),
-v AS (SELECT s, spot, len(w) AS m, i, array_to_string(w[1:i - 1] || w[i + 1:], ' ') AS d FROM (SELECT s, spot, w, unnest(range(1, len(w) + 1)) AS i FROM k)),
+t AS (SELECT * FROM k WHERE len(w) >= 5),
+v AS (SELECT s, spot, len(w) AS m, i, array_to_string(w[1:i - 1] || w[i + 1:], ' ') AS d FROM (SELECT s, spot, w, unnest(range(1, len(w) + 1)) AS i FROM t)),
 pr AS (
   SELECT a.s AS x, b.s AS y FROM v a JOIN v b ON a.d = b.d AND a.i = b.i AND a.m = b.m AND a.spot > b.spot
-  UNION SELECT a.s, b.s FROM v a JOIN k b ON a.d = b.s AND a.spot > b.spot
-  UNION SELECT b.s, a.s FROM v a JOIN k b ON a.d = b.s AND b.spot > a.spot),
+  UNION SELECT a.s, b.s FROM v a JOIN t b ON a.d = b.s AND a.spot > b.spot
+  UNION SELECT b.s, a.s FROM v a JOIN t b ON a.d = b.s AND b.spot > a.spot),
 g AS (SELECT DISTINCT x AS s FROM pr),
 z AS (SELECT e.doc_id, e.pos FROM e JOIN k USING (s) LEFT JOIN g USING (s) WHERE g.s IS NOT NULL OR (e.doc_id, e.pos) <> k.spot)
 SELECT l.doc_id, count(*) AS n_lines, count(z.pos) AS n_dropped, sha256(coalesce(string_agg(CASE WHEN z.pos IS NULL THEN line END, chr(10) ORDER BY l.pos), '')) AS text_sha256
@@ -95,14 +100,19 @@ SIGN_RULES = ["nl > 0 AND 100 * cl >= 80 * nl", "nw > 0 AND 100 * le >= 90 * wc"
 VOTES = ", ".join([f"CASE WHEN {r} THEN -1 ELSE 0 END" for r in DEFECT_RULES] + [f"CASE WHEN {r} THEN 1 ELSE 0 END" for r in SIGN_RULES])
 
 
-def _accuracy(j: int) -> str:
-    start, low, high = ("0.95e0", "0.95e0", "0.999e0") if j <= len(DEFECT_RULES) else ("0.65e0", "0.55e0", "0.75e0")
-    right = f"sum(CASE WHEN v[{j}] = 1 THEN n * p WHEN v[{j}] = -1 THEN n * (1 - p) ELSE 0e0 END)"
-    return f"greatest(least(CASE WHEN sum(abs(v[{j}])) = 0 THEN {start} ELSE {right} / sum(CASE WHEN v[{j}] <> 0 THEN n ELSE 0 END) END, {high}), {low})"
+RULES = range(1, len(DEFECT_RULES) + len(SIGN_RULES) + 1)
 
 
-RULES = range(1, len(DEFECT_RULES) + len(SIGN_RULES) + 1)
-ODDS = " + ".join(f"v[{j}] * ln(acc[{j}] / (1 - acc[{j}]))" for j in RULES)
+def _prior(j: int, of_bad: bool) -> str:
+    return ("0.3e0" if of_bad else "0.02e0") if j <= len(DEFECT_RULES) else ("0.5e0" if of_bad else "0.9e0")
+
+
+def _rates(of_bad: bool) -> str:
+    p = "(1 - p)" if of_bad else "p"
+    return ", ".join(f"(sum(CASE WHEN v[{j}] <> 0 THEN n * {p} ELSE 0e0 END) + 10e0 * {_prior(j, of_bad)}) / (sum(n * {p}) + 10e0)" for j in RULES)
+
+
+ODDS = " + ".join(f"CASE WHEN v[{j}] <> 0 THEN ln(good[{j}] / bad[{j}]) ELSE ln((1 - good[{j}]) / (1 - bad[{j}])) END" for j in RULES)
 OP1 = rf"""
 WITH RECURSIVE t AS (SELECT row_number() OVER () AS id, doc_id, coalesce(text, '') AS t, {WORDS} AS w FROM documents),
 l AS (SELECT *, list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS ls FROM t),
@@ -115,11 +125,11 @@ m AS (
 vt AS (SELECT id, [{VOTES}] AS v FROM m),
 pat AS (SELECT v, count(*) AS n FROM vt GROUP BY v),
 em AS (
-  SELECT 0 AS it, 0.8e0 AS share, [{', '.join('0.95e0' if j <= len(DEFECT_RULES) else '0.65e0' for j in RULES)}] AS acc
+  SELECT 0 AS it, 0.8e0 AS share, [{', '.join(_prior(j, False) for j in RULES)}] AS good, [{', '.join(_prior(j, True) for j in RULES)}] AS bad
   UNION ALL
-  SELECT it + 1, greatest(least(sum(n * p) / sum(n), 0.9e0), 0.5e0), [{', '.join(map(_accuracy, RULES))}]
-  FROM (SELECT it, v, n, 1 / (1 + exp(-(ln(share / (1 - share)) + {ODDS}))) AS p FROM em, pat WHERE it < 25) GROUP BY it),
-f AS (SELECT v, 1 / (1 + exp(-(ln(share / (1 - share)) + {ODDS}))) AS p FROM em, pat WHERE it = 25)
+  SELECT it + 1, (sum(n * p) + 10e0 * 0.8e0) / (sum(n) + 10e0), [{_rates(False)}], [{_rates(True)}]
+  FROM (SELECT it, v, n, 1 / (1 + exp(-(ln(share / (1 - share)) + {ODDS}))) AS p FROM em, pat WHERE it < 40) GROUP BY it),
+f AS (SELECT v, 1 / (1 + exp(-(ln(share / (1 - share)) + {ODDS}))) AS p FROM em, pat WHERE it = 40)
 SELECT doc_id, nw AS n_words, wc AS word_chars, sy AS n_symbols, dl AS n_dup_lines, rw AS n_repeat_words, nw < 50 OR 100 * rw > 50 * nw AS base_failed, NOT (nw < 50 OR 100 * rw > 50 * nw) AND p >= 0.5 AS kept, round(p, 6) AS probability
 FROM m JOIN vt ON vt.id = m.id JOIN f ON f.v = vt.v
 """

@@ -2,13 +2,15 @@
 
 A rule looks at a document's measures and votes or abstains: rules for defects vote against quality (-1) or abstain (0), rules
 for good signs vote for it (1) or abstain. What the corpus says about the rules is the table of vote patterns and how many
-documents show each, whose size doesn't follow the corpus's. Expectation-maximisation over that table estimates each rule's
-accuracy - how often its vote is right - and the share of good documents; a document's posterior probability of quality
-follows from its pattern, and replaces "all rules must pass": a lone defect among good signs is outvoted, two rarely are.
+documents show each, whose size doesn't follow the corpus's. Expectation-maximisation over that table estimates the share of
+good documents and how often each rule votes on good and on bad documents. A rule's accuracy - how often its vote is right -
+follows from these, and so does a document's posterior probability of quality, in which votes and abstentions both count; it
+replaces "all rules must pass": a vote weighs what it has proved to be worth.
 
-The estimate is one expression over one row (the sorted pattern table), so reruns agree to the last bit. Accuracies are held
-within DEFECT and SIGN, above a coin's, so that the two classes can't change places, and signs, which bad documents show as
-well, can't outweigh defects that agree; the share of good documents is held within SHARE.
+The estimate is one expression over one row (the sorted pattern table), so reruns agree to the last bit. Which of the two
+classes is the good one is settled by a prior, PRIOR_DOCS documents' worth: a rule for a defect votes on few good documents and
+on more bad ones, a sign the other way round. It holds every estimate strictly between 0 and 1 and fades as documents come in;
+nothing else bounds an estimate.
 
 Defined results: a null or empty text, or one without words, has zero measures and fails the base; repeated rows are judged
 alike; an empty table gives an empty result; other columns stay with `keep` and are ignored by `judge`.
@@ -23,9 +25,9 @@ from pyspark.sql import functions as F
 
 from ._scratch import Scratch
 
-ROUNDS, KEEP_AT = 25, 0.5
-#: Bounds of the accuracy of a rule for a defect and of one for a good sign, and of the share of good documents; and where each starts.
-DEFECT, SIGN, SHARE, START = (0.95, 0.999), (0.55, 0.75), (0.5, 0.9), (0.95, 0.65, 0.8)
+ROUNDS, KEEP_AT = 40, 0.5
+#: The prior, worth so many documents of each class: how often a rule for a defect votes on a good and on a bad document, a sign likewise, and the share of good documents. The estimate starts there.
+PRIOR_DOCS, DEFECT, SIGN, SHARE = 10.0, (0.02, 0.3), (0.9, 0.5), 0.8
 SPACES = " \t\n\x0b\x0c\r"
 SYMBOLS = "#*$%&|<>"
 #: Up to so many repeated windows of a text, each window is looked up among them; beyond, windows are sorted with their places.
@@ -126,46 +128,66 @@ def votes() -> list[Column]:
     return [F.when(d, -1).otherwise(0) for d in defects()] + [F.when(s, 1).otherwise(0) for s in signs()]
 
 
-def bounds() -> list[tuple[float, float]]:
-    return [DEFECT] * len(defects()) + [SIGN] * len(signs())
+def prior(of_bad: bool) -> list[float]:
+    """How often each rule votes on documents of a class, before any is seen."""
+    return [DEFECT[of_bad]] * len(defects()) + [SIGN[of_bad]] * len(signs())
 
 
-def within(x: Column, ends: tuple[float, float]) -> Column:
-    return F.greatest(F.least(x, F.lit(ends[1])), F.lit(ends[0]))
+def posterior(pattern: Column, model: Column) -> Column:
+    """The probability of quality, given the votes and abstentions."""
+    each = F.transform(pattern, lambda v, j: F.when(v != 0, F.get(model["said"], j)).otherwise(F.get(model["silent"], j)))
+    return 1 / (1 + F.exp(-F.aggregate(each, model["odds"], lambda s, x: s + x)))
 
 
-def log_odds(p: Column) -> Column:
-    return F.log(p / (1 - p))
+def weighed(model: Column) -> Column:
+    """The model with what a vote and what an abstention of each rule adds to the log-odds, and each rule's accuracy."""
+    good, bad, share = model["good"], model["bad"], model["share"]
+    right = F.array(*(F.lit(j < len(defects())) for j in range(len(votes()))))
 
+    def accuracy(j: Column) -> Column:
+        a, b = share * F.get(good, j), (1 - share) * F.get(bad, j)
+        return F.when(F.get(right, j), b).otherwise(a) / (a + b)
 
-def posterior(pattern: Column, model: Column) -> Column:
-    """The probability of quality, given the votes; abstentions say nothing."""
-    odds = F.aggregate(F.zip_with(pattern, model["acc"], lambda v, a: v * log_odds(a)), log_odds(model["share"]), lambda s, x: s + x)
-    return 1 / (1 + F.exp(-odds))
+    return F.struct(
+        share.alias("share"), good.alias("good"), bad.alias("bad"), F.log(share / (1 - share)).alias("odds"), F.zip_with(good, bad, lambda g, b: F.log(g / b)).alias("said"),
+        F.zip_with(good, bad, lambda g, b: F.log((1 - g) / (1 - b))).alias("silent"), F.transform(F.sequence(F.lit(0), F.lit(len(votes()) - 1)), accuracy).alias("accuracy"),
+    )
 
 
 def estimate(patterns: DataFrame) -> DataFrame:
-    """One row: `model`, the share of good documents and each rule's accuracy, from (votes, n) rows."""
+    """One row: `model`, the share of good documents, how often each rule votes on good and on bad ones, and its accuracy, from (votes, n) rows."""
     rows = patterns.agg(F.array_sort(F.collect_list(F.struct("votes", "n"))).alias("rows"))
-    model = "struct<share: double, acc: array<double>>"
-    first = [START[0]] * len(defects()) + [START[1]] * len(signs())
+    rules = len(votes())
 
-    def total(ps: Column, f: Callable[[Column, Column], Column]) -> Column:
-        return F.aggregate(F.zip_with("rows", ps, f), F.lit(0.0), lambda s, x: s + x)
+    def total(values: Column) -> Column:
+        return F.aggregate(values, F.lit(0.0), lambda s, x: s + x)
 
     def improved(ps: Column) -> Column:
-        share = within(F.try_divide(total(ps, lambda r, p: r["n"] * p), total(ps, lambda r, p: r["n"].cast("double"))), SHARE)
+        """ps: of each pattern, how many of its documents are good, and how many are bad."""
+        sums = F.struct(total(F.transform(ps, lambda p: p["g"])).alias("g"), total(F.transform(ps, lambda p: p["b"])).alias("b"))
+
+        def rates(which: str, of_bad: bool, all_of: Column) -> Column:
+            def rate(j: int) -> Column:
+                voted = total(F.zip_with("rows", ps, lambda r, p: F.when(F.get(r["votes"], F.lit(j)) != 0, p[which]).otherwise(0.0)))
+                return (voted + PRIOR_DOCS * prior(of_bad)[j]) / (all_of + PRIOR_DOCS)
+
+            return F.array(*map(rate, range(rules)))
+
+        def model(t: Column) -> Column:
+            share = (t["g"] + PRIOR_DOCS * SHARE) / (t["g"] + t["b"] + PRIOR_DOCS)
+            return F.struct(share.alias("share"), rates("g", False, t["g"]).alias("good"), rates("b", True, t["b"]).alias("bad"))
+
+        return let(let(sums, model), weighed)
+
+    first = weighed(F.struct(F.lit(SHARE).alias("share"), F.array(*map(F.lit, prior(False))).alias("good"), F.array(*map(F.lit, prior(True))).alias("bad")))
 
-        def accuracy(j: int) -> Column:
-            right = total(ps, lambda r, p: F.when(F.get(r["votes"], F.lit(j)) == 1, r["n"] * p).when(F.get(r["votes"], F.lit(j)) == -1, r["n"] * (1 - p)).otherwise(0.0))
-            cast = total(ps, lambda r, p: F.when(F.get(r["votes"], F.lit(j)) != 0, r["n"].cast("double")).otherwise(0.0))
-            return within(F.coalesce(F.try_divide(right, cast), F.lit(first[j])), bounds()[j])
+    def step(m: Column, _: Column) -> Column:
+        def split(r: Column) -> Column:
+            return let(posterior(r["votes"], m), lambda p: F.struct((r["n"] * p).alias("g"), (r["n"] * (1 - p)).alias("b")))
 
-        return F.struct(F.coalesce(share, F.lit(START[2])).alias("share"), F.array(*map(accuracy, range(len(first)))).alias("acc")).cast(model)
+        return let(F.transform("rows", split), improved)
 
-    start = F.struct(F.lit(START[2]).alias("share"), F.array(*map(F.lit, first)).alias("acc")).cast(model)
-    step = lambda m, _: let(F.transform("rows", lambda r: posterior(r["votes"], m)), improved)
-    return rows.select(F.aggregate(F.sequence(F.lit(1), F.lit(ROUNDS)), start, step).alias("model"))
+    return rows.select(F.aggregate(F.sequence(F.lit(1), F.lit(ROUNDS)), first, step).alias("model"))
 
 
 def judged(measured: DataFrame, model: DataFrame) -> DataFrame:
