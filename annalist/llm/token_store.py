@@ -1,22 +1,25 @@
-"""Token-ID store: raw id payloads in blocks, each with a minimal perfect hash index over its document keys.
-
-File format: a Parquet dataset with one row per block, in ascending doc_id order over (shard, block):
-  shard, block int      place of the block; shards are ranges of doc_id
-  low, high             least and greatest doc_id of the block, for pruning
-  before long           ids of the shard's earlier blocks
-  n_docs long, n_ids long, width int (bytes per id: 2 where every id of the vocabulary fits, else 4)
-  payload binary        the ids of all documents, little-endian, one after another, each document closed by the end id
-  ends binary           uint64 x n_docs: where each document ends, in ids from the block's start
-  keys binary           int64 x n_docs: the doc_ids, ascending (null ones, first, as 0)
-  n_null int            how many of the first documents have a null doc_id
-  seeds binary          int64 x buckets: displacement of each bucket of the index; -1 - slot places a lone key directly
-  prints binary         uint16 x keys: the fingerprint of the key in each slot
-  slots binary          uint32 x keys: the first document of the key in each slot
-A lookup hashes the key to a bucket, reads one seed, one fingerprint and one offset: constant time, whatever the block's size.
-Writing and reading go through Spark's own committer and readers, so lost executors and any file system are covered.
+"""Token-ID store: raw id files, each with a minimal perfect hash index over its document keys.
+
+File format: a folder of pairs of files and a Parquet dataset `manifest` with one row per pair. In the order of (shard, part)
+the files hold the documents in ascending doc_id order.
+  <name>.bin   the ids of all documents, little-endian, `width` bytes each (2 where every id of the vocabulary fits, else 4),
+               one document after another, each closed by the end id; nothing else
+  <name>.idx   int64 x n_buckets   seeds: displacement of each bucket of the hash; -1 - slot places a lone key directly
+               uint64 x n_docs     ends: where each document ends, in ids from the file's start
+               int64 x n_docs      keys: the documents' keys (0 for a null doc_id, which come first and have none)
+               uint32 x n_keys     slots: the first document of the key in each slot
+               uint16 x n_keys     prints: the fingerprint of the key in each slot
+  manifest     shard, part int; name; low, high long: least and greatest key; n_docs, n_null, n_keys, n_buckets, n_ids long; width int
+A lookup hashes the key to a bucket, reads one seed, one fingerprint, one slot, the key and two ends, and then the document's
+range of ids: a fixed number of bytes beside the ids, whatever the size of file and store. A file ends at FILE_DOCS documents or
+FILE_IDS ids, whatever the ids of its documents; a key whose documents run on into the next file is in the index of both.
+
+Each attempt of a task writes files of its own names; only those that the manifest lists, which Spark commits, count, so a lost
+executor leaves no half file behind that anything reads. The files are written and read with pyarrow's file systems.
 
 Defined results: a null or empty text has only the end id; a null doc_id is stored first and has no key; repeated doc_ids are
-stored one after another under one key; an empty table gives an empty dataset; other columns are ignored.
+stored one after another under one key; ids that are no whole numbers stand in their order under the xxhash64 of their text,
+which `digest` and `lookup` return; an empty table gives an empty store; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -28,18 +31,20 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._scratch import Scratch
+from ._scratch import Scratch, file_system
 from ._text import long_word_hash, mix64, PIECE_BYTES, powers, text_buffer, tidied, worker_cache
 
 END_ID = 2
-BLOCK_DOCS, BLOCK_IDS = 4096, 2 << 20
+FILE_DOCS, FILE_IDS = 1 << 18, 1 << 27
+#: Ids read at once.
+READ_IDS = 1 << 21
 #: Distinct pre-tokens whose ids a worker keeps before it starts its table anew; not a cap on results.
 KEPT = 1_000_000
 #: Texts with other characters than these, with a special token's opener or with a contraction are encoded whole by the library; the others split by the classes below.
 OTHER = re.compile(r"[^\t\n\r\x20-\x7e\xa1-\xb1\xb4-\xb8\xba\xbb\xbf-ɏ]")
 CONTRACTION = re.compile(r"(?:(?<![^\w\s])(?<! )|^)'(?:[stmd]|re|ve|ll)")
 LETTER, DIGIT, SPACE, SIGN = 0, 1, 2, 3
-BLOCK = "shard int, block int, low long, high long, before long, n_docs long, n_ids long, width int, payload binary, ends binary, keys binary, n_null int, seeds binary, prints binary, slots binary"
+MANIFEST = "shard int, part int, name string, low long, high long, n_docs long, n_null long, n_keys long, n_buckets long, n_ids long, width int"
 
 
 def is_plain(text: str) -> bool:
@@ -252,18 +257,8 @@ def build_index(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return seeds, slots
 
 
-def find(key: int, seeds: np.ndarray, prints: np.ndarray, slots: np.ndarray) -> int:
-    """The first document of the key in its block, or -1 if its fingerprint is not the stored one."""
-    if not len(slots):
-        return -1
-    keys = np.array([key], np.int64).view(np.uint64)
-    seed = int(seeds[buckets_of(keys, len(seeds))[0]])
-    slot = -1 - seed if seed < 0 else int(slot_of(keys, np.array([seed]), len(slots))[0])
-    return int(slots[slot]) if prints[slot] == fingerprints(keys)[0] else -1
-
-
 def find_all(keys: np.ndarray, seeds: np.ndarray, prints: np.ndarray, slots: np.ndarray) -> np.ndarray:
-    """`find` for many keys at once."""
+    """The first document of each key in its file, or -1 if its fingerprint is not the stored one."""
     if not len(keys) or not len(slots):
         return np.full(len(keys), -1, np.int64)
     own = keys.astype(np.int64).view(np.uint64)
@@ -272,113 +267,200 @@ def find_all(keys: np.ndarray, seeds: np.ndarray, prints: np.ndarray, slots: np.
     return np.where(prints[slot] == fingerprints(own), slots[slot].astype(np.int64), -1)
 
 
-def block_row(shard: int, block: int, before: int, ids: list, texts: list[bytes], width: int) -> tuple:
-    ends = np.cumsum([len(t) // width for t in texts]).astype(np.uint64)
-    n_null = sum(i is None for i in ids)
-    keys = np.array([0 if i is None else i for i in ids], np.int64)
+def layout(row: dict) -> dict[str, tuple[int, str, int]]:
+    """{array: (byte at which it begins in the index file, type, length)}"""
+    out, at = {}, 0
+    for name, kind, n in (("seeds", "<i8", row["n_buckets"]), ("ends", "<u8", row["n_docs"]), ("keys", "<i8", row["n_docs"]), ("slots", "<u4", row["n_keys"]), ("prints", "<u2", row["n_keys"])):
+        out[name] = at, kind, n
+        at += n * np.dtype(kind).itemsize
+    return out
+
+
+def index_arrays(keys: np.ndarray, n_null: int) -> dict[str, np.ndarray]:
+    """The index of a file whose documents have these keys, the first n_null none."""
     own, first = np.unique(keys[n_null:], return_index=True)
-    seeds, slots = build_index(own)
-    prints, docs = np.zeros(len(own), np.uint16), np.zeros(len(own), np.uint32)
-    prints[slots], docs[slots] = fingerprints(own.view(np.uint64)), first + n_null
-    low, high = (int(own[0]), int(own[-1])) if len(own) else (None, None)
-    return shard, block, low, high, before, len(ids), int(ends[-1]), width, b"".join(texts), ends.tobytes(), keys.tobytes(), n_null, seeds.tobytes(), prints.tobytes(), docs.tobytes()
+    seeds, place = build_index(own)
+    prints, slots = np.zeros(len(own), "<u2"), np.zeros(len(own), "<u4")
+    prints[place], slots[place] = fingerprints(own.view(np.uint64)), first + n_null
+    return {"seeds": seeds.astype("<i8"), "keys": keys.astype("<i8"), "slots": slots, "prints": prints}
 
 
-def write_store(docs: DataFrame, path: str, tokenizer_path: str, doc_id: str = "doc_id", text: str = "text", end_id: int = END_ID) -> None:
-    """Encode every text and write the dataset to `path`, doc_ids ascending over shards (ranges of doc_id) and blocks."""
+def write_store(docs: DataFrame, path: str, tokenizer_path: str, doc_id: str = "doc_id", text: str = "text", end_id: int = END_ID, file_docs: int = FILE_DOCS, file_ids: int = FILE_IDS) -> None:
+    """Encode every text and write the store to `path`, documents ascending over shards (ranges of doc_id) and their files."""
 
     def run(batches):
+        import uuid
+
         import pyarrow as pa
         from pyspark import TaskContext
 
         width, encode = encoder(tokenizer_path)
         end = int(end_id).to_bytes(width, "little")
-        shard, block, before, ids, texts, held = TaskContext.get().partitionId(), 0, 0, [], [], 0
-        schema = pa.schema([(c.split()[0], {"int": pa.int32(), "long": pa.int64(), "binary": pa.binary()}[c.split()[1]]) for c in BLOCK.split(", ")])
-
-        def row():
-            return pa.RecordBatch.from_arrays([pa.array([v], f.type) for v, f in zip(block_row(shard, block, before, ids, texts, width), schema, strict=True)], schema=schema)
+        files, folder = file_system(path)
+        shard, part, out, held = TaskContext.get().partitionId(), 0, None, 0
+        keys: list[int | None] = []
+        sizes: list[int] = []
+
+        def close():
+            nonlocal out, part, held, keys, sizes
+            out.close()
+            n_null = sum(k is None for k in keys)
+            arrays = index_arrays(np.array([0 if k is None else k for k in keys], np.int64), n_null) | {"ends": np.cumsum(sizes, dtype="<u8")}
+            known = arrays["keys"][n_null:]
+            row = {"shard": shard, "part": part, "name": name, "low": int(known.min()) if len(known) else None, "high": int(known.max()) if len(known) else None, "n_docs": len(keys), "n_null": n_null, "n_keys": len(arrays["slots"]), "n_buckets": len(arrays["seeds"]), "n_ids": held, "width": width}
+            with files.open_output_stream(f"{folder}/{name}.idx") as index:
+                for array in layout(row):
+                    index.write(arrays[array].tobytes())
+            out, part, held, keys, sizes = None, part + 1, 0, [], []
+            return pa.RecordBatch.from_pylist([row], schema=pa.schema([(c.split()[0], {"int": pa.int32(), "long": pa.int64(), "string": pa.string()}[c.split()[1]]) for c in MANIFEST.split(", ")]))
 
         for batch in batches:
             for at in range(0, batch.num_rows, 512):
-                part = batch.slice(at, 512)
-                for i, t in zip(part.column(0).to_pylist(), encode(part.column(1)), strict=True):
-                    if ids and (len(ids) >= BLOCK_DOCS or held + len(t) > BLOCK_IDS * width) and i != ids[-1]:
-                        yield row()
-                        block, before, ids, texts, held = block + 1, before + held // width, [], [], 0
-                    ids.append(i)
-                    texts.append(t + end)
-                    held += len(t) + width
-        if ids:
-            yield row()
-
-    rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
+                rows = batch.slice(at, 512)
+                for key, ids in zip(rows.column(0).to_pylist(), encode(rows.column(1)), strict=True):
+                    if out is None:
+                        name = f"{shard:06d}-{part:06d}-{uuid.uuid4().hex}"
+                        out = files.open_output_stream(f"{folder}/{name}.bin", buffer_size=1 << 20)
+                    out.write(ids)
+                    out.write(end)
+                    keys.append(key)
+                    sizes.append(len(ids) // width + 1)
+                    held += sizes[-1]
+                    if len(keys) >= file_docs or held >= file_ids:
+                        yield close()
+        if out is not None:
+            yield close()
+
+    key = F.col(doc_id).cast("long") if docs.schema[doc_id].dataType.simpleString() in ("tinyint", "smallint", "int", "bigint") else F.when(F.col(doc_id).isNotNull(), F.xxhash64(F.col(doc_id).cast("string")))
+    # a hash and a number of the row split even a range of one doc_id
+    rows = docs.select(F.col(doc_id).alias("id"), key.alias("key"), F.col(text).alias("text"), F.xxhash64(text).alias("th"), F.monotonically_increasing_id().alias("row"))
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    rows.repartitionByRange(parts, F.col("doc_id").asc_nulls_first()).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "text").mapInArrow(tidied(run), BLOCK).write.parquet(path)
+    order = [F.col("id").asc_nulls_first(), "th", "row"]
+    files, folder = file_system(path)
+    files.create_dir(folder)
+    rows.repartitionByRange(parts, *order).sortWithinPartitions(*order).select("key", "text").mapInArrow(tidied(run), MANIFEST).write.parquet(f"{path}/manifest")
 
 
 def read_store(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.schema(BLOCK).parquet(path)
+    """The manifest, which names the files."""
+    return spark.read.schema(MANIFEST).parquet(f"{path}/manifest")
+
+
+def find(index, row: dict, key: int) -> int:
+    """The first document of the key in a file, or -1; `index` is the open index file, of which single entries are read."""
+    at = layout(row)
+
+    def entry(array: str, i: int) -> int:
+        begin, kind, _ = at[array]
+        size = np.dtype(kind).itemsize
+        index.seek(begin + i * size)
+        return int(np.frombuffer(index.read(size), kind)[0])
+
+    if not row["n_keys"]:
+        return -1
+    own = np.array([key], np.int64).view(np.uint64)
+    seed = entry("seeds", int(buckets_of(own, row["n_buckets"])[0]))
+    slot = -1 - seed if seed < 0 else int(slot_of(own, np.array([seed]), row["n_keys"])[0])
+    if entry("prints", slot) != int(fingerprints(own)[0]):
+        return -1
+    d = entry("slots", slot)
+    return d if entry("keys", d) == key else -1
+
+
+def documents(files, folder: str, row: dict, key: int):
+    """The ids of each document of the key in a file, one after another."""
+    (ends, _, _), (keys, _, _) = (layout(row)[c] for c in ("ends", "keys"))
+    with files.open_input_file(f"{folder}/{row['name']}.idx") as index, files.open_input_file(f"{folder}/{row['name']}.bin") as payload:
+        d = find(index, row, key)
+        while 0 <= d < row["n_docs"]:
+            index.seek(keys + 8 * d)
+            if int(np.frombuffer(index.read(8), "<i8")[0]) != key:
+                break
+            index.seek(ends + 8 * max(0, d - 1))
+            bounds = np.frombuffer(index.read(16 if d else 8), "<u8").astype(np.int64)
+            begin, end = (int(bounds[0]), int(bounds[1])) if d else (0, int(bounds[0]))
+            payload.seek(begin * row["width"])
+            yield np.frombuffer(payload.read((end - begin) * row["width"]), f"<u{row['width']}")
+            d += 1
 
 
-def lookup(store: DataFrame, keys: list[int]) -> DataFrame:
-    """doc_id and its ids (array) for each stored document of the given keys; blocks are pruned by their key range."""
+def lookup(store: DataFrame, path: str, keys: list[int]) -> DataFrame:
+    """doc_id and its ids (array) for each stored document of the given keys; files are pruned by their key range, and of a file only the entries and ranges of its keys are read."""
     wanted = sorted(set(keys))
 
     def run(batches):
         import pyarrow as pa
 
+        files, folder = file_system(path)
         for batch in batches:
-            for b in batch.to_pylist():
-                index = np.frombuffer(b["seeds"], np.int64), np.frombuffer(b["prints"], np.uint16), np.frombuffer(b["slots"], np.uint32)
-                ids, ends, own = np.frombuffer(b["payload"], f"<u{b['width']}"), np.frombuffer(b["ends"], np.uint64), np.frombuffer(b["keys"], np.int64)
-                out = []
+            for row in batch.to_pylist():
                 for key in wanted:
-                    d = find(key, *index) if b["low"] is not None and b["low"] <= key <= b["high"] else -1
-                    while 0 <= d < len(own) and own[d] == key:
-                        out.append((key, ids[int(ends[d - 1]) if d else 0 : int(ends[d])].tolist()))
-                        d += 1
-                if out:
-                    yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in out], pa.int64()), pa.array([v for _, v in out], pa.list_(pa.int64()))], ["doc_id", "ids"])
+                    if row["low"] <= key <= row["high"]:
+                        for ids in documents(files, folder, row, key):
+                            yield pa.RecordBatch.from_arrays([pa.array([key], pa.int64()), pa.array([ids.tolist()], pa.list_(pa.int64()))], ["doc_id", "ids"])
 
     if not wanted:
         return store.sparkSession.createDataFrame([], "doc_id long, ids array<long>")
-    return store.where((F.col("high") >= wanted[0]) & (F.col("low") <= wanted[-1])).mapInArrow(tidied(run), "doc_id long, ids array<long>")
+    return store.where((F.col("high") >= wanted[0]) & (F.col("low") <= wanted[-1])).mapInArrow(run, "doc_id long, ids array<long>")
 
 
-def digest(store: DataFrame) -> DataFrame:
-    """doc_id, start, n_tokens and ids_crc32 of every document, read back through the index of its block."""
+def digest(store: DataFrame, path: str) -> DataFrame:
+    """doc_id, start, n_tokens and ids_crc32 of every document, read back through the index of its file."""
     from pyspark.sql import Window
 
-    # as many rows as shards, whose number is a setting
-    per_shard = store.groupBy("shard").agg(F.sum("n_ids").alias("n"))
-    starts = per_shard.select("shard", (F.sum("n").over(Window.orderBy("shard")) - F.col("n")).alias("shard_start"))
+    # as many rows as files
+    starts = Window.orderBy("shard", "part").rowsBetween(Window.unboundedPreceding, -1)
+    placed = store.withColumn("at", F.coalesce(F.sum("n_ids").over(starts), F.lit(0)))
+
+    def crcs(payload, width: int, ends: np.ndarray):
+        """The crc32 of each document's ids in four bytes each, read READ_IDS at a time."""
+        out, begin = [], 0
+        while begin < len(ends):
+            first = int(ends[begin - 1]) if begin else 0
+            stop = max(begin + 1, int(np.searchsorted(ends, first + READ_IDS, "right")))
+            payload.seek(first * width)
+            if stop == begin + 1:
+                crc = 0
+                for at in range(first, int(ends[begin]), READ_IDS):
+                    crc = zlib.crc32(np.frombuffer(payload.read((min(int(ends[begin]), at + READ_IDS) - at) * width), f"<u{width}").astype("<u4"), crc)
+                out.append(crc)
+            else:
+                wide = memoryview(np.frombuffer(payload.read((int(ends[stop - 1]) - first) * width), f"<u{width}").astype("<u4").tobytes())
+                edges = [0, *(4 * (ends[begin:stop] - first)).tolist()]
+                out += [zlib.crc32(wide[a:z]) for a, z in zip(edges[:-1], edges[1:], strict=True)]
+            begin = stop
+        return np.array(out, np.int64)
 
     def run(batches):
         import pyarrow as pa
 
+        files, folder = file_system(path)
         for batch in batches:
-            for b in batch.to_pylist():
-                index = np.frombuffer(b["seeds"], np.int64), np.frombuffer(b["prints"], np.uint16), np.frombuffer(b["slots"], np.uint32)
-                wide = np.frombuffer(b["payload"], f"<u{b['width']}").astype("<u4").tobytes()
-                ends, own = np.frombuffer(b["ends"], np.uint64).astype(np.int64), np.frombuffer(b["keys"], np.int64)
-                n = b["n_null"]
-                first = np.append(np.arange(n), find_all(own[n:], *index))
-                # repeats of a key follow its first document
-                run = np.arange(len(own)) - np.maximum.accumulate(np.where(np.append(True, own[1:] != own[:-1]) | (np.arange(len(own)) <= n), np.arange(len(own)), 0))
-                place = np.where(np.arange(len(own)) < n, first, first + run)
-                if (place != np.arange(len(own))).any():
+            for row in batch.to_pylist():
+                with files.open_input_file(f"{folder}/{row['name']}.idx") as index:
+                    raw = index.read()
+                part = {c: np.frombuffer(raw, kind, n, at) for c, (at, kind, n) in layout(row).items()}
+                n, own, ends = row["n_null"], part["keys"], part["ends"].astype(np.int64)
+                each = np.arange(len(own))
+                # the documents of a key follow its first
+                begins = np.append(True, own[1:] != own[:-1]) | (each <= n)
+                first = np.maximum.accumulate(np.where(begins, each, 0))
+                if (find_all(own[n:], part["seeds"], part["prints"], part["slots"]) != first[n:]).any():
                     raise ValueError("the index leads a key to another document")
-                begin = np.append(0, ends[:-1])[place]
-                out = [(None if i < n else int(own[i]), b["at"] + a, z - a, zlib.crc32(wide[4 * a : 4 * z])) for i, (a, z) in enumerate(zip(begin.tolist(), ends[place].tolist(), strict=True))]
-                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out, strict=True)], ["doc_id", "start", "n_tokens", "ids_crc32"])
+                with files.open_input_file(f"{folder}/{row['name']}.bin") as payload:
+                    crc = crcs(payload, row["width"], ends)
+                sizes = np.diff(ends, prepend=0)
+                columns = [pa.array(own, pa.int64(), mask=each < n), pa.array(row["at"] + ends - sizes), pa.array(sizes), pa.array(crc)]
+                for i in range(0, len(own), 10_000):
+                    yield pa.RecordBatch.from_arrays([c.slice(i, 10_000) for c in columns], ["doc_id", "start", "n_tokens", "ids_crc32"])
 
-    rows = store.join(F.broadcast(starts), "shard").withColumn("at", F.col("shard_start") + F.col("before")).select("payload", "ends", "keys", "n_null", "seeds", "prints", "slots", "width", "at")
-    return rows.mapInArrow(tidied(run), "doc_id long, start long, n_tokens long, ids_crc32 long")
+    # a file to a task
+    tasks = max(1, store.count())
+    return placed.repartitionByRange(tasks, "shard", "part").mapInArrow(tidied(run), "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 
 def encode_and_read_back(docs: DataFrame, tokenizer_path: str) -> DataFrame:
     """Write the store to the shared folder and digest what its files hold."""
     path = Scratch(docs.sparkSession).path()
     write_store(docs, path, tokenizer_path)
-    return digest(read_store(docs.sparkSession, path))
+    return digest(read_store(docs.sparkSession, path), path)
