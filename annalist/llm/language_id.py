@@ -3,13 +3,14 @@
 Each language has a table of byte-trigram probabilities, learned from labelled documents. A word's likelihood in a language
 is that of its trigrams, the spaces around it included. A document's words are a mixture of languages;
 expectation-maximisation finds the proportions, over all languages and then over the best one, two, ... languages, and the
-set with the best penalised likelihood is chosen: half of PENALTY * ln(words) for each further language.
+set with the best penalised likelihood is chosen: half of PENALTY * ln(words) for each further language. Every estimate runs
+until no proportion of the document changes by CLOSE any more.
 
 Training uses text and label of at most about SAMPLE labelled documents a language, chosen by a hash of their id, and
 whole texts of those. Predictions depend on the text alone.
 
 Defined results: a null text, or one without a letter, is `und` with score 0, as is every text if nothing could be learned;
-labels that are null, and texts that are, teach nothing; repeated rows are judged alike; an empty table gives an empty result;
+labels that are null, and texts that are, teach nothing; more than MOST_LABELS distinct labels are an error; repeated rows are judged alike; an empty table gives an empty result;
 other columns are ignored.
 """
 
@@ -19,13 +20,17 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ._tables import summed_slices
 from ._text import groups, mix64, text_buffer, tidied
 
 #: Labelled documents a language that are learned from, about; a documented bound of the model, not of what is judged.
 SAMPLE = 4000
 FEATURE_BITS, SLICES = 15, 32
 SMOOTHING, PENALTY = 0.5, 4.0
-ROUNDS, SET_ROUNDS = 8, 4
+#: The change of a proportion below which an estimate has settled, and rounds after which it is taken as it is.
+CLOSE, ROUNDS = 1e-4, 200
+#: Distinct labels that a model may have: each takes a table of 2**FEATURE_BITS counts.
+MOST_LABELS = 1000
 CHUNK = 1 << 20
 
 
@@ -50,7 +55,9 @@ def features(s: np.ndarray) -> np.ndarray:
 def learn(docs: DataFrame, sample: int = SAMPLE) -> tuple[list[str], np.ndarray]:
     """(languages by code point, log-probabilities: features x languages) from rows (doc_id, text, lang)."""
     rows = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull())
-    sizes = {r["lang"]: r["count"] for r in rows.groupBy("lang").count().collect()}
+    sizes = {r["lang"]: r["count"] for r in rows.groupBy("lang").count().limit(MOST_LABELS + 1).collect()}
+    if len(sizes) > MOST_LABELS:
+        raise ValueError(f"more than {MOST_LABELS} distinct labels; a model holds a table for each")
     if not sizes:
         return [], np.zeros((1 << FEATURE_BITS, 0), np.float32)
     share = F.lit(0)
@@ -72,24 +79,11 @@ def learn(docs: DataFrame, sample: int = SAMPLE) -> tuple[list[str], np.ndarray]
                     part = slice(int(at[i]), int(at[i + 1]))
                     counts = np.bincount(f[part][own[part]], minlength=1 << FEATURE_BITS)
                     totals[langs[a + i]] = totals.get(langs[a + i], 0) + counts
-        out = [(lang, i, x.tobytes()) for lang, c in totals.items() for i, x in enumerate(np.split(c.astype(np.int64), SLICES))]
-        yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in out], k) for i, k in enumerate((pa.string(), pa.int32(), pa.binary()))], ["lang", "slice", "counts"])
+        out = [(names.index(lang) * SLICES + i, x.tobytes()) for lang, c in totals.items() for i, x in enumerate(np.split(c.astype(np.int64), SLICES))]
+        yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in out], k) for i, k in enumerate((pa.int32(), pa.binary()))], ["slice", "counts"])
 
-    def add(batches):
-        import pyarrow as pa
-
-        sums: dict[tuple, np.ndarray] = {}
-        for batch in batches:
-            for lang, i, c in zip(*(x.to_pylist() for x in batch.columns), strict=True):
-                sums[lang, i] = sums.get((lang, i), 0) + np.frombuffer(c, np.int64)
-        out = [(lang, i, x.tobytes()) for (lang, i), x in sums.items()]
-        yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in out], k) for i, k in enumerate((pa.string(), pa.int32(), pa.binary()))], ["lang", "slice", "counts"])
-
-    kind = "lang string, slice int, counts binary"
     names = sorted(sizes)
-    table = np.zeros((len(names), SLICES, (1 << FEATURE_BITS) // SLICES))
-    for r in picked.select("text", "lang").mapInArrow(tidied(count), kind).repartition(16, "lang", "slice").mapInArrow(tidied(add), kind).collect():
-        table[names.index(r["lang"]), r["slice"]] = np.frombuffer(r["counts"], np.int64)
+    table = summed_slices(picked.select("text", "lang").mapInArrow(tidied(count), "slice int, counts binary"), len(names) * SLICES, (1 << FEATURE_BITS) // SLICES)
     counts = table.reshape(len(names), -1)
     seen = counts.sum(axis=1) > 0
     counts, names = counts[seen], [n for n, s in zip(names, seen, strict=True) if s]
@@ -112,13 +106,24 @@ def word_likelihoods(s: np.ndarray, starts: np.ndarray, ends: np.ndarray, model:
     return out
 
 
-def expectation(like: np.ndarray, share: np.ndarray, first: np.ndarray, sizes: np.ndarray, rounds: int) -> np.ndarray:
-    """Proportions after some rounds, for all documents at once: like words x languages, share documents x languages; every document has words."""
-    for _ in range(rounds):
+def expectation(like: np.ndarray, share: np.ndarray, first: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """Settled proportions, for all documents at once: like words x languages, share documents x languages; every document has words."""
+    out, left, open_ = share.copy(), np.arange(len(sizes)), np.ones(len(sizes), bool)
+    for _ in range(ROUNDS):
         r = like * np.repeat(share, sizes, axis=0)
         r /= r.sum(axis=1, keepdims=True)
-        share = np.add.reduceat(r, first, axis=0) / sizes[:, None]
-    return share
+        new = np.add.reduceat(r, first, axis=0) / sizes[:, None]
+        # what has settled stays as it is, so that a document's neighbours don't change its result
+        out[left[open_]] = new[open_]
+        open_ = open_ & (np.abs(new - share).max(axis=1) >= CLOSE)
+        share = new
+        if not open_.any():
+            break
+        if open_.sum() < 0.7 * len(open_):
+            like = like[np.repeat(open_, sizes)]
+            share, sizes, left, open_ = share[open_], sizes[open_], left[open_], open_[open_]
+            first = np.cumsum(sizes) - sizes
+    return out
 
 
 def infer(logs: np.ndarray, first: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -126,7 +131,7 @@ def infer(logs: np.ndarray, first: np.ndarray, sizes: np.ndarray) -> tuple[np.nd
     langs = logs.shape[1]
     top = logs.max(axis=1, keepdims=True)
     like = np.maximum(np.exp(logs - top), 1e-30)
-    share = expectation(like, np.full((len(sizes), langs), 1 / langs), first, sizes, ROUNDS)
+    share = expectation(like, np.full((len(sizes), langs), 1 / langs), first, sizes)
     rank = np.argsort(-share, axis=1, kind="stable")
     totals = np.add.reduceat(logs - top, first, axis=0)
     best = totals.argmax(axis=1)
@@ -144,7 +149,7 @@ def infer(logs: np.ndarray, first: np.ndarray, sizes: np.ndarray) -> tuple[np.nd
         own, part = sizes[open_], like[take]
         begin = np.cumsum(own) - own
         start = (share[open_] + 1e-9) * allowed[open_]
-        mixed = expectation(part, start / start.sum(axis=1, keepdims=True), begin, own, SET_ROUNDS)
+        mixed = expectation(part, start / start.sum(axis=1, keepdims=True), begin, own)
         fit = np.add.reduceat(np.log((part * np.repeat(mixed, own, axis=0)).sum(axis=1)), begin) - 0.5 * PENALTY * (k - 1) * np.log(np.maximum(own, 2))
         better = fit > score[open_]
         score[open_[better]], found[open_[better]], count[open_[better]] = fit[better], mixed[better], k
