@@ -7,8 +7,8 @@ count moves little but what the ring and the capacities make it move.
 
 Filling is a walk along the ring, cell by cell, and within a cell in key order. Rows aren't walked: the cells' counts are,
 a table of fixed size, in one fold. It yields at which row of which cell each shard becomes full; a cell is cut there into
-segments of one shard each, and a row finds its segment by its rank in its cell. Rows of one key are counted before they
-are shuffled, so a key that repeats is no load.
+segments of one shard each, and a row finds its segment by its rank in its cell. Equal rows are counted before they are
+shuffled; the result's rows are made from the counts, REPEATS at most by one task step, and spread anew where a row repeats more.
 
 Defined results: a null or empty text has 8 bytes and the crc32 of no bytes; a null key is hashed as a key of its own;
 repeated rows get slots one after another; an empty table gives an empty result; other columns are ignored.
@@ -22,6 +22,8 @@ from pyspark.sql import functions as F
 from ._scratch import Scratch
 
 SHARDS, VNODES, CELLS = 24, 64, 16384
+#: Repeats of a row that are made in one place.
+REPEATS = 100_000
 
 
 def cell_of(key: Column) -> Column:
@@ -78,7 +80,7 @@ def segments(counts: DataFrame, prefs: DataFrame, full: DataFrame) -> DataFrame:
     return rows.withColumn("base", F.sum(size).over(along) - size)
 
 
-def assign(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shards: int = SHARDS, vnodes: int = VNODES) -> DataFrame:
+def assign(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shards: int = SHARDS, vnodes: int = VNODES, repeats: int = REPEATS) -> DataFrame:
     """doc_id, size, text_crc32, law, shard, slot and grown_shard (null under this law) of every document."""
     spark = docs.sparkSession
     scratch = Scratch(spark)
@@ -94,6 +96,11 @@ def assign(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shards:
 
     order = Window.partitionBy("cell").orderBy(F.xxhash64("doc_id", F.lit(0x0DD5)), F.col("doc_id").asc_nulls_first(), "size", "text_crc32")
     ranked = rows.withColumn("first", F.sum("m").over(order.rowsBetween(Window.unboundedPreceding, 0)) - F.col("m"))
-    each = ranked.select("cell", "doc_id", "size", "text_crc32", F.explode(F.sequence(F.col("first"), F.col("first") + F.col("m") - 1)).alias("rank"))
+    names = ["cell", "doc_id", "size", "text_crc32"]
+    spans = ranked.select(*names, "first", "m", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("m") - 1) / repeats))).alias("k"))
+    if (rows.agg(F.max("m")).first()[0] or 0) > repeats:
+        spans = spans.repartition("doc_id", "size", "text_crc32", "k")
+    until = F.least(F.col("m"), (F.col("k") + 1) * repeats)
+    each = spans.select(*names, F.explode(F.sequence(F.col("first") + F.col("k") * repeats, F.col("first") + until - 1)).alias("rank"))
     placed = each.join(F.broadcast(parts), "cell").where((F.col("rank") >= F.col("low")) & (F.col("rank") < F.col("high")))
     return placed.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), F.col("shard").cast("int").alias("shard"), (F.col("base") + F.col("rank") - F.col("low")).alias("slot"), F.lit(None).cast("int").alias("grown_shard"))
