@@ -7,7 +7,7 @@ finish time over all sources and taken from the front until the total budget is
 Targets share the budget by weight; a target stops at `max_copies` times its source's size, and the excess is shared anew by
 weight among the others until none is above.
 
-No task needs a whole source: cumulative tokens come from the sums of hash ranges (BINS a source) and a running sum within
+No task needs a whole source: cumulative tokens come from the sums of hash ranges (about BIN_ROWS rows each) and a running sum within
 each range; the cut in the global order comes from the sums of ranges of finish time, and only the range that holds the cut
 is divided again and then ordered row by row.
 
@@ -18,14 +18,16 @@ table gives an empty result; a target of 0 takes nothing. Other columns are igno
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ._scratch import Scratch
 
 MAX_COPIES = 3
-#: Ranges of the shuffle hash for each source, and of finish time.
-BINS, TIME_BINS = 4096, 4096  # BINS: three hex digits of the key
+#: Rows of a range of the shuffle hash, about, in the largest source; hex digits of the key that name a range, at least; ranges of finish time.
+BIN_ROWS, DIGITS, TIME_BINS = 1 << 16, 3, 4096
 
 
 def words_in(text: Column) -> Column:
@@ -67,7 +69,9 @@ def by_rank(docs: DataFrame) -> DataFrame:
 
 def queued(rows: DataFrame, sources: DataFrame) -> DataFrame:
     """rows (doc_id, source, size) with source_size, target, budget, `key` (shuffle order) and `at` (cumulative size in the source's queue)."""
-    keyed = rows.withColumn("key", shuffle_key(F.col("doc_id"))).withColumn("bin", F.conv(F.substring("key", 1, 3), 16, 10).cast("int"))
+    largest = rows.groupBy("source").count().agg(F.max("count")).first()[0] or 0
+    digits = max(DIGITS, math.ceil(math.log(max(1, largest / BIN_ROWS), 16)))
+    keyed = rows.withColumn("key", shuffle_key(F.col("doc_id"))).withColumn("bin", F.conv(F.substring("key", 1, digits), 16, 10).cast("long"))
     ranges = keyed.groupBy("source", "bin").agg(F.sum("size").alias("n"))
     ranges = ranges.select(F.col("source").alias("s"), F.col("bin").alias("b"), (F.sum("n").over(Window.partitionBy("source").orderBy("bin")) - F.col("n")).alias("before"))
     order = Window.partitionBy("source", "bin").orderBy("key", F.col("doc_id").asc_nulls_first(), "size").rowsBetween(Window.unboundedPreceding, 0)
