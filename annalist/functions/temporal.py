@@ -20,8 +20,10 @@ def overlap(lf: Column, lt: Column, rf: Column, rt: Column, last: str = LAST_TIM
 
 
 def overlap_if_given(lf: Column, lt: Column, rf: Column, rt: Column, given: Column) -> Column:
-    """False where an interval is missing altogether."""
-    return given & overlap(lf, lt, rf, rt, LAST_DAY)
+    """False where an interval is missing altogether, or ends before it begins."""
+    start = lambda x: F.coalesce(x, F.lit(""))
+    end = lambda x: F.coalesce(F.nullif(x, F.lit("")), F.lit(LAST_DAY))
+    return given & (F.greatest(start(lf), start(rf)) <= F.least(end(lt), end(rt)))
 
 
 def overlap_days(lf: Column, lt: Column, rf: Column, rt: Column) -> Column:

@@ -25,14 +25,28 @@ def order_gap(state: DataFrame, news: DataFrame, key: str, weight: str, floor: f
     return state_distance(state.union(news).where(strong), state.where(strong).union(news), key, weight)
 
 
-def snapshots_for(events: DataFrame, conditions: DataFrame) -> DataFrame:
-    """condition_id, fact_id, object: the state at each condition's checkpoint (history_id, upto), all conditions in one pass (ST-8, ST-9, SUP-20, SUP-26)."""
-    seen = conditions.select("condition_id", F.col("history_id").alias("h"), "upto").join(events, (F.col("h") == F.col("history_id")) & (F.col("pos") <= F.col("upto")))
-    graves = seen.where("operation = 'retract'").groupBy("condition_id", F.col("retracts").alias("fact_id")).agg(F.max("pos").alias("gone"))
-    live = seen.where("operation <> 'retract'").join(graves, ["condition_id", "fact_id"], "left").where("gone is null or pos > gone")
+def state_spans(events: DataFrame) -> DataFrame:
+    """history_id, fact_id, object, since, until: over which positions (until exclusive, null: to the end) each assertion is the state of its fact.
+
+    Between two retractions of a fact stands its latest assertion that is no re-delivery, and before the first of these its first re-delivery.
+    """
+    graves = events.where("operation = 'retract'").select("history_id", F.col("retracts").alias("fact_id"), "pos", F.lit(None).cast("string").alias("object"), F.lit("retract").alias("operation"))
+    own = events.where("operation <> 'retract'").select("history_id", "fact_id", "pos", "object", "operation")
+    along = Window.partitionBy("history_id", "fact_id").orderBy("pos").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    rows = graves.union(own).withColumn("life", F.sum(F.when(F.col("operation") == "retract", 1).otherwise(0)).over(along))
     again = F.col("operation") == "duplicate_delivery"
-    last = live.groupBy("condition_id", "fact_id").agg(F.max_by(F.when(~again, F.col("object")), F.when(~again, F.col("pos"))).alias("own"), F.min_by("object", "pos").alias("first"))
-    return last.select("condition_id", "fact_id", F.coalesce("own", "first").alias("object"))
+    before = Window.partitionBy("history_id", "fact_id", "life").orderBy("pos").rowsBetween(Window.unboundedPreceding, -1)
+    changes = rows.withColumn("nth", F.coalesce(F.sum(F.when(F.col("operation") != "retract", 1).otherwise(0)).over(before), F.lit(0)))
+    changes = changes.where((F.col("operation") == "retract") | ~again | (F.col("nth") == 0))
+    until = F.lead("pos").over(Window.partitionBy("history_id", "fact_id").orderBy("pos"))
+    return changes.withColumn("until", until).where("operation <> 'retract'").select("history_id", "fact_id", "object", F.col("pos").alias("since"), "until")
+
+
+def snapshots_for(events: DataFrame, conditions: DataFrame) -> DataFrame:
+    """condition_id, fact_id, object: the state at each condition's checkpoint (history_id, upto), all conditions in one pass (ST-9, SUP-26): what stands then, from the spans of the log, which is computed once."""
+    spans = state_spans(events)
+    here = (conditions["history_id"] == spans["history_id"]) & (F.col("since") <= F.col("upto")) & (F.col("until").isNull() | (F.col("until") > F.col("upto")))
+    return conditions.join(spans, here).select("condition_id", "fact_id", "object")
 
 
 def episodes(turns: DataFrame, n: int) -> DataFrame:
@@ -59,9 +73,11 @@ def views_at(stream: DataFrame, checkpoints: DataFrame, caps: list[int]) -> Data
 
 def distances(triggers: DataFrame, stream: DataFrame, steps: list[int]) -> DataFrame:
     """For each trigger (history_id, pos) and distance, the first position at least that far on in the history (ST-18, JOIN-28)."""
-    t = triggers.select(F.col("history_id").alias("h"), F.col("pos").alias("p"), F.explode(F.array(*map(F.lit, steps))).alias("step"))
-    met = t.join(stream.select("history_id", "pos"), (F.col("h") == F.col("history_id")) & (F.col("pos") >= F.col("p") + F.col("step")), "left")
-    return met.groupBy(F.col("h").alias("history_id"), F.col("p").alias("trigger"), "step").agg(F.min("pos").alias("reached"))
+    from .windows import first_reaching
+
+    marks = triggers.select("history_id", F.col("pos").alias("trigger"), F.explode(F.array(*map(F.lit, steps))).alias("step")).withColumn("goal", F.col("trigger") + F.col("step")).distinct()
+    rows = stream.select("history_id", "pos", F.col("pos").alias("x"))
+    return first_reaching(marks, rows, "history_id", "goal", "x", "pos", "reached").select("history_id", "trigger", "step", "reached")
 
 
 def interleave(segments: DataFrame, open_at_once: int = 2) -> DataFrame:

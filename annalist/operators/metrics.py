@@ -39,10 +39,9 @@ def covers_at(titles: Column, gold: Column, k: int) -> Column:
     return F.size(F.array_except(gold, F.flatten(F.slice(titles, 1, k)))) == 0
 
 
-def upper_median(values: Column) -> Column:
-    """The element at n // 2 of the sorted values (AGG-15)."""
-    s = F.array_sort(F.collect_list(values))
-    return F.try_element_at(s, (F.floor(F.size(s) / 2) + 1).cast("int"))
+def upper_median(name: str) -> Column:
+    """The element at place n // 2 of a column's sorted values (AGG-15): the first that more than half of them don't exceed."""
+    return F.expr(f"percentile_disc(0.500000000001) WITHIN GROUP (ORDER BY `{name}`)").cast("double")
 
 
 def branch_report(sparse: DataFrame, dense: DataFrame) -> DataFrame:

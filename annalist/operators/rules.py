@@ -116,23 +116,55 @@ def first_conflict(candidates: DataFrame, existing: DataFrame) -> DataFrame:
 CLAIM = ("history_id", "subject", "predicate", "domain", "scope")
 
 
+def resolved_targets(events: DataFrame) -> DataFrame:
+    """events with `removes`: the distinct fact ids that the event supersedes or resolves."""
+    named = F.array("supersedes")
+    if "resolves" in events.columns:
+        named = F.concat(named, F.coalesce("resolves", F.array().cast("array<string>")))
+    return events.withColumn("removes", F.array_distinct(F.array_compact(named)))
+
+
 def contradiction_pairs(events: DataFrame) -> DataFrame:
-    """left_id, right_id and pair_id of assertions of one claim that differ while both hold, the earlier first (JOIN-14)."""
-    a, b = events.alias("a"), events.alias("b")
+    """left_id, right_id and pair_id of assertions of one claim that differ while both hold, the earlier first (JOIN-14). An event that resolves two facts or more opens no pair."""
+    rows = resolved_targets(events)
+    a, b = rows.where(F.size("removes") < 2).alias("a"), rows.where(F.size("removes") < 2).alias("b")
     on = [F.col(f"a.{c}") == F.col(f"b.{c}") for c in CLAIM]
     cond = on[0] & on[1] & on[2] & on[3] & on[4] & (F.col("a.object") != F.col("b.object")) & (F.col("a.pos") < F.col("b.pos")) & meets("a", "b")
-    rows = a.join(b, cond).select(F.col("a.event_id").alias("left_id"), F.col("b.event_id").alias("right_id"), F.col("a.authority").alias("left_authority"), F.col("b.authority").alias("right_authority"), F.col("a.fact_id").alias("left_fact"), F.col("b.fact_id").alias("right_fact"), F.col("b.supersedes").alias("right_supersedes"))
-    return rows.withColumn("pair_id", pair_id(F.col("left_id"), F.col("right_id")))
+    pairs = a.join(b, cond).select(
+        F.col("a.history_id").alias("history_id"), F.col("a.event_id").alias("left_id"), F.col("b.event_id").alias("right_id"), F.col("a.authority").alias("left_authority"), F.col("b.authority").alias("right_authority"),
+        F.col("a.fact_id").alias("left_fact"), F.col("b.fact_id").alias("right_fact"), F.col("b.removes").alias("right_removes"), F.col("b.pos").alias("opened"),
+    )
+    return pairs.withColumn("pair_id", pair_id(F.col("left_id"), F.col("right_id")))
+
+
+def scope_separated(events: DataFrame) -> DataFrame:
+    """history_id, n: pairs that would contradict each other were they of one scope (ST-10)."""
+    a, b = events.alias("a"), events.alias("b")
+    on = [F.col(f"a.{c}") == F.col(f"b.{c}") for c in CLAIM[:4]]
+    cond = on[0] & on[1] & on[2] & on[3] & (F.col("a.scope") != F.col("b.scope")) & (F.col("a.object") != F.col("b.object")) & (F.col("a.pos") < F.col("b.pos")) & meets("a", "b")
+    return a.join(b, cond).groupBy(F.col("a.history_id").alias("history_id")).agg(F.count("*").alias("n"))
 
 
 def authority_rank(a: Column) -> Column:
     return F.when(a == "direct_user", 1).otherwise(0)
 
 
-def resolved_pairs(pairs: DataFrame) -> DataFrame:
-    """Pairs with status: the later one supersedes the earlier, outranks it, or neither (JOIN-15, 16; unresolved ones are the anti-join, JOIN-17)."""
-    outranks = authority_rank(F.col("right_authority")) > authority_rank(F.col("left_authority"))
-    return pairs.withColumn("status", F.when(outranks, "resolved_authority").when(F.col("right_supersedes") == F.col("left_fact"), "resolved_supersession").otherwise("unresolved"))
+def resolved_pairs(pairs: DataFrame, events: DataFrame) -> DataFrame:
+    """Pairs with status, winner and resolved, its position (JOIN-15 to 17).
+
+    A pair is resolved by its later side, if that resolves or supersedes the earlier one's fact, or by a later event that resolves the facts of both sides; never by
+    an event of less authority than the losers. The first such event wins: by authority if it outranks the losers, else by supersession. The others are unresolved.
+    """
+    rank = authority_rank
+    left, right = rank(F.col("left_authority")), rank(F.col("right_authority"))
+    own = F.when(F.array_contains("right_removes", F.col("left_fact")) & (right >= left), F.struct(F.col("opened").alias("pos"), F.col("right_id").alias("event_id"), (right > left).alias("outranks")))
+    resolving = resolved_targets(events).where(F.size("removes") > 0).select(F.col("history_id").alias("h"), F.col("event_id").alias("w"), F.col("pos").alias("at"), "removes", rank(F.col("authority")).alias("r"))
+    by_target = resolving.select("h", "w", "at", "removes", "r", F.explode("removes").alias("target"))
+    third = pairs.join(by_target, (F.col("history_id") == F.col("h")) & (F.col("left_fact") == F.col("target")) & F.array_contains("removes", F.col("right_fact")) & (F.col("at") > F.col("opened")) & (F.col("r") >= F.greatest(left, right)))
+    third = third.groupBy(F.col("pair_id").alias("p")).agg(F.min(F.struct(F.col("at").alias("pos"), F.col("w").alias("event_id"), (F.col("r") > F.greatest(left, right)).alias("outranks"))).alias("third"))
+    rows = pairs.withColumn("own", own).join(third, F.col("pair_id") == F.col("p"), "left").withColumn("by", F.coalesce("own", "third"))
+    status = F.when(F.col("by").isNull(), "unresolved").when(F.col("by.outranks"), "resolved_authority").otherwise("resolved_supersession")
+    return rows.select("history_id", "pair_id", "left_id", "right_id", "opened", status.alias("status"), F.col("by.event_id").alias("winner"), F.col("by.pos").alias("resolved"))
 
 
 def preference_changes(events: DataFrame) -> DataFrame:
@@ -166,7 +198,8 @@ def tombstones(events: DataFrame) -> DataFrame:
     r = events.where("operation = 'retract'").alias("r")
     e = events.where("operation <> 'retract'").alias("e")
     found = r.join(e, (F.col("r.history_id") == F.col("e.history_id")) & (F.col("r.retracts") == F.col("e.fact_id")) & (F.col("e.pos") < F.col("r.pos")), "left")
-    latest = F.max(F.struct(F.col("e.pos").alias("pos"), F.col("e.object").alias("object"), F.col("e.scope").alias("scope"), F.col("e.valid_from").alias("valid_from"), F.col("e.valid_to").alias("valid_to")))
+    kept = [F.col(f"e.{c}").alias(c) for c in ("pos", "subject", "predicate", "object", "scope", "valid_from", "valid_to")]
+    latest = F.max(F.struct(*kept))
     return found.groupBy(F.col("r.history_id").alias("history_id"), F.col("r.event_id").alias("event_id"), F.col("r.pos").alias("pos"), F.col("r.retracts").alias("retracts")).agg(latest.alias("was")).withColumn("was", F.when(F.col("was.pos").isNotNull(), F.col("was")))
 
 
@@ -175,7 +208,10 @@ def resurrections(candidates: DataFrame, graves: DataFrame) -> DataFrame:
     before = F.col("a.pos") > F.col("t.pos")
     by_id = candidates.alias("a").join(graves.alias("t"), (F.col("a.history_id") == F.col("t.history_id")) & (F.col("a.fact_id") == F.col("t.retracts")) & before, "left_semi")
     met = overlap_if_given(F.col("a.valid_from"), F.col("a.valid_to"), F.col("t.was.valid_from"), F.col("t.was.valid_to"), F.col("t.was").isNotNull())
-    by_content = candidates.alias("a").join(graves.alias("t"), (F.col("a.history_id") == F.col("t.history_id")) & (F.col("a.object") == F.col("t.was.object")) & (F.col("a.scope") == F.col("t.was.scope")) & before & met, "left_semi")
+    same = F.col("a.history_id") == F.col("t.history_id")
+    for c in ("subject", "predicate", "object", "scope"):
+        same = same & (F.col(f"a.{c}") == F.col(f"t.was.{c}"))
+    by_content = candidates.alias("a").join(graves.alias("t"), same & before & met, "left_semi")
     return by_id.union(by_content).dropDuplicates(["event_id"])
 
 

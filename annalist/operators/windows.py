@@ -34,17 +34,29 @@ def available_groups(rows: DataFrame, groups: Column, selected: Column) -> DataF
     return rows.withColumn("complete", F.forall(groups, lambda g: F.arrays_overlap(g, selected)))
 
 
+def first_reaching(marks: DataFrame, stream: DataFrame, key: str, at: str, x: str, value: str, out: str) -> DataFrame:
+    """marks (key, at, ...) with `out`: the least `value` of the stream's rows (key, x, value) whose x is `at` or more; null where there is none. One ordering of both instead of a join by inequality."""
+    names = [c for c in marks.columns if c not in (key, at)]
+    kinds = {f.name: f.dataType for f in marks.schema.fields}
+    a = marks.select(key, F.col(at).cast("double").alias("__x"), F.lit(None).cast(stream.schema[value].dataType).alias("__v"), F.lit(True).alias("__mark"), at, *names)
+    b = stream.select(F.col(key), F.col(x).cast("double").alias("__x"), F.col(value).alias("__v"), F.lit(False).alias("__mark"), *(F.lit(None).cast(kinds[c]).alias(c) for c in (at, *names)))
+    ahead = Window.partitionBy(key).orderBy("__x").rangeBetween(Window.currentRow, Window.unboundedFollowing)
+    return a.union(b).withColumn(out, F.min("__v").over(ahead)).where("__mark").select(key, at, *names, out)
+
+
 def next_sweep(triggers: DataFrame, stream: DataFrame, period: int) -> DataFrame:
     """For each trigger (conv_id, at) the first turn whose running total reaches the next multiple of the period (JOIN-28, ST-16); null where the stream ends before."""
-    due = triggers.withColumn("due", (F.floor(F.col("at") / period) + 1) * period)
-    s = stream.select(F.col("conv_id").alias("c"), F.col("turn").alias("t"), "total")
-    return due.join(s, (F.col("conv_id") == F.col("c")) & (F.col("total") >= F.col("due")), "left").groupBy("conv_id", "turn", "due").agg(F.min("t").alias("sweep_turn"))
+    due = triggers.select("conv_id", "turn", ((F.floor(F.col("at") / period) + 1) * period).alias("due")).distinct()
+    rows = stream.select("conv_id", F.col("turn").alias("t"), "total")
+    return first_reaching(due, rows, "conv_id", "due", "total", "t", "sweep_turn").select("conv_id", "turn", "due", "sweep_turn")
 
 
 def released(capsules: DataFrame, checkpoints: DataFrame) -> DataFrame:
-    """Capsules released at or before each checkpoint of their stream (JOIN-29)."""
-    c = capsules.select(F.col("conv_id").alias("c"), F.col("release").alias("r"), "capsule_id")
-    return checkpoints.join(c, (F.col("conv_id") == F.col("c")) & (F.col("r") <= F.col("turn"))).groupBy("conv_id", "turn").agg(F.count("capsule_id").alias("released"))
+    """How many capsules are released at or before each checkpoint of their stream, of checkpoints with any (JOIN-29): a running count over both."""
+    a = checkpoints.select("conv_id", "turn").distinct().select("conv_id", F.col("turn").cast("long").alias("turn"), F.lit(0).alias("capsule"))
+    b = capsules.select("conv_id", F.col("release").cast("long").alias("turn"), F.lit(1).alias("capsule"))
+    upto = Window.partitionBy("conv_id").orderBy("turn").rangeBetween(Window.unboundedPreceding, Window.currentRow)
+    return a.union(b).withColumn("released", F.sum("capsule").over(upto)).where("capsule = 0 and released > 0").select("conv_id", "turn", "released")
 
 
 def moving_mean(rows: DataFrame, key: str, pos: str, value: str, width: int, bound: float) -> DataFrame:
@@ -74,10 +86,20 @@ def upper_bin(x: Column, bounds: list[int]) -> Column:
 
 
 def evidence_age(checkpoints: DataFrame, evidence: DataFrame) -> DataFrame:
-    """conv_id, turn, age: over groups, the most turns since the group was last seen (WIN-19). evidence: conv_id, grp, at."""
-    e = evidence.select(F.col("conv_id").alias("c"), "grp", "at")
-    last = checkpoints.join(e, (F.col("conv_id") == F.col("c")) & (F.col("at") <= F.col("turn"))).groupBy("conv_id", "turn", "grp").agg(F.max("at").alias("last"))
-    return last.groupBy("conv_id", "turn").agg(F.max(F.col("turn") - F.col("last")).alias("age"))
+    """conv_id, turn, age: over groups, the most turns since the group was last seen (WIN-19). evidence: conv_id, grp, at. The last sight of a group before a checkpoint is a running maximum over both."""
+    marks = checkpoints.select("conv_id", "turn").distinct().join(evidence.select("conv_id", "grp").distinct(), "conv_id")
+    a = marks.select("conv_id", "grp", F.col("turn").cast("long").alias("x"), F.lit(None).cast("long").alias("seen"), F.lit(True).alias("mark"))
+    b = evidence.select("conv_id", "grp", F.col("at").cast("long").alias("x"), F.col("at").cast("long").alias("seen"), F.lit(False).alias("mark"))
+    upto = Window.partitionBy("conv_id", "grp").orderBy("x").rangeBetween(Window.unboundedPreceding, Window.currentRow)
+    last = a.union(b).withColumn("last", F.max("seen").over(upto)).where("mark and last is not null")
+    return last.groupBy("conv_id", F.col("x").alias("turn")).agg(F.max(F.col("x") - F.col("last")).alias("age"))
+
+
+def distinct_before(rows: DataFrame, key: list[str], value: str, pos: str, out: str) -> DataFrame:
+    """rows with `out`: how many other values their key showed before them (SUP-1): first sights counted along the order, less the row's own value if it was seen."""
+    seen = F.row_number().over(Window.partitionBy(*key, value).orderBy(pos))
+    before = F.coalesce(F.sum(F.when(F.col("__nth") == 1, 1).otherwise(0)).over(Window.partitionBy(*key).orderBy(pos).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    return rows.withColumn("__nth", seen).withColumn(out, before - F.when(F.col("__nth") > 1, 1).otherwise(0)).drop("__nth")
 
 
 def interleaving(rows: DataFrame) -> DataFrame:

@@ -30,8 +30,12 @@ def snapshot_as_of(spark, sf):
     return replay.snapshot(view(spark, sf, "log"), F.lit(5000)).groupBy("history_id").agg(F.count("*").alias("facts"))
 
 
-@query("st_active_events", """
-WITH x AS (SELECT history_id, retracts AS fact_id, pos FROM v_log WHERE operation = 'retract' UNION ALL SELECT history_id, supersedes, pos FROM v_log WHERE operation <> 'retract' AND supersedes IS NOT NULL),
+REMOVALS = """SELECT history_id, retracts AS fact_id, pos FROM {log} WHERE operation = 'retract' UNION ALL SELECT history_id, supersedes, pos FROM {log} WHERE operation <> 'retract' AND supersedes IS NOT NULL
+  UNION ALL SELECT history_id, unnest(resolves), pos FROM {log} WHERE operation <> 'retract'"""
+
+
+@query("st_active_events", f"""
+WITH x AS ({REMOVALS.format(log="v_log")}),
 i AS (SELECT history_id, fact_id, max(pos) AS pos FROM v_log WHERE operation <> 'retract' GROUP BY 1, 2)
 SELECT e.event_id, e.history_id, e.fact_id FROM v_log e JOIN i USING (history_id, fact_id, pos) WHERE operation <> 'retract' AND NOT EXISTS (SELECT 1 FROM x WHERE x.history_id = e.history_id AND x.fact_id = e.fact_id AND x.pos > e.pos)""")
 def active_events(spark, sf):
@@ -59,30 +63,48 @@ def last_assertion(spark, sf):
     return replay.last_assertion(view(spark, sf, "log"))
 
 
-@query("join_prefix_until", "WITH c AS (SELECT 'k' || event_id AS candidate_id, history_id AS h, pos AS upto FROM v_log WHERE pos % 40 = 7) SELECT candidate_id, count(*) AS visible, max(pos) AS last_pos FROM c JOIN v_log e ON e.history_id = h AND pos <= upto GROUP BY 1")
+@query("join_prefix_until", "WITH c AS (SELECT 'k' || event_id AS candidate_id, history_id AS h, pos AS upto FROM v_log) SELECT candidate_id, count(*) AS visible, max(pos) AS last_pos FROM c JOIN v_log e ON e.history_id = h AND pos <= upto GROUP BY 1")
 def prefix(spark, sf):
-    """JOIN-27; every event is a candidate, of which the SQL takes one in 40"""
+    """JOIN-27: every event is a candidate"""
     log = view(spark, sf, "log")
     seen = log.select(F.concat(F.lit("k"), "event_id").alias("candidate_id"), "event_id")
     return replay.prefix_until(log, seen).groupBy("candidate_id").agg(F.count("*").alias("visible"), F.max("pos").alias("last_pos"))
 
 
-@query("join_contradiction_pairs", f"""
-SELECT sha256(least(a.event_id, b.event_id) || ':' || greatest(a.event_id, b.event_id)) AS pair_id, CASE WHEN b.authority = 'direct_user' AND a.authority <> 'direct_user' THEN 'resolved_authority' WHEN b.supersedes = a.fact_id THEN 'resolved_supersession' ELSE 'unresolved' END AS status
-FROM v_log a JOIN v_log b ON a.history_id = b.history_id AND a.subject = b.subject AND a.predicate = b.predicate AND a.domain = b.domain AND a.scope = b.scope AND a.object <> b.object AND a.pos < b.pos AND {OVER}
-WHERE a.operation <> 'retract' AND b.operation <> 'retract' AND a.pos <= 3000 AND b.pos <= 3000""")
+#: Pairs of claims that contradict each other, and the first event that resolves each. The declarative form wants both sides to open pairs, the ledger only the later one.
+PAIRS = f"""
+q AS (SELECT *, list_distinct(list_filter(list_concat([supersedes], coalesce(resolves, [])), lambda x: x IS NOT NULL)) AS rm, CASE WHEN authority = 'direct_user' THEN 1 ELSE 0 END AS auth FROM v_log WHERE operation <> 'retract'),
+p AS (
+  SELECT a.history_id, a.event_id AS l, b.event_id AS r, a.fact_id AS lf, b.fact_id AS rf, a.auth AS la, b.auth AS ra, b.rm, b.pos AS opened
+  FROM q a JOIN q b ON a.history_id = b.history_id AND a.subject = b.subject AND a.predicate = b.predicate AND a.domain = b.domain AND a.scope = b.scope AND a.object <> b.object AND a.pos < b.pos AND {OVER} WHERE len(a.rm) < 2 AND len(b.rm) < 2),
+w AS (
+  SELECT l, r, opened AS when_, r AS win, ra > la AS more FROM p WHERE list_contains(rm, lf) AND ra >= la
+  UNION ALL SELECT l, r, q.pos, q.event_id, q.auth > greatest(la, ra) FROM p JOIN q ON q.history_id = p.history_id AND q.pos > opened AND list_contains(q.rm, lf) AND list_contains(q.rm, rf) AND q.auth >= greatest(la, ra)),
+f AS (SELECT l, r, arg_min(win, when_) AS winner, min(when_) AS resolved, arg_min(more, when_) AS more FROM w GROUP BY 1, 2),
+z AS (SELECT p.history_id, sha256(least(p.l, p.r) || ':' || greatest(p.l, p.r)) AS pair_id, CASE WHEN winner IS NULL THEN 'unresolved' WHEN more THEN 'resolved_authority' ELSE 'resolved_supersession' END AS status, winner, opened, resolved FROM p LEFT JOIN f USING (l, r))"""
+
+
+@query("join_contradiction_pairs", f"WITH {PAIRS} SELECT pair_id, status, winner FROM z")
 def contradictions(spark, sf):
-    """JOIN-14 to JOIN-17, JOIN-32, GRF-12, ID-3; the whole log, of which the SQL joins the first 3,000 positions"""
+    """JOIN-14 to JOIN-17, JOIN-32, GRF-12, ID-3"""
     log = view(spark, sf, "log").where("operation <> 'retract'")
-    return rules.resolved_pairs(rules.contradiction_pairs(log)).select("pair_id", "status")
+    return rules.resolved_pairs(rules.contradiction_pairs(log), log).select("pair_id", "status", "winner")
 
 
-@query("st_contradiction_ledger_fold")
+@query("st_contradiction_ledger_fold", f"WITH {PAIRS.replace('WHERE len(a.rm) < 2 AND', 'WHERE')} SELECT history_id, pair_id, status, winner, opened, resolved FROM z")
 def ledger(spark, sf):
-    """ST-10: an ordered fold; unit-tested against the joins"""
+    """ST-10: an ordered fold, whose SQL is the declarative form"""
     return replay.contradiction_ledger(view(spark, sf, "log"))
 
 
+@query("st_scope_separated", f"""
+SELECT a.history_id, count(*) AS n FROM v_log a JOIN v_log b ON a.history_id = b.history_id AND a.subject = b.subject AND a.predicate = b.predicate AND a.domain = b.domain AND a.scope <> b.scope AND a.object <> b.object AND a.pos < b.pos AND {OVER}
+WHERE a.operation <> 'retract' AND b.operation <> 'retract' GROUP BY 1""")
+def separated(spark, sf):
+    """ST-10: pairs that only their scopes keep apart"""
+    return rules.scope_separated(view(spark, sf, "log").where("operation <> 'retract'"))
+
+
 @query("join_preference_changes", "SELECT a.event_id AS old_id, b.event_id AS new_id, a.object AS old_value, b.object AS new_value FROM v_log a JOIN v_log b ON b.history_id = a.history_id AND b.supersedes = a.fact_id AND a.scope = b.scope AND a.object <> b.object AND a.valid_from <> b.valid_from AND a.pos < b.pos WHERE a.operation <> 'retract' AND b.operation <> 'retract'")
 def changes(spark, sf):
     """JOIN-12, GRF-11, FLT-23"""
@@ -112,11 +134,11 @@ def tombstones(spark, sf):
 
 
 GRAVES = """
-t AS (SELECT r.history_id, r.pos, r.retracts, max((e.pos, e.object, e.scope, e.valid_from, e.valid_to)) AS was FROM v_log r LEFT JOIN v_log e ON e.history_id = r.history_id AND e.fact_id = r.retracts AND e.pos < r.pos AND e.operation <> 'retract' WHERE r.operation = 'retract' GROUP BY r.history_id, r.event_id, r.pos, r.retracts),
-back AS (SELECT DISTINCT n.event_id FROM n JOIN t ON n.history_id = t.history_id AND n.pos > t.pos AND (n.fact_id = t.retracts OR (n.object = t.was[2] AND n.scope = t.was[3] AND n.valid_from <= coalesce(t.was[5], '9999-12-31') AND t.was[4] <= coalesce(n.valid_to, '9999-12-31'))))"""
+t AS (SELECT r.history_id, r.pos, r.retracts, max((e.pos, e.object, e.scope, e.valid_from, e.valid_to, e.subject, e.predicate)) AS was FROM {log} r LEFT JOIN {log} e ON e.history_id = r.history_id AND e.fact_id = r.retracts AND e.pos < r.pos AND e.operation <> 'retract' WHERE r.operation = 'retract' GROUP BY r.history_id, r.event_id, r.pos, r.retracts),
+back AS (SELECT DISTINCT n.event_id FROM n JOIN t ON n.history_id = t.history_id AND n.pos > t.pos AND (n.fact_id = t.retracts OR (n.subject = t.was[6] AND n.predicate = t.was[7] AND n.object = t.was[2] AND n.scope = t.was[3] AND n.valid_from <= coalesce(t.was[5], '9999-12-31') AND t.was[4] <= coalesce(n.valid_to, '9999-12-31'))))"""
 
 
-@query("join_resurrections", f"WITH n AS (SELECT * FROM v_log WHERE operation = 'direct_user_correction'), {GRAVES} SELECT event_id FROM back")
+@query("join_resurrections", f"WITH n AS (SELECT * FROM v_log WHERE operation = 'direct_user_correction'), {GRAVES.format(log='v_log')} SELECT event_id FROM back")
 def resurrections(spark, sf):
     """JOIN-31"""
     log = view(spark, sf, "log")
@@ -124,20 +146,30 @@ def resurrections(spark, sf):
 
 
 @query("st_hard_gate", f"""
-WITH n AS (SELECT * FROM v_log WHERE operation = 'direct_user_correction'), {GRAVES},
-m AS (SELECT n.event_id, n.authority, count(e.event_id) AS k, coalesce(bool_or(n.supersedes = e.fact_id), false) AS lifted FROM n LEFT JOIN v_log e ON e.operation <> 'retract' AND e.history_id = n.history_id AND e.pos < n.pos AND e.scope = n.scope AND e.object <> n.object AND e.valid_from <= coalesce(n.valid_to, '9999-12-31') AND n.valid_from <= coalesce(e.valid_to, '9999-12-31') GROUP BY 1, 2)
-SELECT m.event_id, CASE WHEN back.event_id IS NOT NULL THEN 'tombstone_resurrection' WHEN authority = 'direct_user' AND k > 0 AND NOT lifted THEN 'authority_conflict_without_supersession' WHEN authority = 'direct_user' AND lifted THEN 'direct_correction_supersedes' ELSE 'no_hard_gate' END AS code FROM m LEFT JOIN back ON back.event_id = m.event_id""")
+WITH n AS (SELECT * FROM v_life WHERE operation IN ('direct_user_correction', 'supersede')), {GRAVES.format(log="v_life")},
+x AS ({REMOVALS.format(log="v_life")} UNION ALL SELECT history_id, fact_id, pos FROM v_life WHERE operation <> 'retract'),
+e AS (SELECT l.event_id, min(x.pos) AS until FROM v_life l LEFT JOIN x ON x.history_id = l.history_id AND x.fact_id = l.fact_id AND x.pos > l.pos WHERE l.operation <> 'retract' GROUP BY 1),
+a AS (
+  SELECT n.event_id AS c, l.*, coalesce(n.supersedes = l.fact_id, false) AS lifted, l.subject = n.subject AND l.object = n.object AS same_pair, l.valid_from <= coalesce(n.valid_to, '9999-12-31') AND n.valid_from <= coalesce(l.valid_to, '9999-12-31') AS meets,
+         l.subject = n.subject AND l.scope = n.scope AS near, l.subject = n.subject AND l.predicate = n.predicate AND l.scope = n.scope AND l.object <> n.object AS rival
+  FROM n JOIN v_life l ON l.history_id = n.history_id AND l.pos < n.pos JOIN e ON e.event_id = l.event_id WHERE until IS NULL OR until >= n.pos),
+g AS (
+  SELECT c, bool_or(operation = 'hard_constraint' AND same_pair) AS forbidden, bool_or(operation = 'ambiguous_conflict' AND (lifted OR near AND meets)) AS ambiguous, bool_or(operation = 'ambiguous_conflict' AND lifted) AS lifts,
+         bool_or(rival AND meets) AS rivals, bool_or(rival AND meets AND lifted) AS supersedes FROM a GROUP BY 1)
+SELECT n.event_id, CASE WHEN back.event_id IS NOT NULL THEN 'tombstone_resurrection' WHEN forbidden THEN 'hard_constraint_violation' WHEN ambiguous AND authority = 'direct_user' AND lifts THEN 'direct_correction_resolves_ambiguity' WHEN ambiguous THEN 'unresolved_ambiguity'
+  WHEN authority = 'direct_user' AND rivals AND NOT g.supersedes THEN 'authority_conflict_without_supersession' WHEN authority = 'direct_user' AND g.supersedes THEN 'direct_correction_supersedes' ELSE 'no_hard_gate' END AS code
+FROM n LEFT JOIN back ON back.event_id = n.event_id LEFT JOIN g ON g.c = n.event_id""")
 def hard_gate(spark, sf):
-    """ST-6"""
-    log = view(spark, sf, "log")
-    return replay.gate(log.where("operation = 'direct_user_correction'"), log)
+    """ST-6: corrections and supersessions against what is active when they come"""
+    log = view(spark, sf, "life")
+    return replay.gate(log.where("operation in ('direct_user_correction', 'supersede')"), log)
 
 
 @query("grf_lineage_retracted", """
 WITH RECURSIVE k AS (SELECT DISTINCT history_id, fact_id FROM v_log WHERE operation <> 'retract'),
-ed AS (SELECT DISTINCT e.fact_id AS a, e.duplicate_of AS b FROM v_log e JOIN k ON k.history_id = e.history_id AND k.fact_id = e.duplicate_of WHERE operation = 'duplicate_delivery'),
+ed AS (SELECT DISTINCT e.history_id, e.fact_id AS a, e.duplicate_of AS b FROM v_log e JOIN k ON k.history_id = e.history_id AND k.fact_id = e.duplicate_of WHERE operation = 'duplicate_delivery'),
 g AS (SELECT DISTINCT history_id, retracts AS fact_id FROM v_log WHERE operation = 'retract'),
-r AS (SELECT history_id, fact_id FROM g UNION SELECT r.history_id, t.y FROM r JOIN (SELECT a AS x, b AS y FROM ed UNION ALL SELECT b, a FROM ed) t ON t.x = r.fact_id)
+r AS (SELECT history_id, fact_id FROM g UNION SELECT r.history_id, t.y FROM r JOIN (SELECT history_id, a AS x, b AS y FROM ed UNION ALL SELECT history_id, b, a FROM ed) t ON t.history_id = r.history_id AND t.x = r.fact_id)
 SELECT history_id, fact_id FROM r JOIN k USING (history_id, fact_id)""")
 def lineage(spark, sf):
     """JOIN-18, JOIN-19, GRF-7, GRF-8, SUP-11, FLT-24"""
@@ -198,9 +230,8 @@ WHERE c.operation = 'direct_user_correction' GROUP BY 1""")
 def stale(spark, sf):
     """SUP-1"""
     log = view(spark, sf, "log").where("operation <> 'retract'")
-    a, b = log.where("operation = 'direct_user_correction'").alias("a"), log.alias("b")
-    pairs = a.join(b, (F.col("a.history_id") == F.col("b.history_id")) & (F.col("a.scope") == F.col("b.scope")) & (F.col("b.pos") < F.col("a.pos")) & (F.col("a.object") != F.col("b.object")))
-    return pairs.groupBy("a.event_id").agg(F.count_distinct("b.object").alias("stale"))
+    rows = windows.distinct_before(log, ["history_id", "scope"], "object", "pos", "stale")
+    return rows.where("operation = 'direct_user_correction' and stale > 0").select("event_id", F.col("stale").cast("long").alias("stale"))
 
 
 @query("agg_lifecycle_thirds", """
@@ -301,10 +332,9 @@ WITH {BM}, p AS (SELECT f.doc_id, f.term, ln(1 + (n - df + 0.5) / (df + 0.5)) *
 s AS (SELECT query_id, doc_id, round(sum(x), 6) AS score FROM p JOIN (SELECT DISTINCT query_id, unnest(t) AS term FROM q) USING (term) GROUP BY 1, 2)
 SELECT * FROM (SELECT query_id, doc_id, score, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS INT) AS rank FROM s) WHERE rank <= 10""")
 def bm25(spark, sf):
-    """TXT-1, TXT-3, WIN-1, TOP-7, TOP-10, TOP-11, AGG-46: the ten best documents for each benchmark item"""
+    """TXT-1, TXT-3, WIN-1, AGG-46: the ten best documents for each benchmark item"""
     docs, items = table(spark, sf, "documents").select("doc_id", "text"), table(spark, sf, "benchmark").select(F.col("item_id").alias("query_id"), "text")
-    scored = retrieval.bm25(docs, items, text.ascii_tokens).withColumn("score", F.round("score", 6))
-    return retrieval.top_k(scored, "query_id", [F.desc("score"), F.asc("doc_id")], 10).select("query_id", "doc_id", "score", "rank")
+    return retrieval.bm25_top(docs, items, text.ascii_tokens, 10)
 
 
 @query("top_bm25_okapi", f"""
@@ -313,10 +343,9 @@ p AS (SELECT f.doc_id, f.term, CASE WHEN raw < 0 THEN floor ELSE raw END * tf *
 s AS (SELECT query_id, doc_id, round(sum(x), 6) AS score FROM p JOIN (SELECT query_id, unnest(t) AS term FROM q) USING (term) GROUP BY 1, 2)
 SELECT * FROM (SELECT query_id, doc_id, score, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS INT) AS rank FROM s) WHERE rank <= 5""")
 def okapi(spark, sf):
-    """TXT-2, TOP-12, TOP-13, SUP-22, SUP-35"""
+    """TXT-2, TOP-12"""
     docs, items = table(spark, sf, "documents").select("doc_id", "text"), table(spark, sf, "benchmark").select(F.col("item_id").alias("query_id"), "text")
-    scored = retrieval.bm25_okapi(docs, items, text.ascii_tokens).withColumn("score", F.round("score", 6))
-    return retrieval.top_k(scored, "query_id", [F.desc("score"), F.asc("doc_id")], 5).select("query_id", "doc_id", "score", "rank")
+    return retrieval.bm25_top(docs, items, text.ascii_tokens, 5, okapi=True)
 
 
 DENSE = """
@@ -330,10 +359,10 @@ def vectors(spark, sf):
     return v, v.where("doc_id % 50 = 0").select(F.col("doc_id").alias("query_id"), "v")
 
 
-@query("top_dense", f"WITH {DENSE} SELECT query_id, rank::INT AS rank, similarity FROM t WHERE rank <= 10")
+@query("top_dense", f"WITH {DENSE} SELECT query_id, doc_id, rank::INT AS rank, similarity FROM t WHERE rank <= 10")
 def dense(spark, sf):
     """VEC-2, TOP-2, WIN-2, D28: queries are the stated set vec_id % 50 = 0, against all rows"""
-    return retrieval.nearest(*vectors(spark, sf), 10).select("query_id", "rank", F.round("similarity", 5).alias("similarity"))
+    return retrieval.nearest(*vectors(spark, sf), 10, places=5)
 
 
 @query("vec_cosine_norms", "SELECT vec_id, round(sqrt(list_dot_product(v, v)), 6) AS norm, round(list_dot_product(v, v) / (sqrt(list_dot_product(v, v)) * sqrt(list_dot_product(v, v))), 6) AS self FROM (SELECT vec_id, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS v FROM embeddings)")
@@ -347,21 +376,19 @@ WITH {DENSE}, h AS (SELECT query_id, count(*) FILTER (x.label = y.label) AS hits
 SELECT query_id, round(hits / n, 6) AS recall FROM h JOIN v ON vec_id = query_id JOIN n USING (label)""")
 def dense_recall(spark, sf):
     """AGG-6, AGG-8, JOIN-25"""
-    near = retrieval.nearest(*vectors(spark, sf), 20)
+    near = retrieval.nearest(*vectors(spark, sf), 20, places=5)
     labels = table(spark, sf, "embeddings").select("vec_id", "label")
-    same = labels.groupBy("label").agg(F.collect_list("vec_id").alias("relevant"))
-    got = near.groupBy("query_id").agg(F.array_sort(F.collect_list("doc_id")).alias("got"))
-    return got.join(labels.withColumnRenamed("vec_id", "query_id"), "query_id").join(same, "label").select("query_id", F.round(metrics.recall_at(F.col("got"), F.col("relevant"), 20), 6).alias("recall"))
+    sizes = labels.groupBy("label").agg(F.count("*").alias("n"))
+    same = near.join(labels.toDF("query_id", "label"), "query_id").join(labels.toDF("doc_id", "found"), "doc_id")
+    hits = same.groupBy("query_id", "label").agg(F.count_if(F.col("label") == F.col("found")).alias("hits"))
+    return hits.join(sizes, "label").select("query_id", F.round(F.col("hits") / F.col("n"), 6).alias("recall"))
 
 
 def two_lists(spark, sf):
     """Ranked lists of documents for each benchmark item by the two BM25 definitions."""
     docs, items = table(spark, sf, "documents").select("doc_id", "text"), table(spark, sf, "benchmark").select(F.col("item_id").alias("query_id"), "text")
-    out = []
-    for f in (retrieval.bm25, retrieval.bm25_okapi):
-        scored = f(docs, items, text.ascii_tokens).withColumn("score", F.round("score", 6))
-        out.append(retrieval.top_k(scored, "query_id", [F.desc("score"), F.asc("doc_id")], 15))
-    return out
+    statistics = retrieval.term_statistics(docs, text.ascii_tokens)
+    return [retrieval.bm25_top(docs, items, text.ascii_tokens, 15, okapi=okapi, statistics=statistics) for okapi in (False, True)]
 
 
 LISTS = f"""

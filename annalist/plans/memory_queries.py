@@ -18,10 +18,10 @@ def keep_best(spark, sf):
 
 
 @query("vec_state_distance", """
-WITH a AS (SELECT fact_id, max(confidence) AS x FROM v_log WHERE pos <= 3000 GROUP BY 1), b AS (SELECT fact_id, max(confidence) AS y FROM v_log WHERE pos <= 6000 GROUP BY 1)
+WITH a AS (SELECT fact_id, max(confidence) AS x FROM v_log WHERE pos <= (SELECT max(pos) // 2 FROM v_log) GROUP BY 1), b AS (SELECT fact_id, max(confidence) AS y FROM v_log GROUP BY 1)
 SELECT round(sqrt(sum((coalesce(x, 0) - coalesce(y, 0)) ** 2)) / greatest(1, sqrt(sum(coalesce(x, 0) ** 2))), 6) AS distance FROM a FULL JOIN b USING (fact_id)""")
 def state_distance(spark, sf):
-    """VEC-6: the state half-way through the log and at its end, where the SQL has positions 3,000 and 6,000"""
+    """VEC-6: the state half-way through the log and at its end"""
     log = view(spark, sf, "log")
     end = log.agg(F.max("pos")).first()[0] or 0
     at = lambda p: log.where(F.col("pos") <= p).groupBy("fact_id").agg(F.max("confidence").alias("w"))
@@ -29,22 +29,22 @@ def state_distance(spark, sf):
 
 
 @query("grf_order_gap", """
-WITH s AS (SELECT event_id, confidence AS w FROM v_log WHERE pos <= 3000), n AS (SELECT event_id, confidence AS w FROM v_log WHERE pos > 3000 AND pos <= 4000),
+WITH h AS (SELECT 3 * max(pos) // 4 AS h FROM v_log), s AS (SELECT event_id, confidence AS w FROM v_log, h WHERE pos <= h), n AS (SELECT event_id, confidence AS w FROM v_log, h WHERE pos > h),
 a AS (SELECT * FROM (SELECT * FROM s UNION ALL SELECT * FROM n) WHERE w >= 0.5), b AS (SELECT * FROM s WHERE w >= 0.5 UNION ALL SELECT * FROM n)
 SELECT round(sqrt(sum((coalesce(a.w, 0) - coalesce(b.w, 0)) ** 2)) / greatest(1, sqrt(sum(coalesce(a.w, 0) ** 2))), 6) AS distance FROM a FULL JOIN b USING (event_id)""")
 def order_gap(spark, sf):
-    """GRF-14: the last quarter of the log as news of the rest, where the SQL has positions to 3,000 and to 4,000"""
+    """GRF-14: the last quarter of the log as news of the rest"""
     log = view(spark, sf, "log").select("event_id", F.col("confidence").alias("w"), "pos")
     start = 3 * (log.agg(F.max("pos")).first()[0] or 0) // 4
     return memory.order_gap(log.where(F.col("pos") <= start).drop("pos"), log.where(F.col("pos") > start).drop("pos"), "event_id", "w", 0.5).select(F.round("distance", 6).alias("distance"))
 
 
 @query("st_condition_snapshots", """
-WITH c AS (SELECT event_id AS condition_id, history_id, pos AS upto FROM v_log WHERE pos % 200 = 3), e AS (SELECT c.condition_id, l.* FROM c JOIN v_log l ON l.history_id = c.history_id AND l.pos <= c.upto),
+WITH c AS (SELECT event_id AS condition_id, history_id, pos AS upto FROM v_log), e AS (SELECT c.condition_id, l.* FROM c JOIN v_log l ON l.history_id = c.history_id AND l.pos <= c.upto),
 g AS (SELECT condition_id, retracts AS fact_id, max(pos) AS gone FROM e WHERE operation = 'retract' GROUP BY 1, 2), l AS (SELECT e.* FROM e LEFT JOIN g ON g.condition_id = e.condition_id AND g.fact_id = e.fact_id WHERE operation <> 'retract' AND (gone IS NULL OR pos > gone))
 SELECT condition_id, fact_id, coalesce(arg_max(object, pos) FILTER (operation <> 'duplicate_delivery'), arg_min(object, pos)) AS object FROM l GROUP BY 1, 2""")
 def condition_snapshots(spark, sf):
-    """ST-8, ST-9, SUP-20, SUP-26: every event is a condition, of which the SQL takes one in 200"""
+    """ST-9, SUP-26: every event is a condition"""
     log = view(spark, sf, "log")
     return memory.snapshots_for(log, log.select(F.col("event_id").alias("condition_id"), "history_id", F.col("pos").alias("upto")))
 
@@ -61,10 +61,10 @@ def episodes(spark, sf):
 
 
 @query("st_checkpoint_views", f"""
-WITH {EPISODES}, k AS (SELECT episode, i AS k, total AS upto, cap FROM s, (SELECT unnest([100, 400, 1600]) AS cap) WHERE i % 20 = 0)
+WITH {EPISODES}, k AS (SELECT episode, i AS k, total AS upto, cap FROM s, (SELECT unnest([100, 400, 1600]) AS cap))
 SELECT k.episode, CAST(k AS INT) AS checkpoint, CAST(cap AS INT) AS cap, count(i) AS turns FROM k LEFT JOIN s ON s.episode = k.episode AND i <= k AND upto - total + tokens <= cap GROUP BY 1, 2, 3""")
 def checkpoint_views(spark, sf):
-    """ST-15, WIN-11, SUP-3: every turn is a checkpoint, of which the SQL takes one in 20"""
+    """ST-15: every turn is a checkpoint"""
     stream = memory.episodes(view(spark, sf, "turns"), 4)
     return memory.views_at(stream, stream, [100, 400, 1600])
 

@@ -79,7 +79,7 @@ def standardised(spark, sf):
 @query("agg_upper_median", "SELECT family, min(triples) AS least, list_sort(list(triples))[len(list(triples)) // 2 + 1] AS middle, max(triples) AS most, round(avg(CASE WHEN triples > 25 THEN 1 ELSE 0 END), 9) AS above FROM v_pred GROUP BY 1")
 def upper_median(spark, sf):
     """AGG-15, AGG-17, AGG-23"""
-    return view(spark, sf, "pred").groupBy("family").agg(F.min("triples").alias("least"), metrics.upper_median(F.col("triples")).alias("middle"), F.max("triples").alias("most"), F.round(metrics.share(F.col("triples") > 25), 9).alias("above"))
+    return view(spark, sf, "pred").groupBy("family").agg(F.min("triples").alias("least"), metrics.upper_median("triples").cast("long").alias("middle"), F.max("triples").alias("most"), F.round(metrics.share(F.col("triples") > 25), 9).alias("above"))
 
 
 @query("agg_constant_baseline", "WITH n AS (SELECT family, outcome, count(*) AS n FROM v_pred GROUP BY 1, 2), t AS (SELECT *, sum(n) OVER (PARTITION BY family) AS total, row_number() OVER (PARTITION BY family ORDER BY n DESC, outcome) AS r FROM n) SELECT family, outcome AS answer, round(n / total, 9) AS accuracy FROM t WHERE r = 1")
@@ -128,22 +128,23 @@ def cells(spark, sf):
     return dims.join(view(spark, sf, "pred"), "outcome", "left").groupBy("outcome", "title").agg(F.count("doc_id").alias("n"))
 
 
-@query("join_sentence_provenance", """
-WITH i AS (SELECT item_id, substr(text, 1, 40) AS support FROM benchmark), d AS (SELECT doc_id, text FROM documents), m AS (SELECT item_id, doc_id, row_number() OVER (PARTITION BY item_id ORDER BY doc_id) AS r FROM i JOIN d ON contains(text, support))
+@query("join_sentence_provenance", r"""
+WITH i AS (SELECT item_id, trim(regexp_replace(text, '\s+', ' ', 'g')) AS support FROM benchmark), d AS (SELECT doc_id, trim(regexp_replace(text, '\s+', ' ', 'g')) AS text FROM documents),
+m AS (SELECT item_id, doc_id, row_number() OVER (PARTITION BY item_id ORDER BY doc_id) AS r FROM i JOIN d ON support <> '' AND contains(text, support))
 SELECT item_id, doc_id FROM m WHERE r <= 3""")
 def provenance(spark, sf):
-    """JOIN-24: which documents hold an item's whole text, runs of spaces alike, of which the SQL takes the first 40 characters; the items are a stated set, broadcast"""
+    """JOIN-24: the first three documents that hold an item's whole text, runs of spaces alike"""
+    from ..operators.provenance import containing
     from ..operators.retrieval import top_k
 
-    items = table(spark, sf, "benchmark").select("item_id", text.squeeze(F.col("text")).alias("support")).where("support <> ''")
+    items = table(spark, sf, "benchmark").select("item_id", text.squeeze(F.col("text")).alias("support"))
     docs = table(spark, sf, "documents").select("doc_id", text.squeeze(F.col("text")).alias("text"))
-    found = docs.join(F.broadcast(items), F.contains("text", "support")).select("item_id", "doc_id")
-    return top_k(found, "item_id", [F.asc("doc_id")], 3).select("item_id", "doc_id")
+    return top_k(containing(docs, items), "item_id", [F.asc("doc_id")], 3).select("item_id", "doc_id")
 
 
 @query("txt_choice_and_state", r"""
 SELECT conv_id, turn, CASE WHEN trim(text) = '' THEN 'invalid' WHEN regexp_matches(lower(text), 'i don''t know|i do not know|cannot answer|can''t answer|unknown') THEN 'refusal' WHEN len(list_filter(regexp_split_to_array(trim(text, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)), '\s+'), lambda x: true)) > 12 THEN 'invalid' ELSE 'answered' END AS state,
- coalesce(nullif(upper(regexp_extract(text, '(?i)(?:final\s+answer|answer)\s*[:\-]?\s*\(?([ABCD])\)?', 1)), ''), regexp_extract_all(text, '(?:^|[^\p{L}\p{N}_])([ABCD])(?:[^\p{L}\p{N}_]|$)', 1)[-1], nullif(regexp_extract(upper(text), '(?s)([ABCD])[^ABCD]*$', 1), ''), '') AS letter FROM conversations""")
+ coalesce(nullif(upper(regexp_extract(text, '(?i)answer\s*[:\-]?\s*\(?([A-D])\)?', 1)), ''), regexp_extract_all(text, '(?:^|[^\p{L}\p{N}_])([ABCD])(?:[^\p{L}\p{N}_]|$)', 1)[-1], nullif(right(regexp_replace(upper(text), '[^A-D]+', '', 'g'), 1), ''), '') AS letter FROM conversations""")
 def choice(spark, sf):
     """TXT-13, TXT-20"""
     rows = table(spark, sf, "conversations")
@@ -151,21 +152,24 @@ def choice(spark, sf):
 
 
 @query("txt_seeds", r"""
-WITH a AS (SELECT conv_id, turn, regexp_extract_all(text, '\b[A-Z][a-z]+(?:[A-Z][A-Za-z0-9]*)*(?:\s+[A-Z][a-z]+(?:[A-Z][A-Za-z0-9]*)*)*\b') AS n, regexp_extract_all(text, '"([^"]+)"', 1) AS q FROM conversations WHERE regexp_matches(text, '^[\x00-\x7F]*$')),
-u AS (SELECT conv_id, turn, x[i] AS s, i FROM (SELECT conv_id, turn, n || q AS x, unnest(range(1, len(n || q) + 1)) AS i FROM a)), f AS (SELECT conv_id, turn, s, min(i) AS i FROM u WHERE length(s) > 2 GROUP BY 1, 2, 3),
+WITH a AS (
+  SELECT conv_id, turn, string_split(array_to_string(list_transform(regexp_extract_all(text, '[\p{L}\p{N}_]+|[^\p{L}\p{N}_]+'), lambda x: CASE WHEN regexp_full_match(x, '[A-Z][a-z]+(?:[A-Z][A-Za-z0-9]*)*') OR regexp_full_match(x, '\s+') THEN x ELSE chr(1) END), ''), chr(1)) AS n,
+         regexp_extract_all(text, '"([^"]+)"', 1) AS q FROM conversations),
+u AS (SELECT conv_id, turn, trim(x[i], ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) AS s, i FROM (SELECT conv_id, turn, n || q AS x, unnest(range(1, len(n || q) + 1)) AS i FROM a)), f AS (SELECT conv_id, turn, s, min(i) AS i FROM u WHERE length(s) > 2 GROUP BY 1, 2, 3),
 k AS (SELECT conv_id, turn, string_agg(s, '|' ORDER BY i) AS seeds FROM (SELECT *, row_number() OVER (PARTITION BY conv_id, turn ORDER BY i) AS r FROM f) WHERE r <= 10 GROUP BY 1, 2)
 SELECT conv_id, turn, coalesce(seeds, '') AS seeds FROM a LEFT JOIN k USING (conv_id, turn)""")
 def seeds(spark, sf):
-    """TXT-14, TXT-25; every turn, of which the SQL takes those in ASCII"""
+    """TXT-14"""
     rows = table(spark, sf, "conversations")
     return rows.select("conv_id", "turn", F.array_join(text.seed_phrases(F.col("text")), "|").alias("seeds"))
 
 
 @query("txt_normalised_answers", r"""
-WITH t AS (SELECT conv_id, turn, lower(text) AS x FROM conversations)
-SELECT conv_id, turn, sha256(trim(regexp_replace(regexp_replace(regexp_replace(x, '[!-/:-@\[-`{-~]', ' ', 'g'), '\b(a|an|the)\b', ' ', 'g'), '\s+', ' ', 'g'))) AS spaced, sha256(regexp_replace(trim(regexp_replace(x, '\s+', ' ', 'g')), '[^\p{L}\p{N}_\s]', '', 'g')) AS plain FROM t WHERE regexp_matches(x, '^[\x00-\x7F]*$')""")
+WITH t AS (SELECT conv_id, turn, lower(text) AS x FROM conversations),
+s AS (SELECT conv_id, turn, x, list_filter(regexp_extract_all(regexp_replace(x, '[!-/:-@\[-`{-~]', ' ', 'g'), '[\p{L}\p{N}_]+|[^\p{L}\p{N}_]+'), lambda w: w NOT IN ('a', 'an', 'the')) AS w FROM t)
+SELECT conv_id, turn, sha256(trim(regexp_replace(array_to_string(w, ''), '\s+', ' ', 'g'))) AS spaced, sha256(regexp_replace(trim(regexp_replace(x, '\s+', ' ', 'g')), '[^\p{L}\p{N}_\s]', '', 'g')) AS plain FROM s""")
 def normalised(spark, sf):
-    """TXT-11: the two variants beside the one in txt_answer_scores; every turn, of which the SQL takes those in ASCII"""
+    """TXT-11: the two variants beside the one in txt_answer_scores"""
     rows = table(spark, sf, "conversations")
     return rows.select("conv_id", "turn", F.sha2(text.answer_spaced(F.col("text")), 256).alias("spaced"), F.sha2(text.answer_plain(F.col("text")), 256).alias("plain"))
 

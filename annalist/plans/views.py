@@ -41,10 +41,18 @@ SELECT 'e' || CAST(event_id AS STRING) AS event_id, 'u' || CAST(user_id AS STRIN
        CAST(event_id % 97 AS DOUBLE) / 97e0 AS confidence,
        CASE WHEN event_type = 'error' THEN 'f' || CAST(user_id AS STRING) || '_' || CAST((event_id + 5) % 12 AS STRING) END AS retracts,
        CASE WHEN event_type = 'click' THEN 'f' || CAST(user_id AS STRING) || '_' || CAST((event_id + 1) % 12 AS STRING) END AS supersedes,
-       CASE WHEN event_type = 'view' THEN 'f' || CAST(user_id AS STRING) || '_' || CAST((event_id + 4) % 12 AS STRING) END AS duplicate_of
+       CASE WHEN event_type = 'view' THEN 'f' || CAST(user_id AS STRING) || '_' || CAST((event_id + 4) % 12 AS STRING) END AS duplicate_of,
+       CASE WHEN event_type = 'purchase' AND event_id % 7 = 0 THEN split('f' || CAST(user_id AS STRING) || '_' || CAST((event_id + 2) % 12 AS STRING) || ',f' || CAST(user_id AS STRING) || '_' || CAST((event_id + 3) % 12 AS STRING), ',') END AS resolves
 FROM events
 """
 
+#: The log with hard constraints and open ambiguities among its assertions.
+LIFECYCLE = f"""
+SELECT event_id, history_id, pos, CASE WHEN operation = 'add' AND pos % 11 = 0 THEN 'hard_constraint' WHEN operation = 'add' AND pos % 5 = 1 THEN 'ambiguous_conflict' ELSE operation END AS operation,
+       fact_id, subject, predicate, object, scope, domain, authority, valid_from, valid_to, confidence, retracts, supersedes, duplicate_of, resolves
+FROM ({EVENTS}) AS plain_log
+"""
+
 TURNS = """
 SELECT conv_id, turn, role, text, CAST(conv_id * 1000 + turn AS BIGINT) AS pos, CAST(length(text) - length(replace(text, ' ', '')) + 1 AS BIGINT) AS tokens FROM conversations
 """
@@ -59,6 +67,7 @@ FROM labels l JOIN documents d ON l.doc_id = d.doc_id
 SOURCES = {
     "facts": (FACTS, ("customer", "nation", "region", "orders", "part")),
     "log": (EVENTS, ("events",)),
+    "life": (LIFECYCLE, ("events",)),
     "turns": (TURNS, ("conversations",)),
     "pred": (PREDICTIONS, ("labels", "documents")),
 }
@@ -69,7 +78,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """`facts`, `log`, `turns` or `pred` as a DataFrame."""
+    """`facts`, `log`, `life`, `turns` or `pred` as a DataFrame."""
     text, tables = SOURCES[name]
     for t in tables:
         table(spark, sf_dir, t).createOrReplaceTempView(t)

@@ -34,7 +34,7 @@ def test_text(spark):
         p=text.canonical_predicate(F.lit("  located--in! ")), empty=text.canonical_predicate(F.lit("??")), none=text.canonical_predicate(F.lit("?"), None), un=text.confidence_label(F.lit("unsupported")), no=text.confidence_label(F.lit("not sure")),
         a=text.answer_squad(F.lit("The U.S., an  Answer")), b=text.answer_spaced(F.lit("The U.S.")), c=text.answer_plain(F.lit("The U.S.!")), f1=text.token_f1(F.lit("a red red ball"), F.lit("red ball red car")), empty_f1=text.token_f1(F.lit("the"), F.lit("")),
         letter=text.choice_letter(F.lit("I think the answer is (C).")), lead=text.choice_letter(F.lit("b) because")), last=text.choice_letter(F.lit("maybe it is D")), none_l=text.choice_letter(F.lit("hmm")), thought=text.choice_letter(F.lit("<think>A or C</think> so (B)")),
-        states=F.array(*(text.answer_state(F.lit(x), F.lit("Red, car")) for x in ("red car", " ", "I don't know it", "a " * 13, "blue"))), span=text.answer_span(F.lit('<think>x</think>\nso\n Answer: "Paris" ')), short=text.short_answer(F.lit("\n answer - Rome\nmore")), un2=text.confidence_label_support_first(F.lit("not supported")),
+        states=F.array(*(text.answer_state(F.lit(x), F.lit("Red, car")) for x in ("red car", " ", "I don't know it", "a " * 13, "blue"))), span=text.answer_span(F.lit('<think>x</think>\nso\n Answer: "Paris" ')), short=text.short_answer(F.lit("\n Final answer: Rome\nmore")), dash=text.short_answer(F.lit("answer - Rome")), says=text.answer_span(F.lit("The answer is  'Oslo'")), gone=text.answer_span(F.lit("<think>only</think>")), un2=text.confidence_label_support_first(F.lit("not supported")),
         seeds=text.seed_phrases(F.lit('Who met New York Mayor and "the cat"? New York Mayor')), sents=text.sentences(F.lit("One two. Three! Four")), long=text.sentences(F.lit("x" * 2500)), js=text.json_object(F.lit('```json {"a": {"b": 1}} ```')), code=text.rejection_code(F.lit("Contradiction: x")),
     )
     assert (r["p"], r["empty"], r["none"], r["un"], r["no"]) == ("LOCATED_IN", "RELATED_TO", "", "supported", "rejected")
@@ -42,6 +42,7 @@ def test_text(spark):
     assert r["f1"] == pytest.approx(2 * 3 / (3 + 4)) and r["empty_f1"] == 1.0
     assert (r["letter"], r["lead"], r["last"], r["none_l"], r["thought"]) == ("C", "A", "D", "", "B")
     assert r["states"] == ["answered", "invalid", "refusal", "invalid", "answered"] and (r["span"], r["short"], r["un2"]) == ("Paris", "Rome", "rejected")
+    assert (r["dash"], r["says"], r["gone"]) == ("answer - Rome", "'Oslo'", "")
     assert r["seeds"] == ["Who", "New York Mayor", "the cat"] and r["sents"] == ["One two.", "Three!", "Four"]
     assert [len(x) for x in r["long"]] == [1200, 1200, 100] and r["js"] == '{"a": {"b": 1}}' and r["code"] == "functional_conflict"
 
@@ -139,14 +140,139 @@ def test_random_logs_against_replay(spark):
     assert got == want
 
 
-def test_contradiction_ledger(spark):
-    rows = [event(1, "add", "f1", "a"), event(2, "add", "f2", "b"), event(3, "direct_user_correction", "f3", "c", authority="direct_user", supersedes="f1"), event(4, "add", "f4", "d", scope="work")]
-    log = spark.createDataFrame(rows, EVENT)
-    got = {(r["pair_id"], r["status"]) for r in replay.contradiction_ledger(log).collect()}
-    key = lambda a, b: one(spark, x=identity.pair_id(F.lit(a), F.lit(b)))["x"]
-    assert got == {(key("f1", "f2"), "unresolved"), (key("f1", "f3"), "resolved_authority"), (key("f2", "f3"), "unresolved")}
-    joined = rules.resolved_pairs(rules.contradiction_pairs(log)).count()
-    assert joined == 3
+def plain_pairs(rows, ledger=False, rank=lambda a: int(a == "direct_user")):
+    """{(earlier, later): (status, winner)} by the three resolution rules, event after event. In the ledger only the later side needs to open pairs."""
+    removes = lambda r: {x for x in [r["supersedes"], *(r["resolves"] or [])] if x}
+    claim = lambda r: tuple(r[c] for c in ("history_id", "subject", "predicate", "domain", "scope"))
+    pairs, prior = {}, []
+    for r in sorted((r for r in rows if r["operation"] != "retract"), key=lambda r: r["pos"]):
+        gone = removes(r)
+        if len(gone) < 2:
+            for p in prior:
+                if (ledger or len(removes(p)) < 2) and claim(p) == claim(r) and p["object"] != r["object"] and p["valid_from"] <= (r["valid_to"] or "9999") and r["valid_from"] <= (p["valid_to"] or "9999"):
+                    pairs[p["event_id"], r["event_id"]] = [p, r, "unresolved", None]
+        for pair in pairs.values():
+            a, b = pair[0], pair[1]
+            both = a["fact_id"] in gone and b["fact_id"] in gone and r is not b and a["history_id"] == r["history_id"]
+            if pair[3] is None and (both or r is b and a["fact_id"] in gone):
+                more = rank(r["authority"]) - max(rank(x["authority"]) for x in ((a, b) if both else (a,)))
+                if more >= 0:
+                    pair[2:] = ["resolved_authority" if more else "resolved_supersession", r["event_id"]]
+        prior.append(r)
+    return {k: tuple(v[2:]) for k, v in pairs.items()}
+
+
+def random_log(seed, histories=4, events=40):
+    import random
+
+    rng, rows = random.Random(seed), []
+    for i in range(histories * events):
+        h, op = f"h{rng.randrange(histories)}", rng.choice(["add", "add", "supersede", "direct_user_correction", "hard_constraint", "ambiguous_conflict", "retract", "duplicate_delivery"])
+        start, authority = f"2024-01-{rng.randrange(1, 25):02d}", rng.choice(["inferred", "direct_user"])
+        row = event(i, op, f"f{i % 9}", rng.choice("abc"), history=h, scope=rng.choice(["default", "work"]), authority=authority, start=start, end=rng.choice([None, "2024-01-20"]), retracts=f"f{rng.randrange(9)}" if op == "retract" else None, supersedes=f"f{rng.randrange(9)}" if op in ("supersede", "direct_user_correction") else None)
+        rows.append((*row, rng.choice([None, None, [f"f{rng.randrange(9)}", f"f{rng.randrange(9)}"]]) if op != "retract" else None))
+    return rows
+
+
+def test_contradictions_against_plain_rules(spark):
+    log = spark.createDataFrame(random_log(3), EVENT + ", resolves array<string>")
+    rows = log.collect()
+    want = plain_pairs(rows)
+    asserted = log.where("operation <> 'retract'")
+    got = {(r["left_id"], r["right_id"]): (r["status"], r["winner"]) for r in rules.resolved_pairs(rules.contradiction_pairs(asserted), asserted).collect()}
+    assert got == want and len(set(s for s, _ in want.values())) == 3
+    key = lambda pair: __import__("hashlib").sha256(":".join(sorted(pair)).encode()).hexdigest()
+    assert {r["pair_id"]: (r["status"], r["winner"]) for r in replay.contradiction_ledger(log).collect()} == {key(k): v for k, v in plain_pairs(rows, ledger=True).items()}
+    with pytest.raises(Exception, match="lower-authority"):
+        replay.contradiction_ledger(log, strict=True).collect()
+
+
+def plain_gate(rows, c):
+    """The code of a candidate by a replay of the events before it."""
+    active, seen, graves = {}, {}, []
+    meets = lambda a, b: max(a["valid_from"], b["valid_from"]) <= min(a["valid_to"] or "9999-12-31", b["valid_to"] or "9999-12-31")
+    for e in (e for e in rows if e["history_id"] == c["history_id"] and e["pos"] < c["pos"]):
+        if e["operation"] == "retract":
+            active.pop(e["retracts"], None)
+            graves.append((e["retracts"], seen.get(e["retracts"])))
+            continue
+        for gone in [*(e["resolves"] or []), e["supersedes"]]:
+            active.pop(gone, None)
+        active[e["fact_id"]] = seen[e["fact_id"]] = e
+    same = lambda e, *names: all(e[n] == c[n] for n in names)
+    if any(f == c["fact_id"] or e and same(e, "subject", "predicate", "object", "scope") and meets(e, c) for f, e in graves):
+        return "tombstone_resurrection"
+    if any(e["operation"] == "hard_constraint" and same(e, "subject", "object") for e in active.values()):
+        return "hard_constraint_violation"
+    open_ = {e["fact_id"] for e in active.values() if e["operation"] == "ambiguous_conflict" and (c["supersedes"] == e["fact_id"] or same(e, "subject", "scope") and meets(e, c))}
+    if open_:
+        return "direct_correction_resolves_ambiguity" if c["authority"] == "direct_user" and c["supersedes"] in open_ else "unresolved_ambiguity"
+    rivals = {e["fact_id"] for e in active.values() if same(e, "subject", "predicate", "scope") and e["object"] != c["object"] and meets(e, c)}
+    if c["authority"] == "direct_user" and rivals:
+        return "direct_correction_supersedes" if c["supersedes"] in rivals else "authority_conflict_without_supersession"
+    return "no_hard_gate"
+
+
+def test_hard_gate_against_a_replay(spark):
+    found = set()
+    for seed, rare in ((1, ("retract", "ambiguous_conflict", "hard_constraint")), (2, ("retract", "hard_constraint"))):
+        # few retractions, constraints and ambiguities, so that later rules are reached
+        rows = [r for i, r in enumerate(random_log(seed, 6, 50)) if r[3] not in rare or i % 5 == 0]
+        log = spark.createDataFrame(rows, EVENT + ", resolves array<string>")
+        plain = log.orderBy("pos").collect()
+        got = {r["event_id"]: r["code"] for r in replay.gate(log.where("operation <> 'retract'"), log).collect()}
+        want = {c["event_id"]: plain_gate(plain, c) for c in plain if c["operation"] != "retract"}
+        assert got == want
+        found |= set(want.values())
+        alive = {r["event_id"] for r in replay.active_events(log).collect()}
+        state = {}
+        for e in plain:
+            for gone in [e["retracts"]] if e["operation"] == "retract" else [*(e["resolves"] or []), e["supersedes"]]:
+                state.pop((e["history_id"], gone), None)
+            if e["operation"] != "retract":
+                state[e["history_id"], e["fact_id"]] = e["event_id"]
+        assert alive == set(state.values())
+    assert len(found) == 7
+
+
+def test_fold_against_whole_sessions(spark):
+    """Folds of parts of a session decide as one replay of the whole session does, shapes included."""
+    import random
+
+    rng, rows = random.Random(4), []
+    for i in range(400):
+        p = rng.choice(["LOCATED_IN", "PART_OF", "IS_ALIVE", "KNOWS"])
+        o = rng.choice(["true", "false"]) if p == "IS_ALIVE" else rng.choice(["A", "B", "C", "various", "", " a "])
+        rows.append((f"f{i}", f"s{i % 3}", "x", rng.choice(["A", "B", "C", ""]), p, o, i, rng.choice([None, "2024-01-01", "2025-01-01"]), rng.choice([None, "2024-06-01"]), rng.random()))
+    df = spark.createDataFrame(rows, FACT)
+    want = {}
+    state = {}
+    for f, s, _, subject, p, o, _, since, until, score in rows:
+        own = state.setdefault(s, {})
+        since, until = since or "", until or "9999-12-31T23:59:59Z"
+        met = [(k, h) for k, h in own.items() if h[3] <= until and since <= h[4]]
+        same = [(k, h) for k, h in met if h[:2] == (subject, p)]
+        code = replaced = None
+        if not subject or not o:
+            code = "empty_required_field"
+        elif subject.strip().lower() == o.strip().lower():
+            code = "self_referential_fact"
+        elif o.strip().lower() in rules.GENERIC:
+            code = "generic_object"
+        elif any(h[2] == o for _, h in same):
+            code = "duplicate_fact"
+        elif p in rules.FUNCTIONAL and same:
+            replaced, code = (same[0][0], None) if score > same[0][1][5] else (None, "functional_conflict")
+        elif p == "PART_OF" and any(h[:3] == (o, p, subject) for _, h in met):
+            code = "circular_containment"
+        elif p == "IS_ALIVE" and any({h[2], o} == {"true", "false"} for _, h in same):
+            code = "alive_dead_conflict"
+        if code is None:
+            own.pop(replaced, None)
+            own[f] = (subject, p, o, since, until, score)
+        want[f] = ("reject" if code else "replace" if replaced else "accept", code, replaced)
+    got = {r["fact_id"]: (r["decision"], r["code"], r["replaced"]) for r in replay.admit_in_order(df, rules.FUNCTIONAL).collect()}
+    assert got == want and {c for _, c, _ in want.values()} >= {"generic_object", "circular_containment", "alive_dead_conflict", "functional_conflict", None}
 
 
 def test_graph(spark):
@@ -169,19 +295,24 @@ def test_lineage(spark):
     log = spark.createDataFrame(rows, EVENT)
     assert {r["fact_id"] for r in graph.retracted_lineage(log).collect()} == {"f1", "f2", "f3"}
     assert {r["fact_id"] for r in graph.retracted_lineage(log, recursive=False).collect()} == {"f1", "f2"}
+    # a memory of another history with the same ids stays
+    more = spark.createDataFrame([*rows, event(6, "add", "f1", history="h2"), event(7, "add", "f3", history="h2"), event(8, "duplicate_delivery", "f2", history="h2", dup="f3")], EVENT)
+    assert {(r["history_id"], r["fact_id"]) for r in graph.retracted_lineage(more).collect()} == {("h", "f1"), ("h", "f2"), ("h", "f3")}
 
 
 def test_retrieval(spark):
     docs = spark.createDataFrame([(1, "red fox red"), (2, "blue fox"), (3, "green bird")], "doc_id long, text string")
     queries = spark.createDataFrame([(7, "red red fox")], "query_id long, text string")
-    scores = {r["doc_id"]: r["score"] for r in retrieval.bm25(docs, queries, text.ascii_tokens).collect()}
+    scores = {r["doc_id"]: r["score"] for r in retrieval.bm25_top(docs, queries, text.ascii_tokens, 9, places=12).collect()}
     idf = lambda df: math.log(1 + (3 - df + 0.5) / (df + 0.5))
     norm = lambda n: 1.5 * (0.25 + 0.75 * n / (7 / 3))
     assert scores[1] == pytest.approx(idf(1) * 2 * 2.5 / (2 + norm(3)) + idf(2) * 2.5 / (1 + norm(3))) and 3 not in scores
-    okapi = {r["doc_id"]: r["score"] for r in retrieval.bm25_okapi(docs, queries, text.ascii_tokens).collect()}
+    okapi = {r["doc_id"]: r["score"] for r in retrieval.bm25_top(docs, queries, text.ascii_tokens, 9, okapi=True, places=12).collect()}
     raw = lambda df: math.log(3 - df + 0.5) - math.log(df + 0.5)
     mean = (raw(1) * 4 + raw(2)) / 5
     assert okapi[2] == pytest.approx(0.25 * mean * 2.5 / (1 + norm(2)))
+    assert [r["doc_id"] for r in retrieval.bm25_top(docs, queries, text.ascii_tokens, 1).collect()] == [1]
+    assert retrieval.bm25_top(docs.limit(0), queries, text.ascii_tokens, 1).count() == 0 and retrieval.bm25_top(docs, queries.limit(0), text.ascii_tokens, 1).count() == 0
     vectors = spark.createDataFrame([(i, [math.cos(i), math.sin(i)]) for i in range(12)], "doc_id long, v array<double>")
     near = retrieval.nearest(vectors, vectors.where("doc_id = 3").toDF("query_id", "v"), 3).orderBy("rank").collect()
     assert [r["doc_id"] for r in near] == [3, 9, 2] or near[0]["doc_id"] == 3
@@ -223,7 +354,7 @@ def test_stats(spark):
 
 def test_upper_median_and_recall(spark):
     rows = spark.createDataFrame([(x,) for x in (4, 1, 3, 2)], "x int")
-    assert rows.agg(metrics.upper_median(F.col("x")).alias("m")).first()["m"] == 3
+    assert rows.agg(metrics.upper_median("x").alias("m")).first()["m"] == 3
     r = one(spark, r=metrics.recall_at(F.array(*map(F.lit, (5, 6, 7))), F.array(F.lit(7), F.lit(5)), 2), c=metrics.covers_at(F.array(F.array(F.lit("a")), F.array(F.lit("b"))), F.array(F.lit("b"), F.lit("a")), 2))
     assert r["r"] == 0.5 and r["c"] is True
 
@@ -291,13 +422,7 @@ def test_whole_log_is_joined(spark, tmp_path):
     rows = [(i, i % 3, kinds[i * 7 % 5], datetime.datetime(2024, 1, 1 + i % 20), f'{{"k": {i * 5 % 4}}}') for i in [*range(2980, 3060), *range(9000, 9040)]]
     spark.createDataFrame(rows, "event_id long, user_id long, event_type string, ts timestamp, props string").write.parquet(f"{tmp_path}/events.parquet")
     log = views.view(spark, str(tmp_path), "log").collect()
-    want = set()
-    for a in log:
-        for b in log:
-            same = all(a[c] == b[c] for c in ("history_id", "subject", "predicate", "domain", "scope")) and a["object"] != b["object"] and a["pos"] < b["pos"]
-            if same and "retract" not in (a["operation"], b["operation"]) and a["valid_from"] <= (b["valid_to"] or "9999") and b["valid_from"] <= (a["valid_to"] or "9999"):
-                status = "resolved_authority" if b["authority"] == "direct_user" != a["authority"] else "resolved_supersession" if b["supersedes"] == a["fact_id"] else "unresolved"
-                want.add((hashlib.sha256(":".join(sorted((a["event_id"], b["event_id"]))).encode()).hexdigest(), status))
+    want = {(hashlib.sha256(":".join(sorted(k)).encode()).hexdigest(), *v) for k, v in plain_pairs(log).items()}
     got = entry.queries()["join_contradiction_pairs"](spark, str(tmp_path)).collect()
     assert len(got) == len(want) and {tuple(r) for r in got} == want
     seen = {(f"k{a['event_id']}", sum(b["history_id"] == a["history_id"] and b["pos"] <= a["pos"] for b in log), a["pos"]) for a in log}
@@ -351,3 +476,24 @@ def test_provenance_of_whole_texts(spark, tmp_path):
     docs = [(i, f"x {start}ends\nhere. y") for i in range(4)] + [(9, f"{start}ends there."), (10, f"{start}ends nowhere."), (11, "a short one"), (12, None)]
     spark.createDataFrame(docs, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
     assert sorted(tuple(r) for r in entry.queries()["join_sentence_provenance"](spark, str(tmp_path)).collect()) == [(1, 0), (1, 1), (1, 2), (2, 9), (4, 11)]
+
+
+def test_provenance_operators(spark):
+    from annalist.operators import provenance
+
+    facts_ = spark.createDataFrame(
+        [
+            ("x", "f1", "Ann", "Bob", [("T1", 0)]), ("x", "f2", "C", "D", [("T1", None)]), ("x", "f3", "Bob", "Ann", []), ("x", "f4", "E", "F", [("T2", 5), ("T2", None)]), ("x", "f5", "G", "H", [("T3", 1)]), ("y", "f6", "Ann", "Bob", [("T9", 1)]),
+        ], "example_id string, fact_id string, subject string, object string, provenance array<struct<title: string, sent: int>>",
+    )
+    gold = spark.createDataFrame([("x", "T1", 0), ("x", "T2", 1), ("y", "T9", None)], "example_id string, title string, sent int")
+    triples = spark.createDataFrame([("x", "Ann", "Bob")], "example_id string, subject string, object string")
+    relevant = provenance.relevant_facts(facts_, gold, triples)
+    assert {(r["example_id"], r["fact_id"]): r["titles"] for r in relevant.collect()} == {("x", "f1"): ["T1"], ("x", "f2"): ["T1"], ("x", "f3"): [], ("x", "f4"): ["T2"], ("y", "f6"): ["T9"]}
+    ranked = spark.createDataFrame([("x", "f1", 1), ("x", "f5", 2), ("x", "f4", 3), ("y", "f6", 1)], "example_id string, fact_id string, rank int")
+    for k, want in ((2, {"x": False, "y": True}), (3, {"x": True, "y": True})):
+        assert {r["example_id"]: r["covered"] for r in provenance.hop_coverage(ranked, relevant, gold, k).collect()} == want
+    options = spark.createDataFrame([("x", "A", "3072"), ("x", "B", "768"), ("x", "C", "grows in Norway"), ("x", "D", "")], "example_id string, option string, choice string")
+    held = spark.createDataFrame([("x", "f1", "Run", "USES", "3072 GPUs", "of 768, 1536 and 3072", None, None), ("x", "f2", "Pine", "GROWS_IN", "Norway", "", None, None)], "example_id string, fact_id string, subject string, predicate string, object string, support_text string, valid_from string, valid_to string")
+    got = {r["option"]: (r["supporting"], r["contradicting"]) for r in provenance.option_evidence(options, held).collect()}
+    assert got == {"A": (["f1"], ["f2"]), "B": ([], ["f1", "f2"]), "C": (["f2"], ["f1"]), "D": ([], ["f1", "f2"])}
