@@ -203,7 +203,7 @@ WITH t AS (SELECT *, list_distinct(regexp_extract_all(lower(subject || ' ' || re
 r AS (SELECT fact_id, len(list_intersect(['building', 'nation', '7'], own)) / 3 AS rel, least(1, CASE WHEN trim(relevance) <> '' THEN 0.6 ELSE 0 END + CASE WHEN trim(support_text) <> '' THEN 0.25 ELSE 0 END) AS use FROM t)
 SELECT fact_id, score, row_number() OVER (ORDER BY score DESC, fact_id) AS rank FROM (SELECT fact_id, round(0.5 * round(rel, 4) + 0.1 * use, 4) AS score FROM r) ORDER BY rank LIMIT 10""")
 def sparse_ranking(spark, sf):
-    """TXT-5, TOP-1, TOP-3, WIN-1"""
+    """TXT-5, TOP-1, WIN-1"""
     rows = scope.in_scope(view(spark, sf, "facts"), ["s1"])
     wanted = F.array(*map(F.lit, ["building", "nation", "7"]))
     rel = scoring.sparse_relevance(wanted, F.array().cast("array<string>"), F.col("subject"), F.col("predicate"), F.col("object"), F.col("support_text"))
@@ -216,7 +216,7 @@ def sparse_ranking(spark, sf):
 
 @query("id_stable_ids", "SELECT fact_id, 'entity_' || substr(sha256('entity' || chr(31) || lower(subject)), 1, 16) AS entity_id, sha256(least(subject, object) || ':' || greatest(subject, object)) AS pair FROM v_facts")
 def stable_ids(spark, sf):
-    """ID-1, ID-2, ID-3, D4"""
+    """ID-1, ID-3, D4"""
     return view(spark, sf, "facts").select("fact_id", identity.stable_id("entity", [F.lit("entity"), F.lower("subject")]).alias("entity_id"), identity.pair_id(F.col("subject"), F.col("object")).alias("pair"))
 
 

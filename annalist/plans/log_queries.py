@@ -208,7 +208,7 @@ def interval_rules(spark, sf):
 
 @query("win_latest_per_fact", "SELECT event_id, history_id, fact_id FROM v_log QUALIFY row_number() OVER (PARTITION BY history_id, fact_id ORDER BY pos DESC) = 1")
 def latest(spark, sf):
-    """WIN-3, JOIN-22, SUP-2"""
+    """WIN-3, JOIN-22"""
     return rules.latest_per_key(view(spark, sf, "log"), ["history_id", "fact_id"], [F.desc("pos")]).select("event_id", "history_id", "fact_id")
 
 
@@ -375,7 +375,7 @@ def norms(spark, sf):
 WITH {DENSE}, h AS (SELECT query_id, count(*) FILTER (x.label = y.label) AS hits FROM t JOIN v x ON x.vec_id = query_id JOIN v y ON y.vec_id = doc_id WHERE rank <= 20 GROUP BY 1), n AS (SELECT label, count(*) AS n FROM v GROUP BY 1)
 SELECT query_id, round(hits / n, 6) AS recall FROM h JOIN v ON vec_id = query_id JOIN n USING (label)""")
 def dense_recall(spark, sf):
-    """AGG-6, AGG-8, JOIN-25"""
+    """AGG-6"""
     near = retrieval.nearest(*vectors(spark, sf), 20, places=5)
     labels = table(spark, sf, "embeddings").select("vec_id", "label")
     sizes = labels.groupBy("label").agg(F.count("*").alias("n"))
@@ -402,13 +402,13 @@ u AS (SELECT coalesce(la.query_id, lb.query_id) AS query_id, coalesce(la.doc_id,
 
 @query("top_rank_fusion", f"WITH {LISTS} SELECT query_id, doc_id, CAST(rank AS INT) AS rank FROM (SELECT query_id, doc_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM u) WHERE rank <= 10")
 def fusion(spark, sf):
-    """JOIN-11, VEC-4, TOP-5, TOP-19, GRF-16, SUP-20"""
+    """JOIN-11, VEC-4, TOP-5, GRF-16, SUP-20"""
     return retrieval.fuse(*two_lists(spark, sf), 10).select("query_id", "doc_id", "rank")
 
 
 @query("agg_branch_report", f"WITH {LISTS} SELECT count(ra) AS sparse_rows, count(rb) AS dense_rows, count(DISTINCT doc_id) AS docs, count(*) FILTER (ra IS NOT NULL AND rb IS NOT NULL) AS overlap, round(count(*) FILTER (ra IS NOT NULL AND rb IS NOT NULL) / (count(ra) + count(rb)), 9) AS duplicate_rate FROM u")
 def branch_report(spark, sf):
-    """AGG-2, AGG-3, SET-1, SET-3"""
+    """AGG-2, SET-1, SET-3"""
     return metrics.branch_report(*two_lists(spark, sf)).withColumn("duplicate_rate", F.round("duplicate_rate", 9))
 
 
@@ -448,13 +448,13 @@ def best_window(spark, sf):
 
 @query("top_stable_hash_sample", "SELECT doc_id, sha256(CAST(doc_id AS VARCHAR)) AS h FROM documents ORDER BY h LIMIT 40")
 def hash_sample(spark, sf):
-    """TOP-16, TOP-17, TOP-20, ID-5: a sampling operator, so the limit is the feature"""
+    """TOP-16, TOP-20, ID-5: a sampling operator, so the limit is the feature"""
     return table(spark, sf, "documents").select("doc_id", F.sha2(F.col("doc_id").cast("string"), 256).alias("h")).orderBy("h").limit(40)
 
 
 @query("top_recency_tail", "SELECT conv_id, turn FROM v_turns QUALIFY row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) <= 2")
 def tail(spark, sf):
-    """TOP-18, TOP-14, TOP-15"""
+    """TOP-18"""
     return retrieval.top_k(view(spark, sf, "turns"), "conv_id", [F.desc("turn")], 2).select("conv_id", "turn")
 
 

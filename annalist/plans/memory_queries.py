@@ -44,7 +44,7 @@ WITH c AS (SELECT event_id AS condition_id, history_id, pos AS upto FROM v_log),
 g AS (SELECT condition_id, retracts AS fact_id, max(pos) AS gone FROM e WHERE operation = 'retract' GROUP BY 1, 2), l AS (SELECT e.* FROM e LEFT JOIN g ON g.condition_id = e.condition_id AND g.fact_id = e.fact_id WHERE operation <> 'retract' AND (gone IS NULL OR pos > gone))
 SELECT condition_id, fact_id, coalesce(arg_max(object, pos) FILTER (operation <> 'duplicate_delivery'), arg_min(object, pos)) AS object FROM l GROUP BY 1, 2""")
 def condition_snapshots(spark, sf):
-    """ST-9, SUP-26: every event is a condition"""
+    """ST-9: every event is a condition"""
     log = view(spark, sf, "log")
     return memory.snapshots_for(log, log.select(F.col("event_id").alias("condition_id"), "history_id", F.col("pos").alias("upto")))
 
@@ -94,7 +94,7 @@ def semantic(spark, sf):
 
 @query("st_revision_chain", "SELECT history_id, event_id, CAST(row_number() OVER w AS INT) AS revision, lag(event_id) OVER w AS parent FROM v_log WHERE operation = 'direct_user_correction' WINDOW w AS (PARTITION BY history_id ORDER BY pos)")
 def revisions(spark, sf):
-    """ST-23, SNK-5, SRC-12, SUP-15"""
+    """ST-23, SRC-12"""
     return memory.revisions(view(spark, sf, "log").where("operation = 'direct_user_correction'"), "history_id", "pos", "event_id")
 
 
@@ -110,7 +110,7 @@ def remainders(spark, sf):
 WITH p AS (SELECT event_id AS proposal_id, subject || object AS triple, [fact_id, 'f' || user || '_1'] AS support FROM (SELECT *, substr(history_id, 2) AS user FROM v_log WHERE operation = 'add')), s AS (SELECT DISTINCT fact_id FROM v_log WHERE operation = 'supersede'), k AS (SELECT DISTINCT subject || object AS triple FROM v_log WHERE operation = 'direct_user_correction')
 SELECT proposal_id, triple FROM p WHERE NOT EXISTS (SELECT 1 FROM (SELECT proposal_id AS i, unnest(support) AS f FROM p) u WHERE u.i = p.proposal_id AND u.f NOT IN (SELECT fact_id FROM s)) AND triple NOT IN (SELECT triple FROM k)""")
 def derived(spark, sf):
-    """SUP-14, FLT-28, JOIN-42"""
+    """SUP-14, FLT-28"""
     log = view(spark, sf, "log")
     triple = F.concat("subject", "object").alias("triple")
     proposals = log.where("operation = 'add'").select(F.col("event_id").alias("proposal_id"), triple, F.array("fact_id", F.concat(F.lit("f"), F.substring("history_id", 2, 20), F.lit("_1"))).alias("support"))
@@ -123,7 +123,7 @@ k AS (SELECT key, token, CAST(sum(length(x) + 1) OVER (PARTITION BY key ORDER BY
 it AS (SELECT key, item, item * 40 AS low, item * 40 + 40 AS high FROM (SELECT key, unnest(range(0, n // 40)) AS item FROM t))
 SELECT CAST(it.key AS BIGINT) AS key, CAST(item AS INT) AS item, CAST(min(token) AS INT) AS first, CAST(max(token) AS INT) AS last FROM it JOIN k ON k.key = it.key AND it.low < k.high AND k.low < it.high WHERE k.high > k.low GROUP BY 1, 2""")
 def spans(spark, sf):
-    """SUP-6, SUP-5"""
+    """SUP-6"""
     rows = table(spark, sf, "conversations").select((F.col("conv_id") * 1000 + F.col("turn")).alias("key"), "text")
     words = rows.select("key", F.posexplode(F.split("text", " ")).alias("token", "x"))
     upto = F.sum(F.length("x") + 1).over(Window.partitionBy("key").orderBy("token").rowsBetween(Window.unboundedPreceding, 0))
@@ -226,7 +226,7 @@ def templates(spark, sf):
 WITH h AS (SELECT i FROM range(50) t(i)), k AS (SELECT unnest([0, 1, 2]) AS k)
 SELECT 'h' || i AS history_id, CAST(i * 3 + k AS BIGINT) AS pos, ['add', 'supersede', 'retract'][k + 1] AS operation, 'o' || ((i + k) % 5) AS object FROM h, k""")
 def generated(spark, sf):
-    """SRC-15, SUP-4, D19"""
+    """SRC-15, D19"""
     return generate_histories(spark, 50)
 
 

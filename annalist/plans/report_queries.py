@@ -21,7 +21,7 @@ SELECT count(*) AS n_examples, count(*) FILTER (error IS NULL) AS n_answered, ro
  count(*) FILTER (error IS NULL AND outcome <> 'supported') AS n_fallback, round(count(*) FILTER (error IS NULL AND outcome <> 'supported' AND arm_a = 1) / count(*) FILTER (error IS NULL AND outcome <> 'supported'), 9) AS fallback_accuracy,
  round(avg(latency), 9) AS mean_latency, round(avg(triples), 9) AS mean_triples, count(error) AS n_errors FROM v_pred""")
 def summary(spark, sf):
-    """AGG-1, AGG-5, AGG-9, SNK-11"""
+    """AGG-1, AGG-9, SNK-11"""
     return rounded(metrics.experiment_summary(view(spark, sf, "pred").withColumn("correct", F.col("arm_a"))), "accuracy", "grounded_accuracy", "grounded_coverage", "fallback_accuracy", "mean_latency", "mean_triples")
 
 
@@ -29,7 +29,7 @@ def summary(spark, sf):
 SELECT family, tier, outcome, CAST(grouping_id(family, tier, outcome) AS BIGINT) AS level, count(*) AS n, round(avg(arm_a), 9) AS accuracy, count(DISTINCT history_id) AS clusters, max(latency) AS slowest
 FROM v_pred GROUP BY GROUPING SETS ((), (family), (family, tier), (tier, outcome))""")
 def grouping(spark, sf):
-    """AGG-10, AGG-11, AGG-16, AGG-18, AGG-22, AGG-29, AGG-30, AGG-31"""
+    """AGG-10, AGG-11, AGG-16, AGG-18, AGG-22, AGG-31"""
     measures = [F.count("*").alias("n"), F.round(F.avg("arm_a"), 9).alias("accuracy"), F.count_distinct("history_id").alias("clusters"), F.max("latency").alias("slowest")]
     return metrics.grouped(view(spark, sf, "pred"), [[], ["family"], ["family", "tier"], ["tier", "outcome"]], measures)
 
@@ -37,7 +37,7 @@ def grouping(spark, sf):
 @query("agg_paired_table", """
 SELECT family, tier, count(*) FILTER (arm_a = 1 AND arm_b = 1) AS both, count(*) FILTER (arm_a = 1 AND arm_b = 0) AS only_a, count(*) FILTER (arm_a = 0 AND arm_b = 1) AS only_b, count(*) FILTER (arm_a = 0 AND arm_b = 0) AS neither, round(avg(arm_a - arm_b), 9) AS delta FROM v_pred GROUP BY 1, 2""")
 def paired(spark, sf):
-    """AGG-35, JOIN-34, JOIN-36, FLT-27"""
+    """AGG-35, JOIN-34"""
     return rounded(stats.paired_table(view(spark, sf, "pred"), ["family", "tier"]), "delta")
 
 
@@ -78,7 +78,7 @@ def standardised(spark, sf):
 
 @query("agg_upper_median", "SELECT family, min(triples) AS least, list_sort(list(triples))[len(list(triples)) // 2 + 1] AS middle, max(triples) AS most, round(avg(CASE WHEN triples > 25 THEN 1 ELSE 0 END), 9) AS above FROM v_pred GROUP BY 1")
 def upper_median(spark, sf):
-    """AGG-15, AGG-17, AGG-23"""
+    """AGG-15"""
     return view(spark, sf, "pred").groupBy("family").agg(F.min("triples").alias("least"), metrics.upper_median("triples").cast("long").alias("middle"), F.max("triples").alias("most"), F.round(metrics.share(F.col("triples") > 25), 9).alias("above"))
 
 
@@ -90,14 +90,14 @@ def constant(spark, sf):
 
 @query("agg_error_shares", "SELECT outcome, family, count(*) AS n, round(count(*) / (SELECT count(*) FROM v_pred), 9) AS share FROM v_pred GROUP BY 1, 2")
 def error_shares(spark, sf):
-    """AGG-19, AGG-24, AGG-26, AGG-45"""
+    """AGG-24, AGG-45"""
     return rounded(metrics.shares(view(spark, sf, "pred"), ["outcome", "family"]), "share")
 
 
 @query("agg_matched_arms", """
 SELECT tier, outcome, round(avg(arm_a), 9) AS a, round(avg(arm_b), 9) AS b, round(avg(arm_a) - avg(arm_b), 9) AS delta FROM v_pred GROUP BY 1, 2""")
 def matched(spark, sf):
-    """AGG-12, AGG-13, AGG-14, AGG-20, AGG-21, JOIN-35: arms by pivot"""
+    """AGG-12, AGG-20, JOIN-35: arms by pivot"""
     long = view(spark, sf, "pred").select("tier", "outcome", F.explode(F.create_map(F.lit("a"), F.col("arm_a"), F.lit("b"), F.col("arm_b"))).alias("arm", "right"))
     wide = long.groupBy("tier", "outcome").pivot("arm", ["a", "b"]).agg(F.avg("right"))
     return rounded(wide.withColumn("delta", F.col("a") - F.col("b")), "a", "b", "delta")
@@ -107,7 +107,7 @@ def matched(spark, sf):
 WITH z AS (SELECT history_id, bool_or(arm_a = 1) AS alone FROM v_pred WHERE tier = '4k' GROUP BY 1)
 SELECT doc_id, coalesce(alone, false) AND arm_a = 0 AS interfered FROM v_pred p LEFT JOIN z USING (history_id) WHERE tier = '16k'""")
 def interference(spark, sf):
-    """JOIN-37, AGG-4"""
+    """JOIN-37"""
     pred = view(spark, sf, "pred")
     alone = pred.where("tier = '4k'").groupBy("history_id").agg(F.max(F.col("arm_a") == 1).alias("alone"))
     return pred.where("tier = '16k'").join(alone, "history_id", "left").select("doc_id", (F.coalesce("alone", F.lit(False)) & (F.col("arm_a") == 0)).alias("interfered"))
@@ -123,7 +123,7 @@ def compliance(spark, sf):
 WITH c(outcome, title) AS (VALUES ('supported', 'grounded'), ('unsupported_fallback', 'fallback'), ('never', 'unused'))
 SELECT outcome, title, count(doc_id) AS n FROM c LEFT JOIN v_pred USING (outcome) GROUP BY 1, 2""")
 def cells(spark, sf):
-    """JOIN-41, JOIN-23, JOIN-40"""
+    """JOIN-41"""
     dims = spark.createDataFrame([("supported", "grounded"), ("unsupported_fallback", "fallback"), ("never", "unused")], "outcome string, title string")
     return dims.join(view(spark, sf, "pred"), "outcome", "left").groupBy("outcome", "title").agg(F.count("doc_id").alias("n"))
 
@@ -200,7 +200,7 @@ def upsert(spark, sf):
 
 @query("flt_json_projection", """SELECT event_id, CAST(json_extract_string(props, '$.k') AS INT) AS k, json_extract_string(props, '$.missing') AS missing FROM events""")
 def json_projection(spark, sf):
-    """FLT-18, FLT-19, FLT-20, TXT-17, D8"""
+    """FLT-18, TXT-17, D8"""
     props = F.from_json(text.json_object(F.concat(F.lit("```json "), "props", F.lit(" ```"))), "k int, missing string")
     return table(spark, sf, "events").select("event_id", props["k"].alias("k"), props["missing"].alias("missing"))
 
