@@ -10,8 +10,11 @@ Which pairs are counted:
 2. Stars: classes that agree in half of their min-hashes with one of a few hubs of those buckets. The links found give
    provisional components, so a large group of near copies costs a few pairs a member and not all pairs.
 3. Completion, which makes the result exact: two sets that reach the threshold share a shingle within their prefixes (the
-   rarest n - ceil(t n) + 1 shingles). Every such pair of *different* provisional components that passes the length, the
-   position and the sketch filters is counted too. Pairs within a component can't change the components and are left out.
+   rarest n - ceil(t n) + 1 shingles), and such a pair of *different* provisional components that passes the length, the
+   position and the sketch filters is a candidate. In the first rounds a class offers only its nearest candidate, and what is
+   linked merges, at least by a step; a class without a candidate then takes no further part. When a round links nothing, or
+   after NEAREST_ROUNDS, every candidate that is left is counted. Pairs within a component can't change the components and are
+   left out. So candidates that are not links remain only between components that are truly apart.
 
 Defined results: a null or empty text, or one without words, has no shingles and is its own component; fewer than `k` words
 make one shingle; a class or component of null ids only has a null id; repeated rows get equal rows; an empty table gives an
@@ -20,6 +23,7 @@ empty result; other columns are ignored. Shingles are 64-bit hashes and classes
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Iterator
 
 import numpy as np
@@ -27,6 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ._scratch import BROADCAST_IDS, Scratch
+from ._tables import summed_slices
 from ._text import as_signed, byte_tables, groups, mix64, text_buffer, tidied, windows, words
 
 K, NUM, DEN = 5, 80, 100
@@ -38,6 +43,12 @@ SKETCH_BITS = 512
 BLOCK = 1 << 16
 #: Prefix shingles that a task of the completion takes, about.
 PART_IDS = 400_000
+#: Rounds in which a class offers its nearest candidate only.
+NEAREST_ROUNDS = 3
+#: Documents of one shingle up to which all pairs of them are walked at once; in a longer run those outside its largest component are.
+LONG_RUN = 64
+#: Tasks that share the rows of a min-hash bucket.
+SALTS = 8
 #: Rows that a task of the completion deals at once.
 DEAL_ROWS = 2000
 
@@ -73,21 +84,7 @@ def frequencies(texts: DataFrame, k: int) -> np.ndarray:
             narrow = np.uint32 if total.max() < 1 << 32 else np.int64
             yield pa.RecordBatch.from_arrays([pa.array(range(SLICES), pa.int32()), pa.array([x.astype(narrow).tobytes() for x in np.split(total, SLICES)], pa.binary())], ["slice", "counts"])
 
-    def add(batches):
-        import pyarrow as pa
-
-        size = (1 << BUCKET_BITS) // SLICES
-        sums: dict[int, np.ndarray] = {}
-        for batch in batches:
-            for s, c in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                sums[s] = sums.get(s, 0) + np.frombuffer(c, np.uint32 if len(c) == 4 * size else np.int64).astype(np.int64)
-        yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int32()), pa.array([x.tobytes() for x in sums.values()], pa.binary())], ["slice", "counts"])
-
-    out = np.zeros((SLICES, (1 << BUCKET_BITS) // SLICES), np.int64)
-    kind = "slice int, counts binary"
-    for row in texts.mapInArrow(tidied(count), kind).repartition(32, "slice").mapInArrow(tidied(add), kind).collect():
-        out[row["slice"]] = np.frombuffer(row["counts"], np.int64)
-    return out.reshape(-1)
+    return summed_slices(texts.mapInArrow(tidied(count), "slice int, counts binary"), SLICES, (1 << BUCKET_BITS) // SLICES)
 
 
 def frequency_classes(counts: np.ndarray) -> np.ndarray:
@@ -177,21 +174,72 @@ def stars(kinds: DataFrame, scratch: Scratch) -> DataFrame:
     A bucket's hubs are, for each of HUBS residues, the class that shares its min-hashes with the most others: in a group of
     near copies those nearest to what was copied, to which a copy is linked if it is linked to any.
     """
-    rows = kinds.select("cls", F.posexplode(F.array(*(f"m{j}" for j in range(MINHASHES)))).alias("j", "m"))
-    shared = scratch.write(rows.join(rows.groupBy("j", "m").agg(F.count("*").alias("c")).where("c > 1"), ["j", "m"]))
+    salt = F.pmod("cls", F.lit(SALTS)).alias("s")
+    salts = F.explode(F.array(*map(F.lit, range(SALTS)))).alias("s")
+    rows = kinds.select("cls", salt, F.posexplode(F.array(*(f"m{j}" for j in range(MINHASHES)))).alias("j", "m"))
+    full = rows.groupBy("j", "m").agg(F.count("*").alias("c")).where("c > 1").select("j", "m", "c", salts)
+    shared = scratch.write(rows.join(full, ["j", "m", "s"]))
     score = shared.groupBy("cls").agg(F.sum("c").alias("score"))
     best = shared.join(score, "cls").groupBy("j", "m", F.pmod("cls", F.lit(HUBS)).alias("r")).agg(F.max(F.struct("score", "cls")).alias("best"))
-    hubs = best.groupBy("j", "m").agg(F.collect_list("best.cls").alias("hubs"))
-    met = shared.join(hubs, ["j", "m"]).select("j", "cls", F.explode("hubs").alias("hub")).where("hub <> cls")
+    hubs = best.groupBy("j", "m").agg(F.collect_list("best.cls").alias("hubs")).select("j", "m", "hubs", salts)
+    met = shared.join(hubs, ["j", "m", "s"]).select("j", "cls", F.explode("hubs").alias("hub")).where("hub <> cls")
     met = met.select(F.least("cls", "hub").alias("a"), F.greatest("cls", "hub").alias("b"), "j")
     return met.groupBy("a", "b").agg(F.bit_or(F.call_function("shiftleft", F.lit(1), F.col("j"))).alias("met")).where(F.bit_count("met") >= AGREE).select("a", "b")
 
 
-def completion(prefixes: DataFrame, parts: int, num: int, den: int) -> DataFrame:
-    """Pairs of classes of different provisional components that share a prefix shingle and pass the filters.
+def across(ids: np.ndarray, doc: np.ndarray, pos: np.ndarray, n: np.ndarray, comp: np.ndarray, sketches: np.ndarray, num: int, den: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(d, e, differing sketch bits) of documents of different components that share an id and pass the filters.
+
+    ids, doc, pos: each prefix shingle, the document it is of and its place there; n, comp, sketches: of each document.
+    """
+    order = np.lexsort((n[doc], ids))
+    ids, doc, pos = ids[order], doc[order], pos[order]
+    heads = np.flatnonzero(np.append(True, ids[1:] != ids[:-1]))
+    tails = np.append(heads[1:], len(ids))
+    own = comp[doc]
+    mixed = np.maximum.reduceat(own, heads) != np.minimum.reduceat(own, heads)
+
+    def passing(x, y):
+        d, e = doc[x], doc[y]
+        both, needed = np.minimum(n[d] - pos[x], n[e] - pos[y]), at_least(n[d] + n[e], num, num + den)
+        good = (comp[d] != comp[e]) & (both >= needed)
+        d, e, apart = d[good], e[good], (n[d] + n[e] - 2 * needed)[good]
+        for i in range(0, len(d), BLOCK):
+            bits = np.bitwise_count(sketches[d[i : i + BLOCK]] ^ sketches[e[i : i + BLOCK]]).sum(axis=1)
+            near = bits <= apart[i : i + BLOCK]
+            if near.any():
+                yield d[i : i + BLOCK][near], e[i : i + BLOCK][near], bits[near].astype(np.int64)
+
+    short = mixed & (tails - heads <= LONG_RUN)
+    left = np.concatenate([np.zeros(0, np.int64), *(np.arange(a, b) for a, b in zip(heads[short].tolist(), tails[short].tolist(), strict=True))])
+    stop, step = np.repeat(tails[short], (tails - heads)[short]), 1
+    while len(left):
+        # the run is sorted by size: once one is too long for this one, so are all after it
+        fits = left + step < stop
+        left, stop = left[fits], stop[fits]
+        fits = n[doc[left]] * den >= n[doc[left + step]] * num
+        left, stop = left[fits], stop[fits]
+        yield from passing(left, left + step)
+        step += 1
+
+    long = mixed & ~short
+    for a, b in zip(heads[long].tolist(), tails[long].tolist(), strict=True):
+        size, (kinds, kind, counts) = n[doc[a:b]], np.unique(own[a:b], return_inverse=True, return_counts=True)
+        outside = kind != counts.argmax()
+        low, high = np.searchsorted(size, at_least(size, num, den)), np.searchsorted(size, size * den // num, "right")
+        for i in np.flatnonzero(outside).tolist():
+            other = np.arange(low[i], high[i])
+            # of two outsiders the first meets the second
+            other = other[~outside[other] | (other > i)]
+            yield from passing(np.full(len(other), a + i), a + other)
+
+
+def completion(prefixes: DataFrame, parts: int, num: int, den: int, nearest: bool) -> DataFrame:
+    """Pairs (a, b; ca, cb) of classes of different provisional components, and these, that share a prefix shingle and pass the filters.
 
     prefixes: cls, comp, n, sketch, prefix. The shingles are dealt by ranges of their hash; each task pairs those of its range. A
     pair is tested wherever it shares a shingle, and a pair that reaches the threshold passes at its first common shingle.
+    `nearest`: for every class a that has candidates only the one whose sketch differs least, for the sets' sizes.
     """
 
     def deal(batches):
@@ -199,8 +247,9 @@ def completion(prefixes: DataFrame, parts: int, num: int, den: int) -> DataFrame
 
         width = np.uint64(HASH_BITS - 32)
         for batch in (b.slice(i, DEAL_ROWS) for b in batches for i in range(0, b.num_rows, DEAL_ROWS)):
-            ids = np.frombuffer(b"".join(x for x in batch.column(4).to_pylist()), np.uint64)
-            lengths = np.array([len(x) // 8 for x in batch.column(4).to_pylist()], np.int64)
+            blobs = batch.column(4).to_pylist()
+            ids = np.frombuffer(b"".join(blobs), np.uint64)
+            lengths = np.array([len(x) // 8 for x in blobs], np.int64)
             if not len(ids):
                 continue
             row = np.repeat(np.arange(len(lengths)), lengths)
@@ -209,21 +258,16 @@ def completion(prefixes: DataFrame, parts: int, num: int, den: int) -> DataFrame
             order = np.argsort(place, kind="stable")
             cls, comp, n = (batch.column(i).to_numpy(zero_copy_only=False) for i in (0, 1, 2))
             sketches = np.frombuffer(b"".join(batch.column(3).to_pylist()), np.uint64).reshape(batch.num_rows, -1)
-            bounds = np.searchsorted(place[order], np.arange(parts + 1))
+            there, begins = np.unique(place[order], return_index=True)
             out = []
-            for p in range(parts):
-                take = order[bounds[p] : bounds[p + 1]]
-                if not len(take):
-                    continue
+            for p, take in zip(there.tolist(), np.split(order, begins[1:]), strict=True):
                 used, local = np.unique(row[take], return_inverse=True)
                 apart = np.flatnonzero(cls[used] != comp[used])
                 local = local.astype(np.uint16 if len(used) < 1 << 16 else np.uint32)
                 out.append((p, ids[take].tobytes(), local.tobytes(), np.minimum(pos[take], 65535).astype(np.uint16).tobytes(), cls[used].tobytes(), n[used].tobytes() if n[used].max() >= 1 << 32 else n[used].astype(np.uint32).tobytes(), apart.astype(np.uint32).tobytes(), comp[used][apart].tobytes(), sketches[used].tobytes()))
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.int32() if i == 0 else pa.binary()) for i, c in enumerate(zip(*out, strict=True))], ["p", "ids", "local", "pos", "cls", "n", "apart", "comp", "sketch"])
 
-    def pair(batches):
-        import pyarrow as pa
-
+    def gathered(batches):
         ids, doc, pos, cls, n, comp, sketches, seen = [], [], [], [], [], [], [], 0
         for batch in batches:
             for _, i, lo, po, c, size, apart, other, bits in zip(*(x.to_pylist() for x in batch.columns), strict=True):
@@ -238,71 +282,82 @@ def completion(prefixes: DataFrame, parts: int, num: int, den: int) -> DataFrame
                 comp.append(own)
                 sketches.append(np.frombuffer(bits, np.uint64).reshape(len(k), -1))
                 seen += len(k)
-        if not ids:
-            return
-        ids, doc, pos, cls, n, comp, sketches = (np.concatenate(x) for x in (ids, doc, pos, cls, n, comp, sketches))
-        order = np.lexsort((n[doc], ids))
-        ids, doc, pos = ids[order], doc[order], pos[order]
-        heads = np.flatnonzero(np.append(True, ids[1:] != ids[:-1]))
-        tails = np.append(heads[1:], len(ids))
-        own = comp[doc]
-        mixed = np.maximum.reduceat(own, heads) != np.minimum.reduceat(own, heads)
-        left = np.concatenate([np.zeros(0, np.int64), *(np.arange(a, b) for a, b in zip(heads[mixed].tolist(), tails[mixed].tolist(), strict=True))])
-        stop = np.repeat(tails[mixed], (tails - heads)[mixed])
-        found, held, step = [], 0, 1
+        return [np.concatenate(x) for x in (ids, doc, pos, cls, n, comp, sketches)] if ids else None
+
+    def every(batches):
+        import pyarrow as pa
 
         def flush():
             pairs = np.unique(np.concatenate(found), axis=0)
-            return pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(pairs[:, i])) for i in (0, 1)], ["a", "b"])
-
-        while len(left):
-            # the run is sorted by size: once one is too long for this one, so are all after it
-            fits = left + step < stop
-            left, stop = left[fits], stop[fits]
-            d, e = doc[left], doc[left + step]
-            short = n[d] * den >= n[e] * num
-            left, stop, d, e = left[short], stop[short], d[short], e[short]
-            both, needed = np.minimum(n[d] - pos[left], n[e] - pos[left + step]), at_least(n[d] + n[e], num, num + den)
-            good = (comp[d] != comp[e]) & (both >= needed)
-            d, e, apart = d[good], e[good], (n[d] + n[e] - 2 * needed)[good]
-            near = np.concatenate([np.zeros(0, bool), *(np.bitwise_count(sketches[d[i : i + BLOCK]] ^ sketches[e[i : i + BLOCK]]).sum(axis=1) <= apart[i : i + BLOCK] for i in range(0, len(d), BLOCK))])
-            if near.any():
-                x, y = cls[d[near]], cls[e[near]]
-                found.append(np.unique(np.stack([np.minimum(x, y), np.maximum(x, y)], axis=1), axis=0))
-                held += len(found[-1])
-                if held > 1 << 20:
-                    yield flush()
-                    found, held = [], 0
-            step += 1
+            return pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(pairs[:, i])) for i in range(4)], ["a", "b", "ca", "cb"])
+
+        if (all_of := gathered(batches)) is None:
+            return
+        ids, doc, pos, cls, n, comp, sketches = all_of
+        found, held = [], 0
+        for d, e, _ in across(ids, doc, pos, n, comp, sketches, num, den):
+            swap = cls[d] > cls[e]
+            d, e = np.where(swap, e, d), np.where(swap, d, e)
+            found.append(np.stack([cls[d], cls[e], comp[d], comp[e]], axis=1))
+            held += len(d)
+            if held > 1 << 20:
+                yield flush()
+                found, held = [], 0
         if found:
             yield flush()
 
+    def best(batches):
+        import pyarrow as pa
+
+        if (all_of := gathered(batches)) is None:
+            return
+        ids, doc, pos, cls, n, comp, sketches = all_of
+        least, with_, at_comp = np.full(len(cls), np.inf), np.zeros(len(cls), np.int64), np.zeros(len(cls), np.int64)
+        for d, e, bits in across(ids, doc, pos, n, comp, sketches, num, den):
+            share = bits / (n[d] + n[e])
+            for x, y in ((d, e), (e, d)):
+                order = np.lexsort((cls[y], share, x))
+                order = order[np.append(True, x[order][1:] != x[order][:-1])]
+                at, score, other, home = x[order], share[order], cls[y[order]], comp[y[order]]
+                better = (score < least[at]) | ((score == least[at]) & (other < with_[at]))
+                least[at[better]], with_[at[better]], at_comp[at[better]] = score[better], other[better], home[better]
+        has = np.isfinite(least)
+        yield pa.RecordBatch.from_arrays([pa.array(x[has]) for x in (cls, with_, comp, at_comp, least)], ["a", "b", "ca", "cb", "score"])
+
     blobs = prefixes.select("cls", "comp", "n", "sketch", "prefix").mapInArrow(tidied(deal), "p int, ids binary, local binary, pos binary, cls binary, n binary, apart binary, comp binary, sketch binary")
-    return blobs.repartitionById(parts, F.col("p")).mapInArrow(tidied(pair), "a long, b long").distinct()
+    dealt = blobs.repartitionById(parts, F.col("p"))
+    if nearest:
+        rows = dealt.mapInArrow(tidied(best), "a long, b long, ca long, cb long, score double")
+        return rows.groupBy("a").agg(F.min(F.struct("score", "b", "ca", "cb")).alias("x")).select("a", "x.b", "x.ca", "x.cb")
+    return dealt.mapInArrow(tidied(every), "a long, b long, ca long, cb long").distinct()
 
 
-def promising(pairs: DataFrame, kinds: DataFrame, rows: DataFrame, num: int, den: int) -> DataFrame:
-    """The pairs whose sizes and whole sketches let them reach the threshold."""
-    used = pairs.select(F.explode(F.array("a", "b")).alias("cls")).distinct()
-    heads = kinds.join(used, "cls").select("cls", F.col("lo").alias("lo_id"))
-    wide = rows.select("doc_id", "cls", "n", "wide").join(heads.withColumnRenamed("cls", "c"), (F.col("cls") == F.col("c")) & F.col("doc_id").eqNullSafe(F.col("lo_id"))).select("cls", "n", "wide")
+def promising(pairs: DataFrame, leads: DataFrame, num: int, den: int) -> DataFrame:
+    """The pairs (a, b, and further columns) whose sizes and whole sketches let them reach the threshold; leads: cls, n, wide of their classes."""
+    more = [c for c in pairs.columns if c not in ("a", "b")]
 
     def test(batches):
         import pyarrow as pa
 
         for batch in batches:
-            a, b, m, n, x, y = (c.to_pylist() for c in batch.columns)
-            good = [i for i in range(batch.num_rows) if den * min(m[i], n[i]) >= num * max(m[i], n[i]) and sketches_apart(x[i], y[i]) <= m[i] + n[i] - 2 * at_least(m[i] + n[i], num, num + den)]
-            yield pa.RecordBatch.from_arrays([pa.array([c[i] for i in good], pa.int64()) for c in (a, b)], ["a", "b"])
+            m, n, x, y = (batch.column(i).to_pylist() for i in range(4))
+            good = [den * min(m[i], n[i]) >= num * max(m[i], n[i]) and sketches_apart(x[i], y[i]) <= m[i] + n[i] - 2 * at_least(m[i] + n[i], num, num + den) for i in range(batch.num_rows)]
+            yield batch.select(list(range(4, batch.num_columns))).filter(pa.array(good, pa.bool_()))
 
+    wide = leads.select("cls", "n", "wide")
     both = pairs.join(wide.toDF("a", "m", "x").hint("merge"), "a").join(wide.toDF("b", "n", "y").hint("merge"), "b")
-    return both.select("a", "b", "m", "n", "x", "y").mapInArrow(tidied(test), "a long, b long").distinct()
+    return both.select("m", "n", "x", "y", "a", "b", *more).mapInArrow(tidied(test), ", ".join(f"{c} long" for c in ("a", "b", *more))).distinct()
+
+
+def leads_of(heads: DataFrame, rows: DataFrame) -> DataFrame:
+    """cls, n, sketch, wide, prefix and lo of the classes in heads (cls, lo), each from the document of least id."""
+    heads = heads.select(F.col("cls").alias("c"), "lo")
+    return rows.join(heads, (F.col("cls") == F.col("c")) & F.col("doc_id").eqNullSafe(F.col("lo"))).select("cls", "n", "sketch", "wide", "prefix", "lo")
 
 
-def links(docs: DataFrame, pairs: DataFrame, kinds: DataFrame, classes, cuts: np.ndarray, k: int, num: int, den: int) -> DataFrame:
-    """The pairs that reach the threshold: partial overlaps by fragment, summed per pair."""
-    used = pairs.select(F.explode(F.array("a", "b")).alias("cls")).distinct()
-    heads = kinds.join(used, "cls").select(F.col("lo").alias("lo_id")).distinct()
+def fragments(docs: DataFrame, leads: DataFrame, classes, cuts: np.ndarray, k: int) -> DataFrame:
+    """cls, f and the ids of each fragment of the classes' sets, made again from the texts of the documents named by `lo`."""
+    heads = leads.select(F.col("lo").alias("lo_id")).distinct()
     if heads.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS:
         heads = F.broadcast(heads)
     texts = docs.join(heads, F.col("doc_id").eqNullSafe(F.col("lo_id")), "left_semi")
@@ -315,27 +370,36 @@ def links(docs: DataFrame, pairs: DataFrame, kinds: DataFrame, classes, cuts: np
             for s in shingle_sets(batch.column(0), k):
                 key, ids = set_key(s), ordered(s, classes.value)
                 rows += [(key, f, part.tobytes()) for f, part in enumerate(np.split(ids, np.searchsorted(ids, cuts))) if len(part)]
-            keys, fragments, parts = zip(*rows, strict=True) if rows else ([], [], [])
-            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(fragments, pa.int32()), pa.array(parts, pa.binary())], ["cls", "f", "ids"])
+            keys, places, parts = zip(*rows, strict=True) if rows else ([], [], [])
+            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(places, pa.int32()), pa.array(parts, pa.binary())], ["cls", "f", "ids"])
+
+    return texts.select("text").mapInArrow(tidied(cut), "cls long, f int, ids binary")
+
+
+def links(pairs: DataFrame, cut: DataFrame, num: int, den: int) -> DataFrame:
+    """The pairs (a, b, and further columns) that reach the threshold: partial overlaps by fragment, summed per pair."""
+    more = [c for c in pairs.columns if c not in ("a", "b")]
 
     def overlap(batches):
         import pyarrow as pa
 
         for batch in batches:
-            both = [len(np.intersect1d(np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64), assume_unique=True)) for x, y in zip(batch.column(3).to_pylist(), batch.column(4).to_pylist(), strict=True)]
-            yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(3)), pa.array(both, pa.int64())], ["a", "b", "f", "both"])
-
-    fragments = texts.select("text").mapInArrow(tidied(cut), "cls long, f int, ids binary")
-    left = fragments.select(F.col("cls").alias("a"), "f", F.col("ids").alias("x"))
-    right = fragments.select(F.col("cls").alias("b"), "f", F.col("ids").alias("y"))
-    counted = pairs.join(left.hint("merge"), "a").join(right.hint("merge"), ["b", "f"]).select("a", "b", "f", "x", "y").mapInArrow(tidied(overlap), "a long, b long, f int, both long")
-    size = kinds.select(F.col("cls").alias("s"), "n")
-    return (
-        counted.groupBy("a", "b", "f").agg(F.max("both").alias("both"))  # repeated rows of a doc_id give a fragment more than once
-        .groupBy("a", "b").agg(F.sum("both").alias("both"))
-        .join(size.toDF("a", "na"), "a").join(size.toDF("b", "nb"), "b")
-        .where(den * F.col("both") >= num * (F.col("na") + F.col("nb") - F.col("both"))).select("a", "b")
-    )
+            x, y = (batch.column(i).to_pylist() for i in (0, 1))
+            both = [len(np.intersect1d(np.frombuffer(p or b"", np.uint64), np.frombuffer(q or b"", np.uint64), assume_unique=True)) for p, q in zip(x, y, strict=True)]
+            counts = [pa.array([len(z or b"") // 8 for z in c], pa.int64()) for c in (x, y)]
+            yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(2, batch.num_columns)), pa.array(both, pa.int64()), *counts], [*batch.schema.names[2:], "both", "na", "nb"])
+
+    left = cut.select(F.col("cls").alias("a"), "f", F.col("ids").alias("x"))
+    right = cut.select(F.col("cls").alias("b"), "f", F.col("ids").alias("y"))
+    # every fragment of either side: the sizes are summed as well
+    sides = pairs.select("a", "b", *more, F.explode(F.array(*map(F.lit, range(FRAGMENTS)))).alias("f"))
+    met = sides.join(left.hint("merge"), ["a", "f"], "left").join(right.hint("merge"), ["b", "f"], "left").select("x", "y", "a", "b", "f", *more)
+    counted = met.mapInArrow(tidied(overlap), "a long, b long, f int, " + "".join(f"{c} long, " for c in more) + "both long, na long, nb long")
+    # repeated rows of a doc_id give a fragment more than once
+    parts = [F.max(F.when(F.col("f") == i, F.col(c))).alias(f"{c}{i}") for i in range(FRAGMENTS) for c in ("both", "na", "nb")]
+    whole = {c: sum((F.col(f"{c}{i}") for i in range(FRAGMENTS)), F.lit(0)) for c in ("both", "na", "nb")}
+    sums = counted.groupBy("a", "b", *more).agg(*parts).select("a", "b", *more, *(v.alias(c) for c, v in whole.items()))
+    return sums.where(den * F.col("both") >= num * (F.col("na") + F.col("nb") - F.col("both"))).select("a", "b", *more)
 
 
 def components(edges: DataFrame, scratch: Scratch) -> DataFrame:
@@ -355,28 +419,62 @@ def components(edges: DataFrame, scratch: Scratch) -> DataFrame:
         before = now
 
 
+def merged(roots: DataFrame, found: DataFrame) -> DataFrame:
+    """roots (cls, comp) after the links found between components (ca, cb): each goes to the least that it is linked to, and on to where that one goes. A step towards the components of the links; what it leaves apart later rounds see."""
+    ends = found.select(F.col("ca").alias("u"), F.col("cb").alias("v")).union(found.select("cb", "ca"))
+    least = ends.groupBy("u").agg(F.min("v").alias("v")).select("u", F.least("u", "v").alias("v"))
+    ahead = least.select(F.col("u").alias("v"), F.col("v").alias("w"))
+    to = least.join(ahead, "v", "left").select(F.col("u").alias("comp"), F.least(F.col("v"), F.coalesce("w", "v")).alias("to"))
+    return roots.join(to, "comp", "left").select("cls", F.coalesce("to", "comp").alias("comp"))
+
+
 def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", k: int = K, num: int = NUM, den: int = DEN) -> DataFrame:
     """doc_id, n_shingles and component_id (the least doc_id reachable over pairs with den * overlap >= num * union)."""
     spark = docs.sparkSession
     scratch = Scratch(spark)
     docs = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
     counts = frequencies(docs.select("text"), k)
+    if not counts.any():  # no document has a shingle
+        return docs.select("doc_id", F.lit(0).cast("long").alias("n_shingles"), F.col("doc_id").alias("component_id"))
     by_bucket = frequency_classes(counts)
     classes, cuts = spark.sparkContext.broadcast(by_bucket), pivots(counts, by_bucket)
 
     rows = scratch.write(profiles(docs, classes, k, num, den))
     kinds = scratch.write(rows.where("n > 0").groupBy("cls").agg(F.min("doc_id").alias("lo"), F.min("n").alias("n"), *(F.min(f"m{j}").alias(f"m{j}") for j in range(MINHASHES))))
 
-    starred = scratch.write(promising(scratch.write(stars(kinds, scratch)), kinds, rows, num, den))
-    first = components(scratch.write(links(docs, starred, kinds, classes, cuts, k, num, den)), scratch)
-    heads = kinds.select("cls", "lo").join(first.withColumnRenamed("node", "cls"), "cls", "left").select("cls", "lo", F.coalesce("root", "cls").alias("comp"))
-    same = (rows["cls"] == heads["cls"]) & rows["doc_id"].eqNullSafe(heads["lo"])
-    prefixes = rows.where("n > 0").join(heads, same).select(rows["cls"], "comp", "n", "sketch", "prefix")
-    parts = max(8, -(-int(counts.sum()) * (den - num) // den // PART_IDS))
-    found = scratch.write(promising(scratch.write(completion(prefixes, parts, num, den)), kinds, rows, num, den))
-    rest = scratch.write(links(docs, found, kinds, classes, cuts, k, num, den))
+    met = scratch.write(stars(kinds, scratch))
+    ends = lambda pairs: pairs.select(F.explode(F.array("a", "b")).alias("cls")).distinct()
+    near = scratch.write(promising(met, leads_of(kinds.join(ends(met), "cls", "left_semi"), rows), num, den))
+    # the fragments of every class that was ever compared
+    cut = scratch.write(fragments(docs, kinds.join(ends(near), "cls", "left_semi"), classes, cuts, k))
+    first = components(scratch.write(links(near, cut, num, den)), scratch)
 
-    last = components(first.toDF("a", "b").union(rest), scratch)
+    roots = kinds.select("cls").join(first.toDF("cls", "root"), "cls", "left").select("cls", F.coalesce("root", "cls").alias("comp"))
+    leads, active, nearest, all_links = leads_of(kinds, rows), False, True, [first.toDF("a", "b")]
+    parts = max(8, -(-int(counts.sum()) * (den - num) // den // PART_IDS))
+    for turn in range(NEAREST_ROUNDS + 1):
+        nearest = nearest and turn < NEAREST_ROUNDS
+        offered = scratch.write(completion(leads.join(roots, "cls"), parts, num, den, nearest))
+        if not active:
+            # a class without a candidate now has none after components have merged
+            active, leads = True, scratch.write(leads_of(kinds.join(offered.select(F.col("a").alias("cls")), "cls", "left_semi"), rows))
+            roots = roots.join(leads.select("cls"), "cls", "left_semi")
+            parts = max(8, -(-int(leads.agg(F.coalesce(F.sum(F.length("prefix")), F.lit(0))).first()[0]) // 8 // PART_IDS))
+        swap = F.col("a") > F.col("b")
+        pairs = offered.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), F.when(swap, F.col("cb")).otherwise(F.col("ca")).alias("ca"), F.when(swap, F.col("ca")).otherwise(F.col("cb")).alias("cb")).distinct()
+        near = scratch.write(promising(pairs, leads, num, den))
+        new = scratch.write(leads.select("cls", "lo").join(ends(near), "cls", "left_semi").join(cut.select("cls").distinct(), "cls", "left_anti"))
+        if not new.isEmpty():
+            cut = cut.union(scratch.write(fragments(docs, new, classes, cuts, k)))
+        found = scratch.write(links(near, cut, num, den))
+        all_links.append(found.select("a", "b"))
+        if not nearest:
+            break
+        nearest = not found.isEmpty()
+        roots = scratch.write(merged(roots, found)) if nearest else roots
+
+    edges = functools.reduce(DataFrame.union, all_links)
+    last = components(edges, scratch)
     lows = kinds.select(F.col("cls").alias("node"), "lo").join(last, "node", "left").select("node", "lo", F.coalesce("root", "node").alias("root"))
     least = lows.groupBy("root").agg(F.min("lo").alias("component_id"))
     named = scratch.write(lows.join(least, "root").select(F.col("node").alias("cls"), "component_id"))
