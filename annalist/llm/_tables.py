@@ -37,7 +37,7 @@ def summed_slices(tables: DataFrame, slices: int, width: int) -> np.ndarray:
     tasks = tables._jdf.queryExecution().toRdd().getNumPartitions()
     left = tables.select(F.spark_partition_id().alias("g"), "slice", "counts")
     while True:
-        tasks = -(-tasks // FAN_IN)
+        tasks = max(1, -(-tasks // FAN_IN))
         left = left.select((F.col("g") / FAN_IN).cast("int").alias("g"), "slice", "counts")
         left = left.repartition(tasks * PARTS, "g", (F.col("slice") / -(-slices // PARTS)).cast("int")).mapInArrow(tidied(add), "g int, slice int, counts binary")
         if tasks <= 1:

@@ -8,6 +8,8 @@ import numpy as np
 
 GROUP_BYTES = 1 << 20
 PIECE_BYTES = 1 << 18
+#: Bytes of a task's batches beyond which its worker gives memory back.
+TIDY_BYTES = 1 << 20
 
 
 def worker_cache() -> dict:
@@ -33,11 +35,20 @@ def tidy() -> None:
 
 
 def tidied(run):
-    """A function of batches that tidies up when it ends."""
+    """A function of batches that tidies up when it ends, if it has seen more than TIDY_BYTES."""
 
     def each(batches):
-        yield from run(batches)
-        tidy()
+        seen = 0
+
+        def counted():
+            nonlocal seen
+            for batch in batches:
+                seen += batch.nbytes
+                yield batch
+
+        yield from run(counted())
+        if seen > TIDY_BYTES:
+            tidy()
 
     return each
 

@@ -27,7 +27,7 @@ from ._scratch import Scratch
 
 A_Z, a_z = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: Bits that the first level of a cascade, a constant of the plan, may have; and those of the filter of the rules' hosts.
-MOST_BITS = 1 << 27
+MOST_BITS = 1 << 25
 PARTS = r"(?s)^.*?://([^/?#]*)([^?#]*)"
 
 
@@ -84,14 +84,14 @@ def bits_for(n: int, rate: float) -> int:
 
 
 def bloom(keys: DataFrame, n: int, rate: float, level: int) -> tuple[bytes, int, int]:
-    """(bytes, bits, hashes) of a Bloom filter of n keys; what reaches the driver is the filter, sized by n."""
+    """(bytes, bits, hashes) of a Bloom filter of n keys; what reaches the driver is the filter, in words of 64 bits, MOST_BITS at most."""
     bits = bits_for(n, rate)
     hashes = max(1, round(math.log(1 / rate) / math.log(2)))
     places = keys.select(F.explode(F.array(*(place(F.col("key"), level, i, bits) for i in range(hashes)))).alias("at"))
-    octets = places.groupBy(F.floor(F.col("at") / 8).alias("octet")).agg(F.bit_or(F.call_function("shiftleft", F.lit(1), F.pmod("at", F.lit(8).cast("long")).cast("int"))).alias("v"))
-    out = bytearray(-(-bits // 8))
-    for row in octets.toLocalIterator():
-        out[row["octet"]] = row["v"]
+    word = F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod("at", F.lit(64).cast("long")).cast("int")))
+    out = bytearray(8 * -(-bits // 64))
+    for row in places.groupBy(F.floor(F.col("at") / 64).alias("i")).agg(word.alias("v")).collect():
+        out[8 * row["i"] : 8 * row["i"] + 8] = row["v"].to_bytes(8, "little", signed=True)
     return bytes(out), bits, hashes
 
 
