@@ -96,7 +96,8 @@ def test_pipeline(spark):
     docs = pq.read_table(f"{SF}/documents.parquet").to_pylist()
     items = pq.read_table(f"{SF}/benchmark.parquet").column("text").to_pylist()
     df = spark.read.parquet(f"{SF}/documents.parquet")
-    keys = {r["doc_id"]: r["__key"] for r in corpus_pipeline.keyed(df).select("doc_id", "__key").collect()}
+    rows, key = corpus_pipeline.keyed(df, "doc_id", "text", "source")
+    keys = {r["doc_id"]: r[key] for r in rows.select("doc_id", key).collect()}
     steps = [plain_quality, plain_near_duplicates, lambda rows: plain_decontamination(rows, items), lambda rows: plain_mixture(rows, keys)]
     for (name, stage), plain in zip(corpus_pipeline.STAGES, steps, strict=False):
         got = stage(spark, df, SF)
@@ -123,3 +124,53 @@ def test_pipeline(spark):
 def test_run_is_the_stages(spark):
     rows = corpus_pipeline.run(spark, SF)
     assert rows.count() > 0 and {"doc_id", "shard", "slot"} <= set(rows.columns)
+
+
+def edge_rows():
+    text = " ".join(f"word{i} stands." for i in range(120))
+    other = " ".join(f"thing{i} moves here." for i in range(80))
+    return [
+        (1, text, "en", "a", 5), (1, text, "en", "a", 5), (1, other, "en", "b", 5), (None, text, "en", "a", 1), (None, text, None, None, None), (None, None, None, "a", 1), (2, None, "en", None, 1), (3, "", "en", "a", 0), (4, other + " end.", "en", "b", 2),
+        (5, "one two", "en", "a", 7),
+    ]
+
+
+def test_stages_on_edge_rows(spark):
+    """Null texts and ids, repeated rows, columns of any name, and no rows at all."""
+    df = spark.createDataFrame(edge_rows(), "doc_id long, text string, lang string, source string, n_chars long")
+    for name in ("key", "copies", "rows", "copy", "part", "at", "__key", "id", "component_id", "kept", "cell", "size"):
+        df = df.withColumn(name, F.lit(name))
+    kept = {}
+    for name, stage in corpus_pipeline.STAGES:
+        rows = stage(spark, df, SF).collect()
+        assert stage(spark, df.limit(0), SF).count() == 0
+        if name == "sharding":
+            assert len(rows) == len(edge_rows())
+            continue
+        assert set(rows[0].asDict()) == set(df.columns) and {r["key"] for r in rows} == {"key"}
+        kept[name] = Counter((r["doc_id"], r["text"]) for r in rows)
+    text, other = edge_rows()[0][1], edge_rows()[2][1]
+    assert kept["quality rules"] == Counter({(1, text): 2, (1, other): 1, (None, text): 2, (4, other + " end."): 1})
+    assert kept["n-gram Jaccard join"] == Counter({(None, text): 1, (1, other): 1, (None, None): 1, (2, None): 1, (3, ""): 1, (5, "one two"): 1})
+    assert kept["benchmark decontamination"] == Counter((r[0], r[1]) for r in edge_rows())
+
+
+def test_mixture_shares_copies_among_equal_rows(spark):
+    rows = [(7, "some words of a text", "en", "a", 1)] * 5 + [(i, f"row {i} has its words", "en", "b", 1) for i in range(40)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").repartition(4)
+    keyed, key = corpus_pipeline.keyed(df, "doc_id", "text", "source")
+    taken = mixing.mix(keyed, key).where("size > 0").groupBy("doc_id").agg(F.sum("taken").alias("n")).join(keyed.select(F.col(key).alias("doc_id"), "text").distinct(), "doc_id")
+    want = {r["text"]: r["n"] // 5 for r in taken.collect()}
+    got = Counter(r["text"] for r in dict(corpus_pipeline.STAGES)["mixing sources to target weights"](spark, df, SF).collect())
+    assert got == Counter({t: n for t, n in want.items() if n}) and len(set(want.values())) > 1
+
+
+def test_a_stage_leaves_other_tables(spark):
+    from annalist.llm import line_dedup
+
+    df = spark.createDataFrame(edge_rows(), "doc_id long, text string, lang string, source string, n_chars long")
+    other = line_dedup.digest(df)
+    for name, stage in corpus_pipeline.STAGES:
+        if name != "n-gram Jaccard join":
+            stage(spark, df, SF)
+    assert other.count() == len(edge_rows())
