@@ -44,7 +44,7 @@ BLOCK = 1 << 16
 #: Prefix shingles that a task of the completion takes, about.
 PART_IDS = 400_000
 #: Rounds in which a class offers its nearest candidate only.
-NEAREST_ROUNDS = 3
+NEAREST_ROUNDS = 2
 #: Documents of one shingle up to which all pairs of them are walked at once; in a longer run those outside its largest component are.
 LONG_RUN = 64
 #: Tasks that share the rows of a min-hash bucket.
@@ -396,9 +396,8 @@ def links(pairs: DataFrame, cut: DataFrame, num: int, den: int) -> DataFrame:
     met = sides.join(left.hint("merge"), ["a", "f"], "left").join(right.hint("merge"), ["b", "f"], "left").select("x", "y", "a", "b", "f", *more)
     counted = met.mapInArrow(tidied(overlap), "a long, b long, f int, " + "".join(f"{c} long, " for c in more) + "both long, na long, nb long")
     # repeated rows of a doc_id give a fragment more than once
-    parts = [F.max(F.when(F.col("f") == i, F.col(c))).alias(f"{c}{i}") for i in range(FRAGMENTS) for c in ("both", "na", "nb")]
-    whole = {c: sum((F.col(f"{c}{i}") for i in range(FRAGMENTS)), F.lit(0)) for c in ("both", "na", "nb")}
-    sums = counted.groupBy("a", "b", *more).agg(*parts).select("a", "b", *more, *(v.alias(c) for c, v in whole.items()))
+    each = counted.groupBy("a", "b", *more, "f").agg(*(F.max(c).alias(c) for c in ("both", "na", "nb")))
+    sums = each.groupBy("a", "b", *more).agg(*(F.sum(c).alias(c) for c in ("both", "na", "nb")))
     return sums.where(den * F.col("both") >= num * (F.col("na") + F.col("nb") - F.col("both"))).select("a", "b", *more)
 
 
