@@ -19,6 +19,11 @@ def overlap(lf: Column, lt: Column, rf: Column, rt: Column, last: str = LAST_TIM
     return (_from(lf) <= _to(rt, last)) & (_from(rf) <= _to(lt, last))
 
 
+def bounds(f: Column, t: Column, last: str = LAST_TIME) -> tuple[Column, Column]:
+    """The two bounds that `overlap` compares."""
+    return _from(f), _to(t, last)
+
+
 def overlap_if_given(lf: Column, lt: Column, rf: Column, rt: Column, given: Column) -> Column:
     """False where an interval is missing altogether, or ends before it begins."""
     start = lambda x: F.coalesce(x, F.lit(""))

@@ -1,4 +1,4 @@
-"""Integrity rules as joins (JOIN-1 to 9, 12 to 17, 30 to 32; GRF-1, 2, 9, 11, 12; ST-6, 7; ADM-1). Every self-join has an equality key."""
+"""Integrity rules as joins (JOIN-1 to 9, 12 to 17, 30 to 32; GRF-1, 2, 9, 11, 12; ST-6, 7; ADM-1). Every self-join has an equality key; what asks for one other fact of a key is windows, for the pairs of a key grow with the square of its facts."""
 
 from __future__ import annotations
 
@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.identity import pair_id
-from ..functions.temporal import overlap, overlap_if_given
+from ..functions.temporal import bounds, overlap, overlap_if_given
 from ..functions.text import canonical_predicate
 
 #: Fixed values.
@@ -76,30 +76,80 @@ def shape_code(subject: Column, predicate: Column, obj: Column) -> Column:
     )
 
 
+def beside(candidates: DataFrame, existing: DataFrame) -> DataFrame:
+    """Candidates (`asks`) and existing facts (`stands`) as one table of claims; the same table given twice is taken once."""
+    if candidates is existing:
+        return claims(existing).withColumns({"asks": F.lit(True), "stands": F.lit(True)})
+    n, e = (claims(df).withColumns({"asks": F.lit(asks), "stands": F.lit(not asks)}) for df, asks in ((candidates, True), (existing, False)))
+    return n.unionByName(e, allowMissingColumns=True)
+
+
+def by_key(rows: DataFrame, key: list[str]) -> DataFrame:
+    """rows, those of a key in one partition, with the bounds of their validity (`lo`, `hi`) and a hash of the key (`h`) that sorts faster than its texts. Keys with a null meet nothing."""
+    lo, hi = bounds(F.col("valid_from"), F.col("valid_to"))
+    given = F.forall(F.array(*(F.col(c).isNotNull() for c in key)), lambda x: x)
+    return rows.repartition(*key).withColumns({"h": F.xxhash64(*key), "lo": lo, "hi": hi, "given": given})
+
+
+def least_met(rows: DataFrame, key: list[str], order: list[str], unlike: list[str], standing: Column, out: str) -> DataFrame:
+    """rows of by_key with `out`: the least (order, unlike) of the standing rows of their key whose validity meets theirs and that differ from them in every column of `unlike`; null where there is none.
+
+    An interval needs its least row, and for each column the least row that differs from it there, and so on: whatever a row must differ from, its answer is among them.
+    A row looks at the different intervals of its key, so no pairs of rows are made.
+    """
+    span, whole = Window.partitionBy("h", *key, "lo", "hi"), Window.partitionBy("h", *key)
+    value = F.struct(*dict.fromkeys([*order, *unlike]))
+    for c in (F.col("given"), *(F.col(c).isNotNull() for c in unlike)):
+        standing = standing & c
+    found, level = [], [("__least", standing, unlike)]
+    while level:
+        rows = rows.withColumns({name: F.min(F.when(cond, value)).over(span) for name, cond, _ in level})
+        found += [name for name, _, _ in level]
+        level = [(f"{name}_{c}", cond & (F.col(c) != F.col(name)[c]), [x for x in left if x != c]) for name, cond, left in level for c in left]
+    spans = F.collect_set(F.when(F.col("__least").isNotNull(), F.struct("lo", "hi", F.array_compact(F.array(*found)).alias("least")))).over(whole)
+    differs = lambda x: F.forall(F.array(*(x[c] != F.col(c) for c in unlike)), lambda d: d) if unlike else F.lit(True)
+    meeting = F.filter("__spans", lambda x: (x["lo"] <= F.col("hi")) & (F.col("lo") <= x["hi"]))
+    least = F.array_min(F.filter(F.flatten(F.transform(meeting, lambda x: x["least"])), differs))
+    return rows.withColumn("__spans", spans).withColumn(out, F.when(F.col("given"), least)).drop("__spans", *found)
+
+
+def turned(rows: DataFrame) -> DataFrame:
+    """Containments, those that stand with their ends exchanged, so that a candidate and what inverts it have one key."""
+    rows = rows.where("predicate = 'PART_OF'")
+    stand = rows.where("stands").withColumns({"subject": F.col("object"), "object": F.col("subject"), "asks": F.lit(False)})
+    return rows.where("asks").withColumn("stands", F.lit(False)).unionByName(stand)
+
+
 def decide(candidates: DataFrame, existing: DataFrame, score: Column) -> DataFrame:
     """fact_id, decision, code, replace_id of each candidate against a static state, candidates by themselves (GRF-2).
 
     Precedence: shape, duplicate, functional conflict (the first in state order; replaced if the candidate scores higher), containment, alive and dead, accept.
     """
-    n = claims(candidates).withColumn("score", score)
-    e = claims(existing).withColumn("score", score)
-    a, b = n.alias("a"), e.alias("b")
-    other = F.col("a.fact_id") != F.col("b.fact_id")
-    same = (F.col("a.session_id") == F.col("b.session_id")) & (F.col("a.subject") == F.col("b.subject")) & (F.col("a.predicate") == F.col("b.predicate"))
-    met = a.join(b, same & meets("a", "b") & other).groupBy("a.fact_id").agg(
-        F.max(F.col("a.object") == F.col("b.object")).alias("twice"),
-        F.min(F.when((F.col("a.object") != F.col("b.object")) & F.col("a.predicate").isin(FUNCTIONAL), F.struct(F.col("b.pos").alias("pos"), F.col("b.fact_id").alias("fact_id"), F.col("b.score").alias("score")))).alias("rival"),
-        F.max((F.col("a.predicate") == "IS_ALIVE") & (F.col("a.object") != F.col("b.object")) & F.col("a.object").isin("true", "false") & F.col("b.object").isin("true", "false")).alias("torn"),
-    )
-    turned = (F.col("a.session_id") == F.col("b.session_id")) & (F.col("a.predicate") == "PART_OF") & (F.col("b.predicate") == "PART_OF") & (F.col("a.subject") == F.col("b.object")) & (F.col("a.object") == F.col("b.subject"))
-    circle = a.join(b, turned & meets("a", "b")).select("a.fact_id").distinct().withColumn("circle", F.lit(True))
-    rows = n.join(met, "fact_id", "left").join(circle, "fact_id", "left")
-    shape = shape_code(F.col("subject"), F.col("predicate"), F.col("object"))
+    key, names = ["session_id", "subject", "predicate"], ["fact_id", "session_id", "subject", "predicate", "object", "pos", "score", "valid_from", "valid_to", "asks", "stands"]
+    facts = beside(candidates, existing).withColumn("score", score).select(names)
+    rows = by_key(facts, key)
+    # The same triple: another id among the first and last of each interval.
+    same, span = Window.partitionBy("h", *key, "object"), Window.partitionBy("h", *key, "object", "lo", "hi")
+    standing = F.when(F.col("given") & F.col("stands") & F.col("object").isNotNull(), F.col("fact_id"))
+    rows = rows.withColumns({"first": F.min(standing).over(span), "last": F.max(standing).over(span)})
+    rows = rows.withColumn("spans", F.collect_set(F.when(F.col("first").isNotNull(), F.struct("lo", "hi", "first", "last"))).over(same))
+    again = F.exists("spans", lambda x: (x["lo"] <= F.col("hi")) & (F.col("lo") <= x["hi"]) & ((x["first"] != F.col("fact_id")) | (x["last"] != F.col("fact_id"))))
+    rows = rows.withColumn("twice", F.col("given") & F.col("object").isNotNull() & again).drop("first", "last", "spans")
+    # Another object: rivals of a functional predicate, or the other of alive and dead.
+    functional, alive = F.col("predicate").isin(FUNCTIONAL), (F.col("predicate") == "IS_ALIVE") & F.col("object").isin("true", "false")
+    rows = least_met(rows, key, ["pos", "fact_id", "score"], ["object", "fact_id"], F.col("stands") & (functional | alive), "other")
+    own = rows.where("asks").select("fact_id", shape_code(F.col("subject"), F.col("predicate"), F.col("object")).alias("shape"), "score", "twice", F.when(functional & F.col("other").isNotNull(), F.struct("other.pos", "other.fact_id", "other.score")).alias("rival"), (alive & F.col("other").isNotNull()).alias("torn"), F.lit(False).alias("circle"), F.lit(True).alias("row"))
+    ends = ["session_id", "subject", "object"]
+    circle = least_met(by_key(turned(facts), ends), ends, ["pos"], [], F.col("stands"), "inverse").where("asks and inverse is not null and fact_id is not null")
+    kinds = {f.name: f.dataType for f in own.schema.fields}
+    marks = circle.select("fact_id", *(F.lit(x).cast(kinds[c]).alias(c) for c, x in (("shape", None), ("score", None), ("twice", False), ("rival", None), ("torn", False), ("circle", True), ("row", False))))
+    # What holds of one row of an id holds of all its rows.
+    whole = Window.partitionBy("fact_id")
+    rows = own.union(marks).withColumns({"twice": F.max("twice").over(whole), "rival": F.min("rival").over(whole), "torn": F.max("torn").over(whole), "circle": F.max("circle").over(whole)}).where("row")
     wins = F.col("score") > F.col("rival.score")
-    code = shape
-    steps = F.when(shape.isNotNull(), shape).when(F.col("twice"), "duplicate_fact").when(F.col("rival").isNotNull() & ~wins, "functional_conflict").when(F.col("rival").isNotNull(), F.lit(None)).when(F.col("circle"), "circular_containment").when(F.col("torn"), "alive_dead_conflict")
+    steps = F.when(F.col("shape").isNotNull(), F.col("shape")).when(F.col("twice"), "duplicate_fact").when(F.col("rival").isNotNull() & ~wins, "functional_conflict").when(F.col("rival").isNotNull(), F.lit(None)).when(F.col("circle"), "circular_containment").when(F.col("torn"), "alive_dead_conflict")
     code = steps.cast("string")
-    replaced = shape.isNull() & ~F.coalesce("twice", F.lit(False)) & F.col("rival").isNotNull() & wins
+    replaced = F.col("shape").isNull() & ~F.col("twice") & F.col("rival").isNotNull() & wins
     return rows.select("fact_id", F.when(replaced, "replace").when(code.isNull(), "accept").otherwise("reject").alias("decision"), code.alias("code"), F.when(replaced, F.col("rival.fact_id")).alias("replace_id"))
 
 

@@ -94,6 +94,61 @@ def test_decisions_and_fold(spark):
     assert decided == {"n1": ("replace", None, "a"), "n2": ("reject", "duplicate_fact", None), "n3": ("reject", "self_referential_fact", None), "n4": ("reject", "generic_object", None), "n5": ("reject", "empty_required_field", None), "n6": ("accept", None, None), "n7": ("reject", "circular_containment", None)}
 
 
+def odd_facts(spark):
+    """Facts with few keys, ids that repeat, nulls, and validity that ends before it begins."""
+    import random
+
+    r = random.Random(5)
+    day = lambda: r.choice([None, "", "2024-01-01", "2024-02-01", "2024-03-01", "2024-04-01"])
+    rows = []
+    for i in range(400):
+        predicate = r.choice(["located in", "LOCATED_IN", "IS_ALIVE", "PART_OF", "IS"])
+        ends = ["true", "false", "x", None] if predicate == "IS_ALIVE" else ["p", "q", "u", "v", None]
+        rows.append((r.choice([f"f{i}", f"f{i}", f"f{i % 40}", None]), r.choice("st"), "x", r.choice(["p", "q", "u", "v", None]), predicate, r.choice(ends), 1000 - i if i % 3 else i + 2000, day(), day(), r.choice([0.1, 0.5, 0.9, None])))
+    return rows, spark.createDataFrame(rows, FACT)
+
+
+def pairs_met(rows):
+    """Pairs of facts of one session whose validity meets, fact by fact; a fact is (id, session, subject, predicate, object, pos, from, to, score)."""
+    from itertools import product
+
+    plain = [(f, s, a, "LOCATED_IN" if p == "located in" else p, o, i, vf or "", vt or "9999-12-31T23:59:59Z", 0.42 if c is None else c) for f, s, _, a, p, o, i, vf, vt, c in rows]
+    return plain, [(a, b) for a, b in product(plain, plain) if a[1] == b[1] and a[3] == b[3] and a[6] <= b[7] and b[6] <= a[7]]
+
+
+def test_decisions_make_no_pairs(spark):
+    """Decisions of facts with few keys agree with those over all pairs, and no join of facts by their key makes these."""
+    rows, df = odd_facts(spark)
+    plain, pairs = pairs_met(rows)
+    twice, rival, circle, torn = set(), {}, set(), set()
+    for a, b in pairs:
+        if a[0] and None not in (a[2], a[4], b[2], b[4]):
+            other = b[0] is not None and a[0] != b[0] and a[2] == b[2]
+            if other and a[4] == b[4]:
+                twice.add(a[0])
+            elif other and a[3] == "LOCATED_IN":
+                rival[a[0]] = min(rival.get(a[0], (9999,)), (b[5], b[0], b[8]))
+            elif other and {a[4], b[4]} == {"true", "false"} and a[3] == "IS_ALIVE":
+                torn.add(a[0])
+            if a[3] == "PART_OF" and (a[2], a[4]) == (b[4], b[2]):
+                circle.add(a[0])
+
+    def decision(f):
+        wins = f[0] in rival and f[8] > rival[f[0]][2]
+        if f[2] is not None and f[2] == f[4]:
+            return f[0], "reject", "self_referential_fact", None
+        for code, holds in (("duplicate_fact", f[0] in twice), ("functional_conflict", f[0] in rival and not wins), (None, wins), ("circular_containment", f[0] in circle), ("alive_dead_conflict", f[0] in torn)):
+            if holds:
+                return f[0], "reject" if code else "replace", code, None if code else rival[f[0]][1]
+        return f[0], "accept", None, None
+
+    got = rules.decide(df, df, F.coalesce("confidence_score", F.lit(0.42)))
+    order = lambda x: tuple(str(v) for v in x)
+    assert sorted(map(tuple, got.collect()), key=order) == sorted(map(decision, plain), key=order)
+    assert {r["code"] for r in got.select("code").distinct().collect()} >= {"duplicate_fact", "functional_conflict", "circular_containment", "alive_dead_conflict"}
+    assert "Join" not in got._jdf.queryExecution().executedPlan().toString()
+
+
 LOG = [
     event(1, "add", "f1", "red"), event(2, "duplicate_delivery", "f1", "red", dup="f1"), event(3, "supersede", "f2", "blue", supersedes="f1", start="2024-02-01"), event(4, "retract", "r", retracts="f2"), event(5, "duplicate_delivery", "f2", "blue"),
     event(6, "direct_user_correction", "f3", "green", authority="direct_user", start="2024-02-01"), event(7, "backdated_correction", "f4", "white", start="2023-01-01"), event(8, "add", "f5", "home", scope="work", start="2024-01-05", end="2024-01-31"),
