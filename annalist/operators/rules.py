@@ -155,12 +155,14 @@ def decide(candidates: DataFrame, existing: DataFrame, score: Column) -> DataFra
 
 def first_conflict(candidates: DataFrame, existing: DataFrame) -> DataFrame:
     """fact_id, conflict_id: the first fact, in state order, that repeats, contradicts, inverts or negates the candidate (JOIN-9)."""
-    a, b = claims(candidates).alias("a"), claims(existing).alias("b")
-    other = (F.col("a.fact_id") != F.col("b.fact_id")) & (F.col("a.session_id") == F.col("b.session_id")) & meets("a", "b")
-    pick = lambda df: df.select(F.col("a.fact_id").alias("fact_id"), F.col("b.pos").alias("pos"), F.col("b.fact_id").alias("conflict_id"))
-    same = pick(a.join(b, other & (F.col("a.subject") == F.col("b.subject")) & (F.col("a.predicate") == F.col("b.predicate"))))
-    turned = pick(a.join(b, other & (F.col("a.subject") == F.col("b.object")) & (F.col("a.object") == F.col("b.subject")) & (F.col("a.predicate") == F.col("b.predicate")) & (F.col("a.predicate") == "PART_OF")))
-    return same.union(turned).groupBy("fact_id").agg(F.min_by("conflict_id", "pos").alias("conflict_id"))
+    facts = beside(candidates, existing).select("fact_id", "session_id", "subject", "predicate", "object", "pos", "valid_from", "valid_to", "asks", "stands")
+
+    def met(rows, key):
+        rows = least_met(by_key(rows, key), key, ["pos"], ["fact_id"], F.col("stands") & F.col("pos").isNotNull(), "other")
+        return rows.where("asks and other is not null").select("fact_id", F.col("other.pos").alias("pos"), F.col("other.fact_id").alias("conflict_id"))
+
+    same, inverse = met(facts.drop("object"), ["session_id", "subject", "predicate"]), met(turned(facts), ["session_id", "subject", "object"])
+    return same.union(inverse).groupBy("fact_id").agg(F.min_by("conflict_id", "pos").alias("conflict_id"))
 
 
 CLAIM = ("history_id", "subject", "predicate", "domain", "scope")

@@ -149,6 +149,21 @@ def test_decisions_make_no_pairs(spark):
     assert "Join" not in got._jdf.queryExecution().executedPlan().toString()
 
 
+def test_first_conflict_makes_no_pairs(spark):
+    """The first conflict of facts with few keys is that of all pairs, and no join of facts by their key makes these."""
+    rows, df = odd_facts(spark)
+    _, pairs = pairs_met(rows)
+    want = {}
+    for a, b in pairs:
+        same = a[2] is not None and a[2] == b[2]
+        inverse = a[3] == "PART_OF" and None not in (a[2], a[4]) and (a[2], a[4]) == (b[4], b[2])
+        if None not in (a[0], b[0]) and a[0] != b[0] and (same or inverse):
+            want[a[0]] = min(want.get(a[0], (9999,)), (b[5], b[0]))
+    got = rules.first_conflict(df, df)
+    assert {r["fact_id"]: r["conflict_id"] for r in got.collect()} == {f: c for f, (_, c) in want.items()} and want
+    assert "Join" not in got._jdf.queryExecution().executedPlan().toString()
+
+
 LOG = [
     event(1, "add", "f1", "red"), event(2, "duplicate_delivery", "f1", "red", dup="f1"), event(3, "supersede", "f2", "blue", supersedes="f1", start="2024-02-01"), event(4, "retract", "r", retracts="f2"), event(5, "duplicate_delivery", "f2", "blue"),
     event(6, "direct_user_correction", "f3", "green", authority="direct_user", start="2024-02-01"), event(7, "backdated_correction", "f4", "white", start="2023-01-01"), event(8, "add", "f5", "home", scope="work", start="2024-01-05", end="2024-01-31"),
