@@ -73,6 +73,11 @@ def word_tokens(t: Column) -> Column:
     return F.regexp_extract_all(F.lower(F.coalesce(t, F.lit(""))), F.lit(r"[\p{L}\p{N}_'-]+"), F.lit(0))
 
 
+def lower_each(t: Column) -> Column:
+    """Lower case character by character: a dotted capital I is one letter, a sigma the same at the end of a word."""
+    return F.lower(F.translate(t, "\u0130\u03a3", "i\u03c3"))
+
+
 def squeeze(t: Column) -> Column:
     return F.trim(F.regexp_replace(t, r"\s+", " "))
 
@@ -83,6 +88,13 @@ def answer_squad(t: Column) -> Column:
     return squeeze(F.regexp_replace(x, r"\b(a|an|the)\b", " "))
 
 
+def answer_ascii(t: Column) -> Column:
+    """answer_squad as RE2 and simple case mappings have it: words of ASCII, white space without the vertical tab, one character for each; null stays null."""
+    x = F.regexp_replace(lower_each(t), r"[!-/:-@\[-`{-~]", "")
+    x = F.regexp_replace(x, "(?<![0-9A-Za-z_])(a|an|the)(?![0-9A-Za-z_])", " ")
+    return F.trim(F.regexp_replace(x, r"[\t\n\f\r ]+", " "))
+
+
 def answer_spaced(t: Column) -> Column:
     """Punctuation to spaces, articles out, spaces squeezed."""
     x = F.regexp_replace(F.lower(F.coalesce(t, F.lit(""))), r"[!-/:-@\[-`{-~]", " ")

@@ -567,3 +567,24 @@ def test_provenance_operators(spark):
     held = spark.createDataFrame([("x", "f1", "Run", "USES", "3072 GPUs", "of 768, 1536 and 3072", None, None), ("x", "f2", "Pine", "GROWS_IN", "Norway", "", None, None)], "example_id string, fact_id string, subject string, predicate string, object string, support_text string, valid_from string, valid_to string")
     got = {r["option"]: (r["supporting"], r["contradicting"]) for r in provenance.option_evidence(options, held).collect()}
     assert got == {"A": (["f1"], ["f2"]), "B": ([], ["f1", "f2"]), "C": (["f2"], ["f1"]), "D": ([], ["f1", "f2"])}
+
+
+def like_sql(spark, tmp_path, name, **tables):
+    """The rows of a query and of its SQL over tables written for it, each given as columns and rows."""
+    import duckdb
+
+    con = duckdb.connect()
+    for t, (schema, rows) in tables.items():
+        spark.createDataFrame(rows, schema).coalesce(1).write.parquet(f"{tmp_path}/{t}.parquet")
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM read_parquet('{tmp_path}/{t}.parquet/*.parquet')")
+    got = sorted(map(tuple, entry.queries()[name](spark, str(tmp_path)).collect()), key=str)
+    assert got == sorted(con.execute(entry.oracle_sql()[name]).fetchall(), key=str)
+    return got
+
+
+def test_answer_scores_as_their_sql(spark, tmp_path):
+    """Articles between letters beyond ASCII, a vertical tab, one-to-one lower case, nulls, and a score halfway between two millionths."""
+    pairs = [("\u00e8an\u00e8 the x", "\u00e8 \u00e8 x"), ("a\x0bb", "b"), ("\u0130X \u039f\u03a3", "ix \u03bf\u03c3"), (None, "x"), ("x", None), ("the", "A!"), ("w " * 1 + "v " * 1599, "w " * 1 + "z " * 4799)]
+    rows = [(i, 2 * k, "user", t) for i, p in enumerate(pairs) for k, t in enumerate(p)]
+    got = like_sql(spark, tmp_path, "txt_answer_scores", conversations=("conv_id long, turn long, role string, text string", rows))
+    assert got[0] == (0, 1.0, 1.0) and got[2] == (2, 1.0, 1.0) and got[3] == (3, None, None)
