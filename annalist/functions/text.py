@@ -213,3 +213,8 @@ def directory_name(t: Column) -> Column:
 def json_object(t: Column) -> Column:
     """The outermost {...} of a text, fences and prose around it left out; null where there is none."""
     return F.nullif(F.regexp_extract(F.coalesce(t, F.lit("")), r"(?s)(\{.*\})", 1), F.lit(""))
+
+
+def upper_each(t: str) -> str:
+    """Of a Python text: upper case character by character, where str.upper may make several of one."""
+    return "".join(next((x for x in (c.upper(), c.title(), "\u1e9e" if c == "\u00df" else c) if len(x) == 1), c) for c in t)

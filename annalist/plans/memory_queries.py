@@ -202,7 +202,7 @@ def verdict(spark, sf):
 @query("udf_cell_runner", "SELECT item_id, upper(substr(text, 1, 5)) AS answer FROM benchmark")
 def cells(spark, sf):
     """UDF-8, SUP-35"""
-    return search.run_cells(table(spark, sf, "benchmark"), lambda r: r["text"][:5].upper(), "item_id long, text string, answer string").select("item_id", "answer")
+    return search.run_cells(table(spark, sf, "benchmark"), lambda r: text.upper_each(r["text"][:5]) if isinstance(r["text"], str) else None, "item_id long, text string, answer string").select("item_id", "answer")
 
 
 @query("txt_context_rank", "SELECT fact_id, round(least(1, 0.78 * coalesce(confidence_score, 0.42) + 0.17 * 0.5 + CASE WHEN trim(relevance) <> '' THEN 0.04 ELSE 0 END + CASE WHEN trim(support_text) <> '' THEN 0.03 ELSE 0 END), 3) AS rank FROM v_facts")

@@ -588,3 +588,9 @@ def test_answer_scores_as_their_sql(spark, tmp_path):
     rows = [(i, 2 * k, "user", t) for i, p in enumerate(pairs) for k, t in enumerate(p)]
     got = like_sql(spark, tmp_path, "txt_answer_scores", conversations=("conv_id long, turn long, role string, text string", rows))
     assert got[0] == (0, 1.0, 1.0) and got[2] == (2, 1.0, 1.0) and got[3] == (3, None, None)
+
+def test_cells_as_their_sql(spark, tmp_path):
+    """Upper case keeps one character for each, and a missing text has no answer."""
+    rows = [(1, "er\u00dfie"), (2, "\ufb01n\u1f80 x"), (3, None), (4, "abcdef"), (5, "")]
+    got = like_sql(spark, tmp_path, "udf_cell_runner", benchmark=("item_id long, text string", rows))
+    assert got == [(1, "ER\u1e9eIE"), (2, "\ufb01N\u1f88 X"), (3, None), (4, "ABCDE"), (5, "")]
