@@ -25,8 +25,16 @@ def cosine(a: Column, b: Column) -> Column:
     return dot(a, b) / (length(a) * length(b))
 
 
-def hash_embedding(tokens: Column, dims: int = 64) -> Column:
-    """Signed feature hashing: each token adds 1 or -1 at a place given by its digest."""
+def hash_marks(tokens: Column, dims: int = 64) -> Column:
+    """What each token adds, `s` of 1 or -1 at the place `i`, by its digest."""
     h = F.transform(tokens, lambda t: F.sha2(t, 256))
-    marks = F.transform(h, lambda x: F.struct(F.pmod(F.conv(F.substring(x, 1, 8), 16, 10).cast("long"), F.lit(dims)).cast("int").alias("i"), F.when(F.pmod(F.conv(F.substring(x, 9, 2), 16, 10).cast("long"), F.lit(2)) == 0, 1.0).otherwise(-1.0).alias("s")))
+    return F.transform(h, lambda x: F.struct(F.pmod(F.conv(F.substring(x, 1, 8), 16, 10).cast("long"), F.lit(dims)).cast("int").alias("i"), F.when(F.pmod(F.conv(F.substring(x, 9, 2), 16, 10).cast("long"), F.lit(2)) == 0, 1.0).otherwise(-1.0).alias("s")))
+
+
+def sum_of_marks(marks: Column, dims: int = 64) -> Column:
     return F.transform(F.sequence(F.lit(0), F.lit(dims - 1)), lambda d: F.aggregate(F.filter(marks, lambda m: m["i"] == d), F.lit(0.0), lambda a, m: a + m["s"]))
+
+
+def hash_embedding(tokens: Column, dims: int = 64) -> Column:
+    """Signed feature hashing: each token adds 1 or -1 at a place given by its digest."""
+    return sum_of_marks(hash_marks(tokens, dims), dims)

@@ -170,9 +170,11 @@ v AS (SELECT conv_id, turn, ('0x' || substr(h, 1, 8))::BIGINT % 64 AS i, sum(CAS
 SELECT conv_id, turn, round(sqrt(sum(x * x)), 6) AS length, CAST(arg_min(i, (-abs(x), i)) AS INT) AS strongest FROM v GROUP BY 1, 2""")
 def hash_embedding(spark, sf):
     """VEC-3, UDF-3"""
-    rows = table(spark, sf, "conversations").select("conv_id", "turn", text.ascii_tokens(F.col("text")).alias("t")).where(F.size("t") > 0)
-    rows = rows.select("conv_id", "turn", vector.hash_embedding(F.col("t")).alias("v"))
-    top = F.array_min(F.transform("v", lambda x, i: F.struct((-F.abs(x)).alias("a"), i.alias("i"))))["i"]
+    rows = table(spark, sf, "conversations").select("conv_id", "turn", text.ascii_tokens(text.lower_each(F.col("text"))).alias("t")).where(F.size("t") > 0)
+    rows = rows.groupBy("conv_id", "turn").agg(F.flatten(F.collect_list("t")).alias("t"))  # rows of one turn are one text
+    rows = rows.select("conv_id", "turn", vector.hash_marks(F.col("t")).alias("m")).withColumn("v", vector.sum_of_marks(F.col("m")))
+    # Of the places that tokens fall on, also where their signs cancel out.
+    top = F.array_min(F.transform(F.array_distinct(F.transform("m", lambda m: m["i"])), lambda i: F.struct((-F.abs(F.get("v", i))).alias("a"), i.alias("i"))))["i"]
     return rows.select("conv_id", "turn", F.round(vector.norm(F.col("v")), 6).alias("length"), top.alias("strongest"))
 
 

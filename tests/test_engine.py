@@ -594,3 +594,13 @@ def test_cells_as_their_sql(spark, tmp_path):
     rows = [(1, "er\u00dfie"), (2, "\ufb01n\u1f80 x"), (3, None), (4, "abcdef"), (5, "")]
     got = like_sql(spark, tmp_path, "udf_cell_runner", benchmark=("item_id long, text string", rows))
     assert got == [(1, "ER\u1e9eIE"), (2, "\ufb01N\u1f88 X"), (3, None), (4, "ABCDE"), (5, "")]
+
+def test_hash_embedding_as_its_sql(spark, tmp_path):
+    """The strongest place of tokens that cancel out is one of theirs, rows of one turn are one text, and a dotted capital I is a letter."""
+    import hashlib
+
+    place = lambda w: (int(hashlib.sha256(w.encode()).hexdigest()[:8], 16) % 64, int(hashlib.sha256(w.encode()).hexdigest()[8:10], 16) % 2)
+    seen = {place(f"w{i}"): f"w{i}" for i in range(2000)}
+    rows = [(1, 0, f"{seen[9, 0]} {seen[9, 1]}"), (2, 0, "red red"), (2, 0, "blue"), (3, 0, "\u0130stanbul"), (4, 0, "!"), (5, 1, None)]
+    got = like_sql(spark, tmp_path, "vec_hash_embedding", conversations=("conv_id long, turn long, text string", rows))
+    assert got[0] == (1, 0, 0.0, 9) and len(got) == 3
